@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,34 +25,61 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memory:
+    """What was computed for recent keys: two generations of at most ``limit`` each, the
+    older one dropped when the newer is full. Bounded, whatever the texts hold."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys) -> list:
+        """The keys not remembered; those only in the older generation move up."""
+        new, old = self.new, self.old
+        absent = [k for k in dict.fromkeys(keys) if k not in new]
+        out = []
+        for k in absent:
+            if k in old:
+                new[k] = old[k]
+            else:
+                out.append(k)
+        return out
+
+    def room(self) -> None:
+        """To be called between texts: starts a new generation when this one is full."""
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+
+
 class ChunkEncoder:
     """Ids of whole texts, as little-endian bytes, by way of a bounded memory of chunks.
 
-    The tokenizer drops white space and never joins ids across it, so a text's ids are
-    those of its chunks between ASCII white space, one after the other.
+    The tokenizer drops white space, never joins ids across it and lower-cases what is
+    not one of its special tokens, so a text's ids are those of its lower-cased chunks
+    between ASCII white space, one after the other. A comma or full stop that ends
+    a chunk after an ASCII letter has ids of its own, too.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, remembered: int = 250_000):
+    mark = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
+
+    def __init__(self, path: str, end_id: int = END_ID, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
-        self.remembered = remembered
-        self.known: dict[bytes, bytes] = {}
+        self.memory = Memory(remembered)
 
     def __call__(self, text: bytes) -> bytes:
-        chunks = text.split()
-        known = self.known
-        missing = [c for c in dict.fromkeys(chunks) if c not in known]
-        if missing:
-            if len(known) + len(missing) > self.remembered:
-                self.known = known = {}
-                missing = list(dict.fromkeys(chunks))
-            for at in range(0, len(missing), 4096):
-                part = missing[at : at + 4096]
-                encoded = self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)
-                known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, encoded, strict=True))
+        lower = text if b"<|" in text else text.lower()
+        chunks = self.mark.sub(rb" \1", lower).split()
+        self.memory.room()
+        missing, known = self.memory.missing(chunks), self.memory.new
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            encoded = self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)
+            known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, encoded, strict=True))
         return b"".join([known[c] for c in chunks]) + self.end
 
 
