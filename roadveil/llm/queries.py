@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadveil.llm import langid, packing, simhash
+from roadveil.llm import langid, packing, pii, simhash, toxicity
 from roadveil.llm.common import table
 
 
@@ -18,12 +18,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(spark, docs, table(spark, sf_dir, "labels"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_language_id, op8_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_language_id, op6_toxicity, op7_pii, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
