@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roadveil.llm import langid, packing, pii, simhash, toxicity
+from roadveil.llm import langid, lattice, packing, pii, simhash, topk, toxicity
 from roadveil.llm.common import table
 
 
@@ -31,8 +32,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(spark, rows, F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(spark, table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_language_id, op6_toxicity, op7_pii, op8_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_language_id, op6_toxicity, op7_pii, op8_packing, op9_exact_top_k, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,7 +49,7 @@ class Chain:
         return [1 / (1 + np.exp(-z)) for z in logits]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 300) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.03, steps: int = 600) -> np.ndarray:
     """L2 logistic regression by accelerated gradient descent; the last weight is the constant."""
     weight = np.full(len(x), 1 / max(1, len(x)), np.float32)
     x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
