@@ -120,7 +120,8 @@ def revealing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, leas
     joint = staged(spark, joint, "joint")
     per_entity = found.filter(F.size("near") > 0).select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(docs["text"].cast("string")), r"[^\p{L}\p{N}]+"))).alias("term"))
-    per_term = words.join(joint.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted before the join: a common word then costs it one row
+    per_term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(joint.select("term").distinct(), "term")
     told = joint.join(per_entity, "entity").join(per_term, "term")
     ic = F.log2(F.lit(float(max(1, total))) / F.col("n_c"))
     pmi = F.log2(F.lit(float(max(1, total))) * F.least("both", "n_c", "n_t") / (F.col("n_c") * F.col("n_t")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadveil.llm import langid, lattice, packing, pieces, pii, simhash, topk, toxicity, urlfilter
+from roadveil.llm import htmltext, langid, lattice, packing, pieces, pii, simhash, topk, toxicity, urlfilter
 from roadveil.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -50,16 +54,16 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_sentencepiece, op5_language_id, op6_toxicity, op7_pii, op8_packing, op9_exact_top_k, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_sentencepiece, op4_html_extraction, op5_language_id, op6_toxicity, op7_pii, op8_packing, op9_exact_top_k, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filters": urlfilter.oracle_sql(),
         "op9_exact_top_k": """
-          WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS z FROM embeddings
+          WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS z FROM embeddings
                      WHERE vec_id IS NOT NULL AND len(embedding) > 0
-                       AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+                       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
                s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.z, c.z) AS BIGINT) AS score
                      FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.z) = len(c.z)),
                r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
