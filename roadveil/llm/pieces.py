@@ -57,7 +57,11 @@ class PieceModel:
         alone = "".join(c for c in "\n\t\r" if c not in used and c not in scores)
         # a segment: spaces and what follows them, or one of the characters in no piece
         inner = any(SPACE in p.lstrip(SPACE) or (p.startswith(SPACE * 2) and p.strip(SPACE)) for p in scores)
-        pattern = f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        # a mark that no piece has behind a letter or digit begins a segment of its own there
+        marks = set(",.;:!?") - {c for p in scores for x, c in zip(p, p[1:], strict=False) if x.isalnum()}
+        run = "".join(re.escape(c) for c in sorted(marks))
+        inside = f"(?:(?<![^\\W_])[{run}]|[^{SPACE}{alone}{run}])*" if run else f"[^{SPACE}{alone}]*"
+        pattern = f"{SPACE}*[^{SPACE}{alone}]{inside}|{SPACE}+" + (f"|[{alone}]" if alone else "")
         trie: dict = {}
         for piece, (i, score) in scores.items():
             node = trie
