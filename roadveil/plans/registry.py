@@ -5,11 +5,185 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadveil.functions import tags
+from roadveil.operators import exposure, graph, routes, zones
+from roadveil.sources.network import derived, oracle
+from roadveil.streaming import requests as streams
+
+PARTS_OF_DISCS = """
+  SELECT k, u, v, seg, sqrt(a) AS len, cam_id, greatest((-b - sqrt(d)) / (2 * a), 0.0) AS t0, least((-b + sqrt(d)) / (2 * a), 1.0) AS t1
+  FROM (SELECT *, b * b - 4 * a * c AS d FROM (
+    SELECT k, u, v, seg, cam_id, dx * dx + dy * dy AS a, 2 * (fx * dx + fy * dy) AS b, fx * fx + fy * fy - 625.0 AS c
+    FROM (SELECT s.k, s.u, s.v, s.seg, c.cam_id, x1 - x0 AS dx, y1 - y0 AS dy, x0 - c.x AS fx, y0 - c.y AS fy
+          FROM {segments} s JOIN {sensors} c ON c.x BETWEEN least(x0, x1) - 25 AND greatest(x0, x1) + 25 AND c.y BETWEEN least(y0, y1) - 25 AND greatest(y0, y1) + 25) m) q) r
+  WHERE d >= 0 AND a > 0 AND greatest((-b - sqrt(d)) / (2 * a), 0.0) < least((-b + sqrt(d)) / (2 * a), 1.0)"""
+EXPOSURE = f"""
+  SELECT k, u, v, CAST(sum(CAST(floor(gain * len * 1000 + 0.5) AS BIGINT)) AS BIGINT) AS exposure_mm, count(DISTINCT cam_id) AS n_cameras FROM (
+    SELECT *, greatest(0.0, t1 - greatest(t0, coalesce(max(t1) OVER (PARTITION BY k, seg ORDER BY t0, t1, cam_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))) AS gain
+    FROM ({PARTS_OF_DISCS}) p) g GROUP BY k, u, v"""
+KINDS = "len(list_filter(list_transform(string_split(kind, ';'), lambda p: trim(p)), lambda p: p IN ('camera', 'ALPR', 'webcam'))) > 0"
+BEARINGS = """list_filter(list_transform(string_split(direction, ';'), lambda p: coalesce(
+    CAST(list_position(['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'], upper(trim(p))) - 1 AS DOUBLE) * 22.5,
+    ((TRY_CAST(trim(p) AS DOUBLE) % 360) + 360) % 360)), lambda d: d IS NOT NULL)"""
+
+
+def camera_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = derived(spark, sf_dir, "features").filter(tags.is_sensor(F.col("surveillance"), F.col("kind")) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    return found.select(F.concat_ws("/", "type", "id").alias("osm_id"), "x", "y")
+
+
+def direction_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = derived(spark, sf_dir, "features").select("id", tags.directions(F.col("direction")).alias("d"))
+    text = F.array_join(F.transform("d", lambda x: F.floor(x * 10 + 0.5).cast("long").cast("string")), ",")
+    return found.select("id", F.size("d").cast("long").alias("n"), text.alias("bearings_dm"))
+
+
+def ring_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wall = derived(spark, sf_dir, "walls")
+    return wall.select("bid", "wall", *[F.floor(F.col(c) * 10).cast("long").alias(c) for c in ("px", "py", "qx", "qy")])
+
+
+def edge_length_cm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, "lengths")
+
+
+def buildings_near_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.buildings_near(derived(spark, sf_dir, "buildings"), derived(spark, sf_dir, "sensors"))
+
+
+def edge_disc_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.edge_exposure(derived(spark, sf_dir, "segments"), derived(spark, sf_dir, "sensors"))
+
+
+def edge_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.edge_cameras(derived(spark, sf_dir, "segments"), derived(spark, sf_dir, "sensors"))
+
+
+def exposure_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.exposure_intervals(derived(spark, sf_dir, "segments"), derived(spark, sf_dir, "sensors"))
+
+
+def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, sensors = derived(spark, sf_dir, "segments"), derived(spark, sf_dir, "sensors")
+    return exposure.coverage(derived(spark, sf_dir, "lengths"), exposure.edge_exposure(segments, sensors), exposure.disc_intervals(segments, sensors))
+
+
+def ray_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.ray_hits(derived(spark, sf_dir, "sensors"), derived(spark, sf_dir, "walls"))
+
+
+def pareto_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pareto(derived(spark, sf_dir, "costs"))
+
+
+def best_edge_by_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.best_edges(derived(spark, sf_dir, "costs"), derived(spark, sf_dir, "alphas"))
+
+
+def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.offsets(derived(spark, sf_dir, "nodes"), derived(spark, sf_dir, "edges"))
+
+
+def quantised_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = derived(spark, sf_dir, "costs").select("k", "u", "v", "length_cm", "exposure_dm", F.least(F.lit(65535), F.floor(F.col("exposure_dm") * 65535.0 / F.col("length_cm") + 0.5)).cast("long").alias("share_u16"))
+    return edges.filter(F.assert_true(F.col("exposure_dm") < 65536).isNull())
+
+
+def delta_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.deltas(derived(spark, sf_dir, "edges"))
+
+
+def snap_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.snap(derived(spark, sf_dir, "points"), derived(spark, sf_dir, "nodes"))
+
+
+def route_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs = derived(spark, sf_dir, "costs").groupBy("u", "v").agg(F.min(F.col("length_cm") + 150 * F.col("exposure_dm")).alias("cost"))
+    nodes = derived(spark, sf_dir, "nodes").select(F.col("node_id").alias("target"))
+    asked = nodes.select(F.col("target").alias("req_id"), F.lit(0).cast("long").alias("source"), "target")
+    return routes.route_costs(asked, arcs)
+
+
+def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.density(derived(spark, sf_dir, "points"))
+
+
+def request_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.sessions(derived(spark, sf_dir, "events"))
+
+
+def latest_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.latest(derived(spark, sf_dir, "events"))
+
+
+QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, density_grid, request_sessions, latest_request)
+
+ORACLES = {
+    "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
+    "direction_parse": f"SELECT id, coalesce(len(d), 0) AS n, coalesce(array_to_string(list_transform(d, lambda x: CAST(CAST(floor(x * 10 + 0.5) AS BIGINT) AS VARCHAR)), ','), '') AS bearings_dm FROM (SELECT id, {BEARINGS} AS d FROM {{features}})",
+    "ring_segments": "SELECT bid, wall, CAST(floor(px * 10) AS BIGINT) AS px, CAST(floor(py * 10) AS BIGINT) AS py, CAST(floor(qx * 10) AS BIGINT) AS qx, CAST(floor(qy * 10) AS BIGINT) AS qy FROM {walls}",
+    "edge_length_cm": "SELECT * FROM {lengths}",
+    "buildings_near_cameras": """SELECT DISTINCT bid FROM {buildings} b JOIN {sensors} c ON
+        greatest(x0 - c.x, c.x - (x0 + side), 0) * greatest(x0 - c.x, c.x - (x0 + side), 0) + greatest(y0 - c.y, c.y - (y0 + side), 0) * greatest(y0 - c.y, c.y - (y0 + side), 0) <= 3600""",
+    "edge_disc_exposure": EXPOSURE,
+    "edge_cameras": f"SELECT k, string_agg(CAST(cam_id AS VARCHAR), ',' ORDER BY cam_id) AS cameras FROM (SELECT DISTINCT k, cam_id FROM ({PARTS_OF_DISCS}) p) d GROUP BY k",
+    "exposure_intervals": f"""SELECT k, seg, CAST(floor(t0 * 100000 + 0.5) AS BIGINT) AS t0_e5, CAST(floor(t1 * 100000 + 0.5) AS BIGINT) AS t1_e5 FROM (
+        SELECT k, seg, island, min(t0) AS t0, max(t1) AS t1 FROM (
+          SELECT *, sum(first) OVER (PARTITION BY k, seg ORDER BY t0, t1, cam_id ROWS UNBOUNDED PRECEDING) AS island FROM (
+            SELECT *, CASE WHEN t0 <= max(t1) OVER (PARTITION BY k, seg ORDER BY t0, t1, cam_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS first FROM ({PARTS_OF_DISCS}) p) f) i
+        GROUP BY k, seg, island) m WHERE t1 - t0 > 1e-6""",
+    "coverage_summary": f"""SELECT n_edges, length_cm, exposure_mm, n_exposed, n_cameras, CAST(floor(exposure_mm * 1000 / length_cm) AS BIGINT) AS covered_bp FROM
+        (SELECT count(*) AS n_edges, CAST(sum(length_cm) AS BIGINT) AS length_cm FROM {{lengths}}) a,
+        (SELECT CAST(coalesce(sum(exposure_mm), 0) AS BIGINT) AS exposure_mm, count(*) AS n_exposed FROM ({EXPOSURE}) e) b,
+        (SELECT count(DISTINCT cam_id) AS n_cameras FROM ({PARTS_OF_DISCS}) p) c""",
+    "ray_hits": """WITH rays AS (
+        SELECT cam_id, x AS cx, y AS cy, ray, CASE WHEN bearing IS NULL THEN 25.0 ELSE 40.0 END AS reach,
+          CASE WHEN bearing IS NULL THEN ray * 3.0 ELSE bearing - 35.0 + ray * 2.5 END AS angle
+        FROM (SELECT *, unnest(range(CASE WHEN bearing IS NULL THEN 120 ELSE 29 END)) AS ray FROM {sensors}) s),
+      hits AS (SELECT cam_id, ray, min(t) AS t FROM (
+        SELECT cam_id, ray, reach, (wx * sy - wy * sx) / denom AS t, (wx * dy - wy * dx) / denom AS w FROM (
+          SELECT *, CASE WHEN abs(dx * sy - dy * sx) > 1e-12 THEN dx * sy - dy * sx END AS denom FROM (
+            SELECT cam_id, ray, reach, sin(radians(angle)) AS dx, cos(radians(angle)) AS dy, qx - px AS sx, qy - py AS sy, px - cx AS wx, py - cy AS wy
+            FROM rays JOIN {walls} w ON cx BETWEEN least(px, qx) - 40 AND greatest(px, qx) + 40 AND cy BETWEEN least(py, qy) - 40 AND greatest(py, qy) + 40) a) b) c
+        WHERE w BETWEEN 0 AND 1 AND t > 2 AND t < reach GROUP BY cam_id, ray)
+      SELECT cam_id, CAST(ray AS INTEGER) AS ray, CAST(floor(coalesce(t, reach) * 1000 + 0.5) AS BIGINT) AS distance_mm FROM rays LEFT JOIN hits USING (cam_id, ray)""",
+    "pareto_edges": """SELECT u, v, k, length_cm, exposure_dm FROM {costs} a WHERE NOT EXISTS (
+        SELECT 1 FROM {costs} b WHERE b.u = a.u AND b.v = a.v AND b.exposure_dm <= a.exposure_dm
+          AND (b.length_cm, b.exposure_dm, b.k) < (a.length_cm, a.exposure_dm, a.k))""",
+    "best_edge_by_alpha": """SELECT CAST(alpha AS BIGINT) AS alpha, u, v, k, CAST(cost_cm AS BIGINT) AS cost_cm FROM (
+        SELECT *, row_number() OVER (PARTITION BY alpha, u, v ORDER BY cost_cm, k) AS r FROM (
+          SELECT alpha, u, v, k, length_cm + 10 * alpha * exposure_dm AS cost_cm FROM {costs} CROSS JOIN {alphas} t) c) d WHERE r = 1""",
+    "csr_offsets": """SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS idx, CAST(sum(n_out) OVER (ORDER BY node_id) - n_out AS BIGINT) AS first, n_out FROM (
+        SELECT n.node_id, count(e.u) AS n_out FROM {nodes} n LEFT JOIN {edges} e ON n.node_id = e.u GROUP BY n.node_id) c""",
+    "quantised_export": "SELECT k, u, v, length_cm, exposure_dm, CAST(least(65535, floor(exposure_dm * 65535.0::DOUBLE / length_cm + 0.5)) AS BIGINT) AS share_u16 FROM {costs}",
+    "delta_geometry": """SELECT k, CAST(n AS BIGINT) AS n, x - px AS dx, y - py AS dy FROM (
+        SELECT k, 1 AS n, CAST(floor(mx * 10 + 0.5) AS BIGINT) AS x, CAST(floor(my * 10 + 0.5) AS BIGINT) AS y, CAST(floor(ax * 10 + 0.5) AS BIGINT) AS px, CAST(floor(ay * 10 + 0.5) AS BIGINT) AS py FROM {edges}
+        UNION ALL SELECT k, 2, CAST(floor(bx * 10 + 0.5) AS BIGINT), CAST(floor(by_ * 10 + 0.5) AS BIGINT), CAST(floor(mx * 10 + 0.5) AS BIGINT), CAST(floor(my * 10 + 0.5) AS BIGINT) FROM {edges}) p""",
+    "snap_nearest": """SELECT p.req_id, b.node_id, CAST(floor(sqrt(b.d2) * 1000 + 0.5) AS BIGINT) AS distance_mm FROM {points} p LEFT JOIN (
+        SELECT req_id, arg_min(node_id, (d2, node_id)) AS node_id, min(d2) AS d2 FROM (
+          SELECT req_id, node_id, (n.x - q.x) * (n.x - q.x) + (n.y - q.y) * (n.y - q.y) AS d2 FROM {points} q JOIN {nodes} n
+          ON n.x BETWEEN q.x - 500 AND q.x + 500 AND n.y BETWEEN q.y - 500 AND q.y + 500) m WHERE d2 <= 250000 GROUP BY req_id) b USING (req_id)""",
+    "route_costs": """WITH RECURSIVE arcs AS MATERIALIZED (SELECT u, v, min(length_cm + 150 * exposure_dm) AS cost FROM {costs} GROUP BY u, v),
+      reached(node, cost) USING KEY (node) AS (
+        SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+        UNION SELECT o.node, o.cost FROM (
+          SELECT a.v AS node, min(r.cost + a.cost) AS cost FROM reached r JOIN arcs a ON r.node = a.u GROUP BY a.v) o
+          LEFT JOIN recurring.reached k ON o.node = k.node WHERE k.cost IS NULL OR o.cost < k.cost)
+      SELECT node_id AS req_id, cost AS cost_cm FROM {nodes} LEFT JOIN reached ON node = node_id""",
+    "density_grid": """SELECT gx, gy, CAST(sum(w) AS BIGINT) AS weight, CAST(floor(CAST(sum(mx * w) AS DOUBLE) / CAST(sum(w) AS DOUBLE)) AS BIGINT) AS x_mm, CAST(floor(CAST(sum(my * w) AS DOUBLE) / CAST(sum(w) AS DOUBLE)) AS BIGINT) AS y_mm FROM (
+        SELECT CAST(floor(x / 200) AS BIGINT) AS gx, CAST(floor(y / 200) AS BIGINT) AS gy, 1 + req_id % 5 AS w, CAST(x * 1000 AS BIGINT) AS mx, CAST(y * 1000 AS BIGINT) AS my FROM {points}) e GROUP BY gx, gy""",
+    "request_sessions": """SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, arg_max(event_id, (ts, event_id)) AS last_event FROM (
+        SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+          SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000000 THEN 0 ELSE 1 END AS new FROM {events}) a) b GROUP BY user_id, session""",
+    "latest_request": """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM {events}) a WHERE r = 1""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: oracle(text) for name, text in ORACLES.items()}
