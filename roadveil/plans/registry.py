@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadveil.functions import tags
+from roadveil.functions import tags, varint
 from roadveil.operators import exposure, graph, routes, zones
 from roadveil.sources.network import derived, oracle
 from roadveil.streaming import requests as streams
@@ -28,6 +28,31 @@ BEARINGS = """list_filter(list_transform(string_split(direction, ';'), lambda p:
     CAST(list_position(['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'], upper(trim(p))) - 1 AS DOUBLE) * 22.5,
     ((TRY_CAST(trim(p) AS DOUBLE) % 360) + 360) % 360)), lambda d: d IS NOT NULL)"""
 
+RAYS = """WITH rays AS (
+        SELECT cam_id, x AS cx, y AS cy, ray, CASE WHEN bearing IS NULL THEN 25.0 ELSE 40.0 END AS reach,
+          CASE WHEN bearing IS NULL THEN ray * 3.0 ELSE bearing - 35.0 + ray * 2.5 END AS angle
+        FROM (SELECT *, unnest(range(CASE WHEN bearing IS NULL THEN 120 ELSE 29 END)) AS ray FROM {sensors}) s),
+      hits AS (SELECT cam_id, ray, min(t) AS t FROM (
+        SELECT cam_id, ray, reach, (wx * sy - wy * sx) / denom AS t, (wx * dy - wy * dx) / denom AS w FROM (
+          SELECT *, CASE WHEN abs(dx * sy - dy * sx) > 1e-12 THEN dx * sy - dy * sx END AS denom FROM (
+            SELECT cam_id, ray, reach, sin(radians(angle)) AS dx, cos(radians(angle)) AS dy, qx - px AS sx, qy - py AS sy, px - cx AS wx, py - cy AS wy
+            FROM rays JOIN {walls} w ON cx BETWEEN least(px, qx) - 40 AND greatest(px, qx) + 40 AND cy BETWEEN least(py, qy) - 40 AND greatest(py, qy) + 40) a) b) c
+        WHERE w BETWEEN 0 AND 1 AND t > 2 AND t < reach GROUP BY cam_id, ray),
+      lit AS (SELECT cam_id, ray, cx, cy, reach, angle, CAST(floor(coalesce(t, reach) * 1000 + 0.5) AS BIGINT) AS distance_mm FROM rays LEFT JOIN hits USING (cam_id, ray))"""
+FANS = RAYS + """, tips AS (SELECT cam_id, ray, reach, floor(cx * 1000 + 0.5) AS cx, floor(cy * 1000 + 0.5) AS cy,
+        floor(cx * 1000 + distance_mm * sin(radians(angle)) + 0.5) AS ax, floor(cy * 1000 + distance_mm * cos(radians(angle)) + 0.5) AS ay FROM lit),
+      fans AS (SELECT a.cam_id, a.ray, a.cx, a.cy, a.ax, a.ay, b.ax AS bx, b.ay AS by_ FROM tips a JOIN tips b
+        ON a.cam_id = b.cam_id AND (b.ray = a.ray + 1 OR (a.reach = 25 AND a.ray = 119 AND b.ray = 0)))"""
+SIDES = ", ".join(f"({wx} - {vx}) * (py - {vy}) - ({wy} - {vy}) * (px - {vx}) AS {n}0, ({wx} - {vx}) * dy - ({wy} - {vy}) * dx AS {n}1" for n, vx, vy, wx, wy in (("a", "cx", "cy", "ax", "ay"), ("b", "ax", "ay", "bx", "by_"), ("c", "bx", "by_", "cx", "cy")))
+LOWS = ", ".join(f"CASE WHEN {n}1 < 0 THEN -{n}0 / {n}1 ELSE 0.0 END" for n in "abc")
+HIGHS = ", ".join(f"CASE WHEN {n}1 > 0 THEN -{n}0 / {n}1 ELSE 1.0 END" for n in "abc")
+CHEAPEST = """WITH RECURSIVE arcs AS MATERIALIZED (SELECT u, v, min((length_cm + ALPHA * exposure_dm) * 1000000000 + length_cm) AS cost FROM {costs} GROUP BY u, v),
+      reached(node, cost) USING KEY (node) AS (
+        SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+        UNION SELECT o.node, o.cost FROM (
+          SELECT a.v AS node, min(r.cost + a.cost) AS cost FROM reached r JOIN arcs a ON r.node = a.u GROUP BY a.v) o
+          LEFT JOIN recurring.reached k ON o.node = k.node WHERE k.cost IS NULL OR o.cost < k.cost)"""
+
 
 def camera_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = derived(spark, sf_dir, "features").filter(tags.is_sensor(F.col("surveillance"), F.col("kind")) & F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -106,6 +131,42 @@ def route_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.route_costs(asked, arcs)
 
 
+def _routes(spark: SparkSession, sf_dir: str, alpha: int) -> DataFrame:
+    """From node 0 to all: cheapest cost, and among equal costs the shortest length; both in one
+    whole number, so the answer does not depend on which of the equal paths is taken."""
+    both = (F.col("length_cm") + 10 * alpha * F.col("exposure_dm")) * 1_000_000_000 + F.col("length_cm")
+    arcs = derived(spark, sf_dir, "costs").groupBy("u", "v").agg(F.min(both).alias("cost"))
+    asked = derived(spark, sf_dir, "nodes").select(F.col("node_id").alias("req_id"), F.lit(0).cast("long").alias("source"), F.col("node_id").alias("target"))
+    total, found = F.expr("cost_cm div 1000000000"), routes.route_costs(asked, arcs)
+    return found.select("req_id", total.alias("cost"), (F.col("cost_cm") % 1_000_000_000).alias("distance_cm"))
+
+
+def route_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _routes(spark, sf_dir, 15)
+    exposed = ((F.col("cost") - F.col("distance_cm")) / 150).cast("long")
+    return found.select("req_id", "distance_cm", exposed.alias("exposure_dm"), F.floor(F.col("distance_cm") * 3 / 400).cast("long").alias("walk_s"))
+
+
+def route_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _routes(spark, sf_dir, 0).select("req_id", F.col("distance_cm").alias("base_cm"))
+    other = _routes(spark, sf_dir, 15).select("req_id", F.col("distance_cm").alias("avoiding_cm"))
+    return base.join(other, "req_id").select("req_id", "base_cm", "avoiding_cm", (F.col("avoiding_cm") - F.col("base_cm")).alias("detour_cm"))
+
+
+def zone_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.zone_areas(derived(spark, sf_dir, "sensors"), derived(spark, sf_dir, "walls"))
+
+
+def edge_zone_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.zone_exposure(derived(spark, sf_dir, "segments"), derived(spark, sf_dir, "sensors"), derived(spark, sf_dir, "walls"))
+
+
+def binary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = graph.deltas(derived(spark, sf_dir, "edges"))
+    values = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", F.array("dx", "dy").alias("d")))), lambda s: s["d"]))
+    return varint.round_trip(steps.groupBy("k").agg(values.alias("values")))
+
+
 def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.density(derived(spark, sf_dir, "points"))
 
@@ -118,7 +179,7 @@ def latest_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.latest(derived(spark, sf_dir, "events"))
 
 
-QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, density_grid, request_sessions, latest_request)
+QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, zone_area, edge_zone_exposure, binary_round_trip, density_grid, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -138,17 +199,22 @@ ORACLES = {
         (SELECT count(*) AS n_edges, CAST(sum(length_cm) AS BIGINT) AS length_cm FROM {{lengths}}) a,
         (SELECT CAST(coalesce(sum(exposure_mm), 0) AS BIGINT) AS exposure_mm, count(*) AS n_exposed FROM ({EXPOSURE}) e) b,
         (SELECT count(DISTINCT cam_id) AS n_cameras FROM ({PARTS_OF_DISCS}) p) c""",
-    "ray_hits": """WITH rays AS (
-        SELECT cam_id, x AS cx, y AS cy, ray, CASE WHEN bearing IS NULL THEN 25.0 ELSE 40.0 END AS reach,
-          CASE WHEN bearing IS NULL THEN ray * 3.0 ELSE bearing - 35.0 + ray * 2.5 END AS angle
-        FROM (SELECT *, unnest(range(CASE WHEN bearing IS NULL THEN 120 ELSE 29 END)) AS ray FROM {sensors}) s),
-      hits AS (SELECT cam_id, ray, min(t) AS t FROM (
-        SELECT cam_id, ray, reach, (wx * sy - wy * sx) / denom AS t, (wx * dy - wy * dx) / denom AS w FROM (
-          SELECT *, CASE WHEN abs(dx * sy - dy * sx) > 1e-12 THEN dx * sy - dy * sx END AS denom FROM (
-            SELECT cam_id, ray, reach, sin(radians(angle)) AS dx, cos(radians(angle)) AS dy, qx - px AS sx, qy - py AS sy, px - cx AS wx, py - cy AS wy
-            FROM rays JOIN {walls} w ON cx BETWEEN least(px, qx) - 40 AND greatest(px, qx) + 40 AND cy BETWEEN least(py, qy) - 40 AND greatest(py, qy) + 40) a) b) c
-        WHERE w BETWEEN 0 AND 1 AND t > 2 AND t < reach GROUP BY cam_id, ray)
-      SELECT cam_id, CAST(ray AS INTEGER) AS ray, CAST(floor(coalesce(t, reach) * 1000 + 0.5) AS BIGINT) AS distance_mm FROM rays LEFT JOIN hits USING (cam_id, ray)""",
+    "ray_hits": RAYS + """ SELECT cam_id, CAST(ray AS INTEGER) AS ray, distance_mm FROM lit""",
+    "zone_area": FANS + """ SELECT cam_id, count(*) AS n_wedges, CAST(sum((bx - cx) * (ay - cy) - (ax - cx) * (by_ - cy)) AS BIGINT) AS area2_mm2 FROM fans GROUP BY cam_id""",
+    "edge_zone_exposure": FANS + f""", m AS (SELECT k, u, v, seg, f.*, x0 * 1000 AS px, y0 * 1000 AS py, (x1 - x0) * 1000 AS dx, (y1 - y0) * 1000 AS dy FROM {{segments}} s JOIN fans f
+        ON f.cx / 1000 BETWEEN least(x0, x1) - 41 AND greatest(x0, x1) + 41 AND f.cy / 1000 BETWEEN least(y0, y1) - 41 AND greatest(y0, y1) + 41),
+      h AS (SELECT *, {SIDES} FROM m),
+      p AS (SELECT k, u, v, seg, sqrt(dx * dx + dy * dy) / 1000 AS len, cam_id, ray, greatest(0.0, {LOWS}) AS t0, least(1.0, {HIGHS}) AS t1 FROM h WHERE (a1 <> 0 OR a0 <= 0) AND (b1 <> 0 OR b0 <= 0) AND (c1 <> 0 OR c0 <= 0)),
+      g AS (SELECT *, greatest(0.0, t1 - greatest(t0, coalesce(max(t1) OVER (PARTITION BY k, seg ORDER BY t0, t1, cam_id, ray ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))) AS gain FROM p WHERE t0 < t1)
+      SELECT k, u, v, CAST(sum(CAST(floor(gain * len * 1000000 + 0.5) AS BIGINT)) AS BIGINT) AS exposure_um, count(DISTINCT cam_id) AS n_cameras FROM g GROUP BY k, u, v""",
+    "binary_round_trip": """SELECT k, CAST(sum(CASE WHEN z < 128 THEN 1 WHEN z < 16384 THEN 2 WHEN z < 2097152 THEN 3 ELSE 4 END) AS BIGINT) AS n_bytes, true AS same FROM (
+        SELECT k, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS z FROM (
+          SELECT k, unnest([floor(mx * 10 + 0.5) - floor(ax * 10 + 0.5), floor(my * 10 + 0.5) - floor(ay * 10 + 0.5), floor(bx * 10 + 0.5) - floor(mx * 10 + 0.5), floor(by_ * 10 + 0.5) - floor(my * 10 + 0.5)]) AS d FROM {edges}) e) f GROUP BY k""",
+    "route_stats": CHEAPEST.replace("ALPHA", "150") + """ SELECT node_id AS req_id, cost % 1000000000 AS distance_cm, CAST((cost // 1000000000 - cost % 1000000000) / 150 AS BIGINT) AS exposure_dm, CAST(floor((cost % 1000000000) * 3 / 400) AS BIGINT) AS walk_s
+      FROM {nodes} LEFT JOIN reached ON node = node_id""",
+    "route_compare": """SELECT req_id, base_cm, avoiding_cm, avoiding_cm - base_cm AS detour_cm FROM
+      (""" + CHEAPEST.replace("ALPHA", "0") + """ SELECT node_id AS req_id, cost % 1000000000 AS base_cm FROM {nodes} LEFT JOIN reached ON node = node_id) b JOIN
+      (""" + CHEAPEST.replace("ALPHA", "150") + """ SELECT node_id AS req_id, cost % 1000000000 AS avoiding_cm FROM {nodes} LEFT JOIN reached ON node = node_id) a USING (req_id)""",
     "pareto_edges": """SELECT u, v, k, length_cm, exposure_dm FROM {costs} a WHERE NOT EXISTS (
         SELECT 1 FROM {costs} b WHERE b.u = a.u AND b.v = a.v AND b.exposure_dm <= a.exposure_dm
           AND (b.length_cm, b.exposure_dm, b.k) < (a.length_cm, a.exposure_dm, a.k))""",
