@@ -7,6 +7,7 @@ import heapq
 import re
 import zlib
 from dataclasses import dataclass, field
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -93,35 +94,45 @@ class PieceModel:
         The second best takes an arc that is not on the best path, so it is the best over
         such arcs of forward score, arc and backward score.
         """
-        arcs, size = self.arcs(text), len(text)
-        ahead, came = [0.0] * (size + 1), [None] * (size + 1)
-        for end in range(1, size + 1):
-            best = None
-            for arc in arcs[end]:
-                total = ahead[arc[0]] + arc[2]
-                if best is None or total > best:
-                    best, came[end] = total, arc
-            ahead[end] = best
-        ids: tuple[int, ...] = ()
-        end, on_path = size, set()
+        size, root, known = len(text), self.trie, self.scores
+        ahead: list = [None] * (size + 1)
+        came: list = [0] * (size + 1)
+        ahead[0], found = 0.0, []
+        for start in range(size):  # every arc into start has been seen, so its score is final
+            base, node = ahead[start], root
+            for at in range(start, size):
+                node = node.get(text[at])
+                if node is None:
+                    break
+                if "" in node:
+                    ids, weight = node[""]
+                    found.append((start, at + 1, ids, weight))
+                    old = ahead[at + 1]
+                    if old is None or base + weight > old:
+                        ahead[at + 1], came[at + 1] = base + weight, found[-1]
+            if text[start] not in known:
+                raw = text[start].encode()
+                weight = self.byte_score * len(raw)
+                found.append((start, start + 1, tuple(self.byte_ids[b] for b in raw), weight))
+                old = ahead[start + 1]
+                if old is None or base + weight > old:
+                    ahead[start + 1], came[start + 1] = base + weight, found[-1]
+        way, taken, end = {}, [], size
         while end:
-            arc = came[end]
-            on_path.add(id(arc))
-            ids, end = arc[1] + ids, arc[0]
+            start, _, ids, _ = came[end]
+            way[end] = start
+            taken.append(ids)
+            end = start
         left: list = [None] * (size + 1)
         left[size], second = 0.0, None
-        for end in range(size, 0, -1):
-            after = left[end]
-            if after is None:
-                continue
-            for arc in arcs[end]:
-                total = after + arc[2]
-                start = arc[0]
-                if left[start] is None or total > left[start]:
-                    left[start] = total
-                if id(arc) not in on_path and (second is None or ahead[start] + total > second):
-                    second = ahead[start] + total
-        return ahead[size], ids, float("inf") if second is None else ahead[size] - second
+        for start, end, _, weight in reversed(found):
+            total = left[end] + weight
+            if left[start] is None or total > left[start]:
+                left[start] = total
+            if way.get(end) != start and (second is None or ahead[start] + total > second):
+                second = ahead[start] + total
+        path = tuple([i for ids in reversed(taken) for i in ids])
+        return ahead[size], path, float("inf") if second is None else ahead[size] - second
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations, best first, equal scores by their ids.
@@ -185,7 +196,7 @@ def combine(best: list[list[tuple[float, object]]], n: int) -> list[tuple[float,
 class Segmenter:
     """N-best of whole texts through a bounded memory of segments."""
 
-    def __init__(self, model: PieceModel, n: int, remembered: int = 300_000):
+    def __init__(self, model: PieceModel, n: int, remembered: int = 400_000):
         self.model, self.n = model, n
         self.memory, self.paths = Memory(remembered), Memory(remembered // 10)
 
@@ -206,7 +217,7 @@ class Segmenter:
         self.memory.room()
         for s in self.memory.missing(parts):
             score, ids, gap = self.model.best_and_gap(s)
-            self.memory.new[s] = (score, np.array(ids, "<u4").tobytes() if gap else self.n_best(s)[0][1], gap)
+            self.memory.new[s] = (score, pack("<%dI" % len(ids), *ids) if gap else self.n_best(s)[0][1], gap)
         known = self.memory.new
         chosen = [known[s] for s in parts]
         blobs = [c[1] for c in chosen]
