@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadveil.functions import tags, varint
+from roadveil.functions import tags, text, varint
 from roadveil.operators import exposure, graph, routes, zones
 from roadveil.sources.network import derived, oracle
 from roadveil.streaming import requests as streams
@@ -179,7 +179,26 @@ def latest_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.latest(derived(spark, sf_dir, "events"))
 
 
-QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, zone_area, edge_zone_exposure, binary_round_trip, density_grid, request_sessions, latest_request)
+def edge_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metres = F.floor(F.col("length_cm") * (F.col("k") % 40) / 100).cast("long")
+    return derived(spark, sf_dir, "lengths").select("k", text.distance_text(metres).alias("distance"), text.time_text(F.floor(metres * 3 / 240).cast("long")).alias("walk"))
+
+
+def address_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = derived(spark, sf_dir, "nation").join(derived(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    named = derived(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    odd = F.when(F.col("c_custkey") % 3 != 0, F.col("n_name")).otherwise(F.when(F.col("c_custkey") % 2 == 0, ""))
+    return named.select("c_custkey", text.label(F.col("c_name"), odd, F.col("r_name")).alias("label"))
+
+
+def share_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = lambda c: F.col(c).cast("long")
+    profile = F.when(F.col("req_id") % 3 == 0, "walk").when(F.col("req_id") % 3 == 1, "bike").otherwise("boat")
+    made = derived(spark, sf_dir, "points").select("req_id", text.share_link(whole("x"), whole("y"), whole("x") + 100, whole("y") - 50, profile, (F.col("req_id") % 5).cast("string")).alias("link"))
+    return made.withColumn("r", text.read_link(F.col("link"))).filter("r IS NOT NULL").select("req_id", "link", "r.x0", "r.y0", "r.x1", "r.y1", "r.profile", "r.alpha")
+
+
+QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, zone_area, edge_zone_exposure, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -240,6 +259,14 @@ ORACLES = {
       SELECT node_id AS req_id, cost AS cost_cm FROM {nodes} LEFT JOIN reached ON node = node_id""",
     "density_grid": """SELECT gx, gy, CAST(sum(w) AS BIGINT) AS weight, CAST(floor(CAST(sum(mx * w) AS DOUBLE) / CAST(sum(w) AS DOUBLE)) AS BIGINT) AS x_mm, CAST(floor(CAST(sum(my * w) AS DOUBLE) / CAST(sum(w) AS DOUBLE)) AS BIGINT) AS y_mm FROM (
         SELECT CAST(floor(x / 200) AS BIGINT) AS gx, CAST(floor(y / 200) AS BIGINT) AS gy, 1 + req_id % 5 AS w, CAST(x * 1000 AS BIGINT) AS mx, CAST(y * 1000 AS BIGINT) AS my FROM {points}) e GROUP BY gx, gy""",
+    "edge_texts": """SELECT k, CASE WHEN m >= 1000 THEN (c // 100)::VARCHAR || '.' || lpad((c % 100)::VARCHAR, 2, '0') || ' km' ELSE m::VARCHAR || ' m' END AS distance,
+        CASE WHEN t >= 60 THEN (t // 60)::VARCHAR || ' h ' || (t % 60)::VARCHAR || ' min' ELSE t::VARCHAR || ' min' END AS walk
+      FROM (SELECT k, m, CAST(floor(m / 10 + 0.5) AS BIGINT) AS c, CAST(floor(m * 3 / 240) AS BIGINT) AS t FROM (SELECT k, CAST(floor(length_cm * (k % 40) / 100) AS BIGINT) AS m FROM {lengths}) a) b""",
+    "address_labels": """SELECT c_custkey, concat_ws(', ', c_name, CASE WHEN c_custkey % 3 <> 0 THEN n_name END, r_name) AS label FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
+    "share_links": """SELECT req_id, '#r=' || x0 || ',' || y0 || ',' || (x0 + 100) || ',' || (y0 - 50) || '&p=' || profile || '&a=' || a AS link,
+        x0, y0, x0 + 100 AS x1, y0 - 50 AS y1, profile, CAST([0, 5, 15, 1000][a + 1] AS BIGINT) AS alpha
+      FROM (SELECT req_id, CAST(x AS BIGINT) AS x0, CAST(y AS BIGINT) AS y0, req_id % 5 AS a,
+        CASE req_id % 3 WHEN 0 THEN 'walk' WHEN 1 THEN 'bike' END AS profile FROM {points}) q WHERE profile IS NOT NULL AND a < 4""",
     "request_sessions": """SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, arg_max(event_id, (ts, event_id)) AS last_event FROM (
         SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (
           SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000000 THEN 0 ELSE 1 END AS new FROM {events}) a) b GROUP BY user_id, session""",
