@@ -5,8 +5,10 @@ from __future__ import annotations
 import gc
 import heapq
 import re
+import uuid
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -61,28 +63,32 @@ class PieceModel:
         # a mark that no piece has behind a letter or digit begins a segment of its own there
         marks = set(",.;:!?") - {c for p in scores for x, c in zip(p, p[1:], strict=False) if x.isalnum()}
         run = "".join(re.escape(c) for c in sorted(marks))
-        inside = f"(?:(?<![^\\W_])[{run}]|[^{SPACE}{alone}{run}])*" if run else f"[^{SPACE}{alone}]*"
+        plain = f"[^{SPACE}{alone}{run}]*"
+        inside = f"{plain}(?:(?<![^\\W_])[{run}]{plain})*" if run else plain
         pattern = f"{SPACE}*[^{SPACE}{alone}]{inside}|{SPACE}+" + (f"|[{alone}]" if alone else "")
-        trie: dict = {}
+        trie: dict = {}  # character -> [trie below it, ids of the piece that ends here or None, its score]
         for piece, (i, score) in scores.items():
-            node = trie
+            below, node = trie, None
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = ((i,), score)
+                node = below.setdefault(c, [{}, None, 0.0])
+                below = node[0]
+            if node:
+                node[1:] = (i,), score
         return cls(scores, byte_ids, byte_score, spelled, re.compile(".*" if inner else pattern, re.S), trie)
 
     def arcs(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For every end position: (start, ids, score) of the pieces that end there."""
-        size, root, known = len(text), self.trie, self.scores
+        size, known = len(text), self.scores
         out: list[list] = [[] for _ in range(size + 1)]
         for start in range(size):
-            node = root
-            for at in range(start, size):
-                node = node.get(text[at])
+            below = self.trie
+            for end, c in enumerate(text[start:], start + 1):
+                node = below.get(c)
                 if node is None:
                     break
-                if "" in node:
-                    out[at + 1].append((start, *node[""]))
+                below, ids, weight = node
+                if ids:
+                    out[end].append((start, ids, weight))
             if text[start] not in known:
                 raw = text[start].encode()
                 out[start + 1].append((start, tuple(self.byte_ids[b] for b in raw), self.byte_score * len(raw)))
@@ -94,45 +100,40 @@ class PieceModel:
         The second best takes an arc that is not on the best path, so it is the best over
         such arcs of forward score, arc and backward score.
         """
-        size, root, known = len(text), self.trie, self.scores
-        ahead: list = [None] * (size + 1)
-        came: list = [0] * (size + 1)
-        ahead[0], found = 0.0, []
+        size, root, known, low = len(text), self.trie, self.scores, float("-inf")
+        ahead, came, found = [0.0] + [low] * size, [None] * (size + 1), []
         for start in range(size):  # every arc into start has been seen, so its score is final
-            base, node = ahead[start], root
-            for at in range(start, size):
-                node = node.get(text[at])
+            base, below, end = ahead[start], root, start
+            for c in text[start:]:
+                node = below.get(c)
                 if node is None:
                     break
-                if "" in node:
-                    ids, weight = node[""]
-                    found.append((start, at + 1, ids, weight))
-                    old = ahead[at + 1]
-                    if old is None or base + weight > old:
-                        ahead[at + 1], came[at + 1] = base + weight, found[-1]
+                end += 1
+                below, ids, weight = node
+                if ids:
+                    found.append((start, end, weight))
+                    if base + weight > ahead[end]:
+                        ahead[end], came[end] = base + weight, (start, ids)
             if text[start] not in known:
                 raw = text[start].encode()
                 weight = self.byte_score * len(raw)
-                found.append((start, start + 1, tuple(self.byte_ids[b] for b in raw), weight))
-                old = ahead[start + 1]
-                if old is None or base + weight > old:
-                    ahead[start + 1], came[start + 1] = base + weight, found[-1]
-        way, taken, end = {}, [], size
+                found.append((start, start + 1, weight))
+                if base + weight > ahead[start + 1]:
+                    ahead[start + 1], came[start + 1] = base + weight, (start, tuple(self.byte_ids[b] for b in raw))
+        way, taken, end = [-1] * (size + 1), [], size
         while end:
-            start, _, ids, _ = came[end]
-            way[end] = start
+            way[end], ids = came[end]
             taken.append(ids)
-            end = start
-        left: list = [None] * (size + 1)
-        left[size], second = 0.0, None
-        for start, end, _, weight in reversed(found):
+            end = way[end]
+        left, second = [low] * size + [0.0], low
+        for start, end, weight in reversed(found):
             total = left[end] + weight
-            if left[start] is None or total > left[start]:
+            if total > left[start]:
                 left[start] = total
-            if way.get(end) != start and (second is None or ahead[start] + total > second):
+            if way[end] != start and ahead[start] + total > second:
                 second = ahead[start] + total
         path = tuple([i for ids in reversed(taken) for i in ids])
-        return ahead[size], path, float("inf") if second is None else ahead[size] - second
+        return ahead[size], path, ahead[size] - second
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations, best first, equal scores by their ids.
@@ -215,16 +216,20 @@ class Segmenter:
         """
         parts = self.model.segments(text)
         self.memory.room()
-        for s in self.memory.missing(parts):
-            score, ids, gap = self.model.best_and_gap(s)
-            self.memory.new[s] = (score, pack("<%dI" % len(ids), *ids) if gap else self.n_best(s)[0][1], gap)
         known = self.memory.new
-        chosen = [known[s] for s in parts]
-        blobs = [c[1] for c in chosen]
-        score = sum([c[0] for c in chosen])
-        if self.n == 1 or not parts:
+        chosen = list(map(known.get, parts))
+        if None in chosen:
+            for s in self.memory.missing([s for s, c in zip(parts, chosen, strict=True) if c is None]):
+                score, ids, gap = self.model.best_and_gap(s)
+                known[s] = (score, pack("<%dI" % len(ids), *ids) if gap else self.n_best(s)[0][1], gap)
+            chosen = list(map(known.get, parts))
+        if not parts:
+            return [(0, b"")]
+        each, blobs, gaps = zip(*chosen, strict=True)
+        score = sum(each)
+        if self.n == 1:
             return [(score, b"".join(blobs))]
-        gaps = np.array([c[2] for c in chosen])
+        gaps = np.array(gaps)
         few = np.argsort(gaps, kind="stable")[: self.n - 1]
         few = [int(k) for k in few if gaps[k] < np.inf]
         options = [self.n_best(parts[k]) for k in few]
@@ -239,6 +244,13 @@ class Segmenter:
         return out
 
 
+@lru_cache(maxsize=1)
+def segmenter(path: str, n: int, call: str) -> Segmenter:
+    """One a worker process and call of ``encode``, so that its bounded memory serves all tasks of
+    that call; another call begins with an empty one and drops it."""
+    return Segmenter(PieceModel.load(path), n)
+
+
 def encode(docs: DataFrame, n: int = 3, model_path: str | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> the n best segmentations of every whole text, as digests.
 
@@ -249,13 +261,19 @@ def encode(docs: DataFrame, n: int = 3, model_path: str | None = None) -> DataFr
     further columns are ignored.
     """
     path = model_path or vocabulary("piece_bpe_32k.model")
-    names = [c.split()[0] for c in RESULT.split(", ")]
+    names, call = [c.split()[0] for c in RESULT.split(", ")], uuid.uuid4().hex
 
     def run(batches):
-        model = PieceModel.load(path)
-        segment = Segmenter(model, n)
+        segment = segmenter(path, n, call)
+        model = segment.model
         gc.freeze()  # the trie and the memory hold no cycles; walking them time and again costs more than the search
         gc.disable()
+        try:
+            yield from digests(batches, model, segment)
+        finally:
+            gc.enable()
+
+    def digests(batches, model, segment):
         for b in batches:
             rows = []
             for text in b.column(1):
