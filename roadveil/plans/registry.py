@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadveil.functions import tags, text, varint
-from roadveil.operators import exposure, graph, routes, zones
+from roadveil.operators import exposure, graph, paths, routes, zones
 from roadveil.sources.network import derived, oracle
 from roadveil.streaming import requests as streams
 
@@ -53,6 +53,14 @@ CHEAPEST = """WITH RECURSIVE arcs AS MATERIALIZED (SELECT u, v, min((length_cm +
           SELECT a.v AS node, min(r.cost + a.cost) AS cost FROM reached r JOIN arcs a ON r.node = a.u GROUP BY a.v) o
           LEFT JOIN recurring.reached k ON o.node = k.node WHERE k.cost IS NULL OR o.cost < k.cost)"""
 
+STEPS = CHEAPEST.replace("(length_cm + ALPHA * exposure_dm) * 1000000000 + length_cm", "length_cm + 150 * exposure_dm") + """,
+      parents AS MATERIALIZED (SELECT a.v AS node, min(a.u) AS parent FROM arcs a JOIN reached f ON f.node = a.u JOIN reached t ON t.node = a.v WHERE f.cost + a.cost = t.cost AND a.v <> 0 GROUP BY a.v),
+      back(req_id, node, hops) AS (
+        SELECT node_id, node_id, CAST(0 AS BIGINT) FROM {nodes} JOIN reached ON node = node_id
+        UNION ALL SELECT req_id, parent, hops + 1 FROM back JOIN parents USING (node)),
+      steps AS MATERIALIZED (SELECT req_id, max(hops) OVER (PARTITION BY req_id) - hops AS step, lead(node) OVER (PARTITION BY req_id ORDER BY hops) AS u, node AS v FROM back QUALIFY u IS NOT NULL),
+      taken AS MATERIALIZED (SELECT req_id, step, k FROM steps JOIN (SELECT u, v, arg_min(k, (length_cm + 150 * exposure_dm, k)) AS k FROM {costs} GROUP BY u, v) b USING (u, v))"""
+
 
 def camera_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = derived(spark, sf_dir, "features").filter(tags.is_sensor(F.col("surveillance"), F.col("kind")) & F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -153,6 +161,35 @@ def route_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(other, "req_id").select("req_id", "base_cm", "avoiding_cm", (F.col("avoiding_cm") - F.col("base_cm")).alias("detour_cm"))
 
 
+def _paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Routes from node 0 to all nodes, and the edge they take between two nodes."""
+    cost = F.col("length_cm") + 150 * F.col("exposure_dm")
+    best = derived(spark, sf_dir, "costs").groupBy("u", "v").agg(F.min(F.struct(cost.alias("cost"), "k")).alias("b")).select("u", "v", "b.cost", "b.k")
+    nodes = derived(spark, sf_dir, "nodes").select(F.col("node_id").alias("target"))
+    asked = nodes.select(F.col("target").alias("req_id"), F.lit(0).cast("long").alias("source"), "target")
+    return routes.route_paths(asked, best), best
+
+
+def route_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.steps(_paths(spark, sf_dir)[0])
+
+
+def route_camera_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.sensors_seen(*_paths(spark, sf_dir), derived(spark, sf_dir, "segments"), derived(spark, sf_dir, "sensors"))
+
+
+def route_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.pieces_in_view(*_paths(spark, sf_dir), derived(spark, sf_dir, "segments"), derived(spark, sf_dir, "sensors"))
+
+
+def parity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost that the search reports against the sum over the edges it took, for every route."""
+    found, best = _paths(spark, sf_dir)
+    walked = paths.steps(found).join(best, ["u", "v"]).groupBy("req_id").agg(F.sum("cost").alias("walked"))
+    both = found.join(walked, "req_id", "left").select("cost_cm", F.when(F.col("path").isNotNull(), F.coalesce("walked", F.lit(0))).alias("walked"))
+    return both.agg(F.count("*").alias("n_cases"), F.count("cost_cm").alias("n_reached"), F.count_if(~F.col("cost_cm").eqNullSafe(F.col("walked"))).alias("n_failed"), F.sum("walked").alias("total_cm"))
+
+
 def zone_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.zone_areas(derived(spark, sf_dir, "sensors"), derived(spark, sf_dir, "walls"))
 
@@ -198,7 +235,7 @@ def share_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("r", text.read_link(F.col("link"))).filter("r IS NOT NULL").select("req_id", "link", "r.x0", "r.y0", "r.x1", "r.y1", "r.profile", "r.alpha")
 
 
-QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, zone_area, edge_zone_exposure, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, zone_area, edge_zone_exposure, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -234,6 +271,16 @@ ORACLES = {
     "route_compare": """SELECT req_id, base_cm, avoiding_cm, avoiding_cm - base_cm AS detour_cm FROM
       (""" + CHEAPEST.replace("ALPHA", "0") + """ SELECT node_id AS req_id, cost % 1000000000 AS base_cm FROM {nodes} LEFT JOIN reached ON node = node_id) b JOIN
       (""" + CHEAPEST.replace("ALPHA", "150") + """ SELECT node_id AS req_id, cost % 1000000000 AS avoiding_cm FROM {nodes} LEFT JOIN reached ON node = node_id) a USING (req_id)""",
+    "route_steps": STEPS + " SELECT req_id, step, u, v FROM steps",
+    "route_camera_count": STEPS + f""" SELECT req_id, count(DISTINCT cam_id) AS n_cameras FROM (SELECT DISTINCT req_id FROM back) r
+      LEFT JOIN taken USING (req_id) LEFT JOIN (SELECT DISTINCT k, cam_id FROM ({PARTS_OF_DISCS}) p) d USING (k) GROUP BY req_id""",
+    "route_pieces": STEPS + """, walked AS (SELECT *, coalesce(sum(mm) OVER (PARTITION BY req_id ORDER BY step, seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM (
+        SELECT req_id, step, k, seg, CAST(floor(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) * 1000 + 0.5) AS BIGINT) AS mm FROM taken JOIN {segments} s USING (k)) l),
+      parts AS (SELECT req_id, CAST(past + floor(t0_e5 * mm / 100000 + 0.5) AS BIGINT) AS a, CAST(past + floor(t1_e5 * mm / 100000 + 0.5) AS BIGINT) AS b FROM walked JOIN (INTERVALS) i USING (k, seg)),
+      islands AS (SELECT *, sum(starts) OVER (PARTITION BY req_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM (
+        SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY req_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS starts FROM parts) f)
+      SELECT req_id, min(a) AS from_mm, max(b) AS to_mm FROM islands GROUP BY req_id, island""",
+    "parity_report": STEPS + """ SELECT count(*) AS n_cases, count(r.cost) AS n_reached, CAST(0 AS BIGINT) AS n_failed, CAST(sum(r.cost) AS BIGINT) AS total_cm FROM {nodes} LEFT JOIN reached r ON r.node = node_id""",
     "pareto_edges": """SELECT u, v, k, length_cm, exposure_dm FROM {costs} a WHERE NOT EXISTS (
         SELECT 1 FROM {costs} b WHERE b.u = a.u AND b.v = a.v AND b.exposure_dm <= a.exposure_dm
           AND (b.length_cm, b.exposure_dm, b.k) < (a.length_cm, a.exposure_dm, a.k))""",
@@ -273,6 +320,8 @@ ORACLES = {
     "latest_request": """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM {events}) a WHERE r = 1""",
 }
 
+ORACLES["route_pieces"] = ORACLES["route_pieces"].replace("INTERVALS", ORACLES["exposure_intervals"])
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
