@@ -15,6 +15,13 @@ def steps(paths: DataFrame) -> DataFrame:
     return paths.filter("size(path) > 1").select("req_id", F.explode(F.expr(pair)).alias("s")).select("req_id", "s.step", "s.u", "s.v")
 
 
+def tracks(paths: DataFrame, positions: DataFrame) -> DataFrame:
+    """``positions(node_id, lat, lon)`` -> ``(req_id, points)``: a route's positions in order."""
+    each = paths.select("req_id", F.posexplode("path").alias("n", "node_id")).join(positions, "node_id")
+    points = F.array_sort(F.collect_list(F.struct("n", "lat", "lon")))
+    return each.groupBy("req_id").agg(points.alias("points"))
+
+
 def step_edges(paths: DataFrame, best: DataFrame) -> DataFrame:
     """``best(u, v, k)``, the edge taken between two nodes -> ``(req_id, step, k)``."""
     return steps(paths).join(best, ["u", "v"]).select("req_id", "step", "k")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadveil.functions import tags, text, varint
+from roadveil.functions import features, projection, tags, text, varint
 from roadveil.operators import exposure, graph, paths, routes, zones
 from roadveil.sources.network import derived, oracle
 from roadveil.streaming import requests as streams
@@ -53,6 +53,13 @@ CHEAPEST = """WITH RECURSIVE arcs AS MATERIALIZED (SELECT u, v, min((length_cm +
           SELECT a.v AS node, min(r.cost + a.cost) AS cost FROM reached r JOIN arcs a ON r.node = a.u GROUP BY a.v) o
           LEFT JOIN recurring.reached k ON o.node = k.node WHERE k.cost IS NULL OR o.cost < k.cost)"""
 
+ZONE = 33
+SERIES = lambda cs, one, other, sign: " ".join(f"{sign} ({c!r}::DOUBLE) * {one}(xi * {2 * j}) * {other}(eta * {2 * j})" for j, c in enumerate(cs, 1))
+DEGREES = f"""SELECT node_id, degrees(chi {" ".join(f"+ ({d!r}::DOUBLE) * sin(chi * {2 * j})" for j, d in enumerate(projection.DELTA, 1))}) AS lat, degrees(atan2(sinh(eta), cos(xi))) + {projection.meridian(ZONE)!r} AS lon FROM (
+      SELECT node_id, xi, eta, asin(sin(xi) / cosh(eta)) AS chi FROM (
+        SELECT node_id, xi {SERIES(projection.BETA, "sin", "cosh", "-")} AS xi, eta {SERIES(projection.BETA, "cos", "sinh", "-")} AS eta FROM (
+          SELECT node_id, y / {projection.RADIUS!r}::DOUBLE AS xi, (x - 500000) / {projection.RADIUS!r}::DOUBLE AS eta FROM {{nodes}}) a) b) c"""
+MICRO = lambda c: f"({c} // 1000000)::VARCHAR || '.' || lpad(({c} % 1000000)::VARCHAR, 6, '0')"
 STEPS = CHEAPEST.replace("(length_cm + ALPHA * exposure_dm) * 1000000000 + length_cm", "length_cm + 150 * exposure_dm") + """,
       parents AS MATERIALIZED (SELECT a.v AS node, min(a.u) AS parent FROM arcs a JOIN reached f ON f.node = a.u JOIN reached t ON t.node = a.v WHERE f.cost + a.cost = t.cost AND a.v <> 0 GROUP BY a.v),
       back(req_id, node, hops) AS (
@@ -235,7 +242,43 @@ def share_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("r", text.read_link(F.col("link"))).filter("r IS NOT NULL").select("req_id", "link", "r.x0", "r.y0", "r.x1", "r.y1", "r.profile", "r.alpha")
 
 
-QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, zone_area, edge_zone_exposure, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+def _degrees(nodes: DataFrame, unit: int) -> DataFrame:
+    lat, lon = projection.to_degrees(F.col("x"), F.col("y"), ZONE)
+    whole = lambda c: F.floor(c * unit + 0.5).cast("long")
+    return nodes.select("node_id", whole(lat).alias("lat"), whole(lon).alias("lon"))
+
+
+def projection_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in degrees * 1e7, and those in centimetres again."""
+    found = _degrees(derived(spark, sf_dir, "nodes"), 10_000_000)
+    x, y = projection.to_metres(F.col("lat") / 10000000, F.col("lon") / 10000000, ZONE)
+    cm = lambda c: F.floor(c * 100 + 0.5).cast("long")
+    return found.select("node_id", F.col("lat").alias("lat_e7"), F.col("lon").alias("lon_e7"), cm(x).alias("x_cm"), cm(y).alias("y_cm"))
+
+
+def stored_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.stored_geometry(derived(spark, sf_dir, "edges"))
+
+
+def camera_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = camera_filter(spark, sf_dir)
+    made = found.select("osm_id", features.point_feature(F.col("x"), F.col("y"), {"osm_id": F.col("osm_id")}).alias("feature"))
+    back = made.withColumn("f", features.read_point(F.col("feature")))
+    metre = lambda i: F.col("f.geometry.coordinates")[i].cast("long")
+    return back.select(F.col("f.properties")["osm_id"].alias("osm_id"), "feature", metre(0).alias("x"), metre(1).alias("y"))
+
+
+def zone_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = zones.zone_rings(derived(spark, sf_dir, "sensors"), derived(spark, sf_dir, "walls"))
+    return rings.select("cam_id", features.polygon(F.col("ring")).alias("geometry"))
+
+
+def route_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paths.tracks(_paths(spark, sf_dir)[0], _degrees(derived(spark, sf_dir, "nodes"), 1_000_000))
+    return found.select("req_id", features.track(F.col("points"), F.concat(F.lit("route "), F.col("req_id").cast("string"))).alias("gpx"))
+
+
+QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, zone_area, edge_zone_exposure, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -281,6 +324,25 @@ ORACLES = {
         SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY req_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS starts FROM parts) f)
       SELECT req_id, min(a) AS from_mm, max(b) AS to_mm FROM islands GROUP BY req_id, island""",
     "parity_report": STEPS + """ SELECT count(*) AS n_cases, count(r.cost) AS n_reached, CAST(0 AS BIGINT) AS n_failed, CAST(sum(r.cost) AS BIGINT) AS total_cm FROM {nodes} LEFT JOIN reached r ON r.node = node_id""",
+    "projection_round_trip": f"""SELECT node_id, lat_e7, lon_e7,
+        CAST(floor(((eta {SERIES(projection.ALPHA, "cos", "sinh", "+")}) * {projection.RADIUS!r}::DOUBLE + 500000) * 100 + 0.5) AS BIGINT) AS x_cm,
+        CAST(floor((xi {SERIES(projection.ALPHA, "sin", "cosh", "+")}) * {projection.RADIUS!r}::DOUBLE * 100 + 0.5) AS BIGINT) AS y_cm FROM (
+          SELECT node_id, lat_e7, lon_e7, atan2(t, cos(turn)) AS xi, atanh(sin(turn) / sqrt(1 + t * t)) AS eta FROM (
+            SELECT node_id, lat_e7, lon_e7, radians(lon_e7 / 10000000 - {projection.meridian(ZONE)!r}) AS turn,
+              sinh(atanh(sin(radians(lat_e7 / 10000000))) - {projection.ECCENTRICITY!r}::DOUBLE * atanh({projection.ECCENTRICITY!r}::DOUBLE * sin(radians(lat_e7 / 10000000)))) AS t FROM (
+              SELECT node_id, CAST(floor(lat * 10000000 + 0.5) AS BIGINT) AS lat_e7, CAST(floor(lon * 10000000 + 0.5) AS BIGINT) AS lon_e7 FROM ({DEGREES}) d) e) f) g""",
+    "stored_geometry": """SELECT k, CAST(floor(bend * 1000 + 0.5) AS BIGINT) AS bend_mm, length > 75 OR bend > 5 AS stored FROM (
+        SELECT k, sqrt(px * px + py * py) + sqrt((bx - mx) * (bx - mx) + (by_ - my) * (by_ - my)) AS length, sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy)) AS bend FROM (
+          SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0.0, least(1.0, (px * dx + py * dy) / (dx * dx + dy * dy))) ELSE 0.0 END AS t FROM (
+            SELECT *, bx - ax AS dx, by_ - ay AS dy, mx - ax AS px, my - ay AS py FROM {edges}) a) b) c""",
+    "camera_features": """SELECT osm_id, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || x || ',' || y || ']},"properties":{"osm_id":"' || osm_id || '"}}' AS feature, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y
+      FROM (SELECT type || '/' || id AS osm_id, x, y FROM {features} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR """ + KINDS + """) AND x IS NOT NULL AND y IS NOT NULL) c""",
+    "zone_features": FANS + """, ends AS (SELECT cam_id, max(ray) AS last, max(ray) < 100 AS cone FROM fans GROUP BY cam_id),
+      corners AS (SELECT cam_id, ray AS n, ax AS x, ay AS y FROM fans UNION ALL SELECT cam_id, ray + 1, bx, by_ FROM fans JOIN ends USING (cam_id) WHERE ray = last
+        UNION ALL SELECT cam_id, unnest([-1, 1000]), cx, cy FROM fans JOIN ends USING (cam_id) WHERE ray = 0 AND cone)
+      SELECT cam_id, '{"type":"Polygon","coordinates":[[' || string_agg('[' || CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT) || ']', ',' ORDER BY n) || ']]}' AS geometry FROM corners GROUP BY cam_id""",
+    "route_tracks": STEPS + f""", d AS MATERIALIZED (SELECT node_id AS node, CAST(floor(lat * 1000000 + 0.5) AS BIGINT) AS lat, CAST(floor(lon * 1000000 + 0.5) AS BIGINT) AS lon FROM ({DEGREES}) g)
+      SELECT req_id, '<trk><name>route ' || req_id || '</name><trkseg>' || string_agg('<trkpt lat="' || {MICRO("lat")} || '" lon="' || {MICRO("lon")} || '"/>', '' ORDER BY hops DESC) || '</trkseg></trk>' AS gpx FROM back JOIN d USING (node) GROUP BY req_id""",
     "pareto_edges": """SELECT u, v, k, length_cm, exposure_dm FROM {costs} a WHERE NOT EXISTS (
         SELECT 1 FROM {costs} b WHERE b.u = a.u AND b.v = a.v AND b.exposure_dm <= a.exposure_dm
           AND (b.length_cm, b.exposure_dm, b.k) < (a.length_cm, a.exposure_dm, a.k))""",

@@ -5,8 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from roadveil.functions import tags
-from roadveil.operators import exposure, graph, routes, zones
+from roadveil.functions import features, projection, tags
+from roadveil.operators import exposure, graph, paths, routes, zones
 from roadveil.streaming import requests as streams
 
 
@@ -93,3 +93,41 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     query.awaitTermination(120)
     want = streams.latest(spark.read.parquet("/root/testdata/sf0.001/events.parquet")).collect()
     assert sorted(map(tuple, spark.table("latest_requests").collect())) == sorted(map(tuple, want))
+
+
+def test_projection_meets_known_arcs(spark):
+    """Equator to 45 degrees and to the pole along the meridian, and the edge of a zone at the equator."""
+    rows = spark.createDataFrame([(1, 45.0, 15.0), (2, 89.99999999, 15.0), (3, 0.0, 18.0), (4, None, 15.0), (5, 52.5, 13.4)], "id int, lat double, lon double")
+    x, y = projection.to_metres(F.col("lat"), F.col("lon"), 33)
+    there = rows.select("id", "lat", "lon", x.alias("x"), y.alias("y"))
+    lat, lon = projection.to_degrees(F.col("x"), F.col("y"), 33)
+    found = {r.id: r for r in there.withColumns({"lat2": lat, "lon2": lon}).collect()}
+    assert abs(found[1].x - 500000) < 1e-3 and abs(found[1].y - 0.9996 * 4984944.378) < 2e-3
+    assert abs(found[2].y - 0.9996 * 10001965.729) < 3e-3
+    assert abs(found[3].x - 833978.557) < 2e-3 and abs(found[3].y) < 1e-3
+    assert found[4].x is None and found[4].lat2 is None
+    assert abs(found[5].lat2 - 52.5) < 1e-10 and abs(found[5].lon2 - 13.4) < 1e-10
+
+
+def test_paths_take_smallest_nodes_and_keep_unreached(spark):
+    arcs = spark.createDataFrame([(1, 2, 5), (1, 3, 5), (2, 4, 5), (3, 4, 5), (4, 5, 1), (6, 1, 1)], "u long, v long, cost long")
+    asked = spark.createDataFrame([(10, 1, 5), (11, 1, 6), (12, 1, 1), (13, 9, 1), (14, 1, None)], "req_id long, source long, target long")
+    found = {r.req_id: (r.cost_cm, r.path) for r in routes.route_paths(asked, arcs).collect()}
+    assert found == {10: (11, [1, 2, 4, 5]), 11: (None, None), 12: (0, [1]), 13: (None, None), 14: (None, None)}
+    walked = paths.steps(routes.route_paths(asked, arcs))
+    assert sorted(map(tuple, walked.collect())) == [(10, 1, 1, 2), (10, 2, 2, 4), (10, 3, 4, 5)]
+    assert paths.steps(routes.route_paths(asked.limit(0), arcs)).count() == 0
+
+
+def test_point_feature_leaves_out_nulls_and_reads_back(spark):
+    rows = spark.createDataFrame([(1.5, 2.0, "a", None), (0.0, -1.0, None, 'q"')], "x double, y double, a string, b string")
+    made = rows.select(features.point_feature(F.col("x"), F.col("y"), {"a": F.col("a"), "b": F.col("b")}).alias("t"))
+    back = [r.f for r in made.select(features.read_point(F.col("t")).alias("f")).collect()]
+    assert [(f.geometry.coordinates, f.properties) for f in back] == [([1.5, 2.0], {"a": "a"}), ([0.0, -1.0], {"b": 'q"'})]
+    assert spark.createDataFrame([("no",)], "t string").select(features.read_point(F.col("t")).alias("f")).first().f.geometry is None
+
+
+def test_stored_geometry_of_loops_and_bends(spark):
+    edges = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0, 20.0, 0.0), (2, 0.0, 0.0, 10.0, 6.0, 20.0, 0.0), (3, 0.0, 0.0, 0.0, 4.0, 0.0, 0.0), (4, 0.0, 0.0, 40.0, 0.0, 80.0, 0.0), (5, 0.0, 0.0, 30.0, 0.0, 20.0, 0.0)], "k int, ax double, ay double, mx double, my double, bx double, by_ double")
+    found = {r.k: (r.bend_mm, r.stored) for r in graph.stored_geometry(edges).collect()}
+    assert found == {1: (0, False), 2: (6000, True), 3: (4000, False), 4: (0, True), 5: (10000, True)}
