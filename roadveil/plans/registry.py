@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadveil.functions import features, projection, tags, text, varint
-from roadveil.operators import exposure, graph, paths, routes, zones
+from roadveil.operators import answers, exposure, graph, paths, routes, zones
 from roadveil.sources.network import derived, oracle
 from roadveil.streaming import requests as streams
 
@@ -68,6 +68,9 @@ STEPS = CHEAPEST.replace("(length_cm + ALPHA * exposure_dm) * 1000000000 + lengt
       steps AS MATERIALIZED (SELECT req_id, max(hops) OVER (PARTITION BY req_id) - hops AS step, lead(node) OVER (PARTITION BY req_id ORDER BY hops) AS u, node AS v FROM back QUALIFY u IS NOT NULL),
       taken AS MATERIALIZED (SELECT req_id, step, k FROM steps JOIN (SELECT u, v, arg_min(k, (length_cm + 150 * exposure_dm, k)) AS k FROM {costs} GROUP BY u, v) b USING (u, v))"""
 
+WALKED = STEPS + """ SELECT req_id, coalesce(string_agg(v::VARCHAR, ',' ORDER BY step), '') AS way, CAST(coalesce(sum(length_cm), 0) AS BIGINT) AS cm, CAST(coalesce(sum(exposure_dm), 0) AS BIGINT) AS dm
+      FROM (SELECT DISTINCT req_id FROM back) r LEFT JOIN taken USING (req_id) LEFT JOIN {costs} c USING (k) GROUP BY req_id"""
+
 
 def camera_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = derived(spark, sf_dir, "features").filter(tags.is_sensor(F.col("surveillance"), F.col("kind")) & F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -168,10 +171,10 @@ def route_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(other, "req_id").select("req_id", "base_cm", "avoiding_cm", (F.col("avoiding_cm") - F.col("base_cm")).alias("detour_cm"))
 
 
-def _paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _paths(spark: SparkSession, sf_dir: str, alpha: int = 15) -> tuple[DataFrame, DataFrame]:
     """Routes from node 0 to all nodes, and the edge they take between two nodes."""
-    cost = F.col("length_cm") + 150 * F.col("exposure_dm")
-    best = derived(spark, sf_dir, "costs").groupBy("u", "v").agg(F.min(F.struct(cost.alias("cost"), "k")).alias("b")).select("u", "v", "b.cost", "b.k")
+    cost = F.col("length_cm") + 10 * alpha * F.col("exposure_dm")
+    best = derived(spark, sf_dir, "costs").groupBy("u", "v").agg(F.min(F.struct(cost.alias("cost"), "k", "length_cm", "exposure_dm")).alias("b")).select("u", "v", "b.*")
     nodes = derived(spark, sf_dir, "nodes").select(F.col("node_id").alias("target"))
     asked = nodes.select(F.col("target").alias("req_id"), F.lit(0).cast("long").alias("source"), "target")
     return routes.route_paths(asked, best), best
@@ -197,6 +200,24 @@ def parity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count("*").alias("n_cases"), F.count("cost_cm").alias("n_reached"), F.count_if(~F.col("cost_cm").eqNullSafe(F.col("walked"))).alias("n_failed"), F.sum("walked").alias("total_cm"))
 
 
+def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.checked(derived(spark, sf_dir, "asks"))
+
+
+def _walked(spark: SparkSession, sf_dir: str, alpha: int) -> DataFrame:
+    """The nodes, length and exposure of every route, by the edges it takes."""
+    found, best = _paths(spark, sf_dir, alpha)
+    sums = paths.steps(found).join(best, ["u", "v"]).groupBy("req_id").agg(F.sum("length_cm").alias("cm"), F.sum("exposure_dm").alias("dm"))
+    return found.filter("path IS NOT NULL").select("req_id", "path").join(sums, "req_id", "left").select("req_id", "path", F.coalesce("cm", F.lit(0)).alias("cm"), F.coalesce("dm", F.lit(0)).alias("dm"))
+
+
+def route_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = _walked(spark, sf_dir, 0).toDF("req_id", "plain", "plain_cm", "plain_dm")
+    both = plain.join(_walked(spark, sf_dir, 15).toDF("req_id", "other", "other_cm", "other_dm"), "req_id")
+    word = answers.verdict(F.col("req_id") % 4, F.col("plain") == F.col("other"), F.col("plain_dm"), F.col("other_dm"))
+    return both.select("req_id", word.alias("verdict"), (F.col("other_cm") - F.col("plain_cm")).alias("extra_cm"), "plain_dm", "other_dm")
+
+
 def zone_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.zone_areas(derived(spark, sf_dir, "sensors"), derived(spark, sf_dir, "walls"))
 
@@ -278,7 +299,7 @@ def route_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("req_id", features.track(F.col("points"), F.concat(F.lit("route "), F.col("req_id").cast("string"))).alias("gpx"))
 
 
-QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, zone_area, edge_zone_exposure, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, request_checks, route_verdicts, zone_area, edge_zone_exposure, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -343,6 +364,11 @@ ORACLES = {
       SELECT cam_id, '{"type":"Polygon","coordinates":[[' || string_agg('[' || CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT) || ']', ',' ORDER BY n) || ']]}' AS geometry FROM corners GROUP BY cam_id""",
     "route_tracks": STEPS + f""", d AS MATERIALIZED (SELECT node_id AS node, CAST(floor(lat * 1000000 + 0.5) AS BIGINT) AS lat, CAST(floor(lon * 1000000 + 0.5) AS BIGINT) AS lon FROM ({DEGREES}) g)
       SELECT req_id, '<trk><name>route ' || req_id || '</name><trkseg>' || string_agg('<trkpt lat="' || {MICRO("lat")} || '" lon="' || {MICRO("lon")} || '"/>', '' ORDER BY hops DESC) || '</trkseg></trk>' AS gpx FROM back JOIN d USING (node) GROUP BY req_id""",
+    "request_checks": """SELECT req_id, CAST(status AS BIGINT) AS status, CAST(CASE WHEN status <> 200 THEN 0 WHEN a > 0 THEN 2 ELSE 1 END AS BIGINT) AS n_routes FROM (
+        SELECT req_id, a, CASE WHEN lat IS NULL OR abs(lat) > 90 OR lon IS NULL OR abs(lon) > 180 OR a < 0 OR a > 1000 THEN 422 WHEN profile = 'boat' THEN 503 ELSE 200 END AS status
+        FROM (SELECT *, coalesce(alpha, 15) AS a FROM {asks}) b) c""",
+    "route_verdicts": f"""SELECT req_id, CASE WHEN req_id % 4 = 0 THEN CASE WHEN p.dm > 0 THEN 'seen' ELSE 'clear' END WHEN p.way = o.way THEN 'least' WHEN o.dm = 0 THEN 'unseen' ELSE 'detour' END AS verdict,
+        o.cm - p.cm AS extra_cm, p.dm AS plain_dm, o.dm AS other_dm FROM ({WALKED.replace("150 *", "0 *")}) p JOIN ({WALKED}) o USING (req_id)""",
     "pareto_edges": """SELECT u, v, k, length_cm, exposure_dm FROM {costs} a WHERE NOT EXISTS (
         SELECT 1 FROM {costs} b WHERE b.u = a.u AND b.v = a.v AND b.exposure_dm <= a.exposure_dm
           AND (b.length_cm, b.exposure_dm, b.k) < (a.length_cm, a.exposure_dm, a.k))""",

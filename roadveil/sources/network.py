@@ -50,6 +50,10 @@ SQL = {
     "points": """SELECT event_id AS req_id, CAST(399700 + (event_id * 7919) % 2600 + (event_id % 7) AS DOUBLE) AS x,
         CAST(5799700 + (event_id * 104729) % (height + 600) AS DOUBLE) AS y
       FROM {events} CROSS JOIN {extent}""",
+    "asks": """SELECT event_id AS req_id, CASE WHEN event_id % 17 <> 0 THEN CAST((event_id * 37) % 200 - 100 AS DOUBLE) END AS lat,
+        CAST((event_id * 53) % 400 - 200 AS DOUBLE) AS lon, CASE event_id % 5 WHEN 0 THEN 'walk' WHEN 1 THEN 'bike' WHEN 2 THEN 'boat' END AS profile,
+        CASE WHEN event_id % 7 = 1 THEN 0.0 WHEN event_id % 7 > 1 THEN CAST((event_id * 11) % 1100 - 20 AS DOUBLE) END AS alpha
+      FROM {events}""",
     "costs": """SELECT l.k, l.u, l.v, l.length_cm, (l.length_cm * (l.k % 7)) % 400 AS exposure_dm FROM {lengths} l""",
     "alphas": "SELECT * FROM (VALUES (0), (5), (15), (60), (1000)) AS t(alpha)",
 }

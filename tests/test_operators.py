@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadveil.functions import features, projection, tags
-from roadveil.operators import exposure, graph, paths, routes, zones
+from roadveil.operators import answers, exposure, graph, paths, routes, zones
 from roadveil.streaming import requests as streams
 
 
@@ -131,3 +131,13 @@ def test_stored_geometry_of_loops_and_bends(spark):
     edges = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0, 20.0, 0.0), (2, 0.0, 0.0, 10.0, 6.0, 20.0, 0.0), (3, 0.0, 0.0, 0.0, 4.0, 0.0, 0.0), (4, 0.0, 0.0, 40.0, 0.0, 80.0, 0.0), (5, 0.0, 0.0, 30.0, 0.0, 20.0, 0.0)], "k int, ax double, ay double, mx double, my double, bx double, by_ double")
     found = {r.k: (r.bend_mm, r.stored) for r in graph.stored_geometry(edges).collect()}
     assert found == {1: (0, False), 2: (6000, True), 3: (4000, False), 4: (0, True), 5: (10000, True)}
+
+
+def test_request_status_and_verdicts(spark):
+    rows = [(1, 52.0, 13.0, None, None, 200, 2), (2, 52.0, 13.0, "bike", 0.0, 200, 1), (3, 91.0, 13.0, "boat", 5.0, 422, 0), (4, None, 13.0, "walk", 5.0, 422, 0), (5, -90.0, 180.0, "boat", 1000.0, 503, 0), (6, 0.0, 0.0, "walk", 1000.5, 422, 0)]
+    asked = spark.createDataFrame(rows, "req_id int, lat double, lon double, profile string, alpha double, status long, n long")
+    found = {r.req_id: (r.status, r.n_routes) for r in answers.checked(asked).collect()}
+    assert found == {r[0]: r[-2:] for r in rows}
+    cases = [(0, False, 5, 0, "seen"), (0, True, 0, 0, "clear"), (15, True, 5, 5, "least"), (15, False, 5, 0, "unseen"), (15, False, 5, 2, "detour")]
+    told = spark.createDataFrame(cases, "alpha int, same boolean, a int, b int, want string")
+    assert told.filter(answers.verdict(F.col("alpha"), F.col("same"), F.col("a"), F.col("b")) != F.col("want")).count() == 0
