@@ -6,7 +6,6 @@ import hashlib
 import re
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -21,8 +20,6 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W_]+")
 NOT_DIGIT = re.compile(r"[^0-9]")
-CONTEXT = 5
-REACH = 400
 
 
 def luhn(digits: str) -> bool:
@@ -72,68 +69,75 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else NOT_DIGIT.sub('', value) if kind != 'ip' else value}"
 
 
-def contexts(text: str, spans) -> list[tuple[str, str, int]]:
-    """(entity, term, hash of the surroundings): the words next to every base span."""
-    out = []
-    for kind, s, e in spans:
-        before = WORD.findall(text[max(0, s - REACH) : s].lower())[-CONTEXT:]
-        after = WORD.findall(text[e : e + REACH].lower())[:CONTEXT]
-        near = xxhash.xxh64_intdigest(" ".join([*before, "|", *after]), 7) >> 1
-        out += [(entity(kind, text[s:e]), t, near) for t in sorted({*before, *after})]
-    return out
+def free_words(text: str, base):
+    """Matches of the words outside of base spans."""
+    taken, k = sorted((s, e) for _, s, e in base), 0
+    for m in WORD.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if not any(s < m.end() and m.start() < e for s, e in taken[k : k + len(KINDS) + 1]):
+            yield m
 
 
-FOUND = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,term:string,near:long>>"
+FOUND = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, words array<string>"
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """Patterns over whole texts, and the surroundings of what they find."""
+    """Patterns over whole texts; where they find something, the entities and all other words of the text."""
 
     def run(batches):
-        pair = pa.struct([("entity", pa.string()), ("term", pa.string()), ("near", pa.int64())])
         names = [c.split()[0] for c in FOUND.split(", ")]
         for b in batches:
             rows = []
             for text in b.column(2):
                 text = text.as_py() or ""
                 spans = base_spans(text)
-                rows.append(([sum(s[0] == k for s in spans) for k in KINDS], said(spans), [dict(zip(("entity", "term", "near"), c, strict=True)) for c in contexts(text, spans)]))
+                entities = sorted({entity(k, text[s:e]) for k, s, e in spans})
+                words = sorted({m[0].lower() for m in free_words(text, spans)}) if spans else []
+                rows.append(([sum(s[0] == k for s in spans) for k in KINDS], said(spans), entities, words))
             counts = [pa.array([r[0][i] for r in rows], pa.int64()) for i in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *counts, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pair))], names=names)
+            lists = [pa.array([r[i] for r in rows], pa.list_(pa.string())) for i in (2, 3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *counts, pa.array([r[1] for r in rows], pa.string()), *lists], names=names)
 
     text = docs["text"].cast("string")
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, FOUND)
 
 
-def revealing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, least_contexts: int = 3, alpha: float = 1.5) -> DataFrame:
+def pairs_of(texts: DataFrame) -> DataFrame:
+    """``(key, n, entity, term)``: every entity of a text with every word outside of its spans."""
+    return texts.select("key", "n", "words", F.explode("entities").alias("entity")).select("key", "n", "entity", F.explode("words").alias("term"))
+
+
+def revealing_terms(spark: SparkSession, docs: DataFrame, texts: DataFrame, alpha: float = 1.5) -> DataFrame:
     """``(entity, term, grade)``: the terms that disclose an entity.
 
     Over all documents: information of an entity ``IC(c) = log2(N / n(c))``, and what a
-    term near it tells of it, ``PMI(c, t) = log2(N n(c, t) / (n(c) n(t)))``. A term that
-    stands next to the entity in ``least_contexts`` different surroundings (copies of one
-    passage are one) is removed if PMI >= IC / alpha, generalised if PMI >= IC / (2 alpha) and
-    over one bit. Counts are of documents; n(t) counts every document with the word.
+    term in the same document tells of it, ``PMI(c, t) = log2(N n(c, t) / (n(c) n(t)))``. A term
+    is removed if PMI >= IC / alpha, generalised if PMI >= IC / (2 alpha) and over one bit. Counts
+    are of whole documents, plain: an entity mentioned once is disclosed by all rare words beside it.
+    ``texts(key, n, entities, words)`` has each different text once, ``n`` times in the table.
     """
     total = docs.count()
-    near = found.filter(F.size("near") > 0).select("key", F.inline("near"))
-    joint = near.groupBy("entity", "term", "near").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("surroundings")).filter(F.col("surroundings") >= least_contexts)
-    joint = staged(spark, joint, "joint")
-    per_entity = found.filter(F.size("near") > 0).select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
+    joint = staged(spark, pairs_of(texts).groupBy("entity", "term").agg(F.sum("n").alias("both")), "joint")
+    per_entity = texts.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_c"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(docs["text"].cast("string")), r"[^\p{L}\p{N}]+"))).alias("term"))
     # counted before the join: a common word then costs it one row
     per_term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(joint.select("term").distinct(), "term")
-    told = joint.join(per_entity, "entity").join(per_term, "term")
+    # a word that Spark splits in another way counts where it was seen
+    told = joint.join(per_entity, "entity").join(per_term, "term", "left").withColumn("n_t", F.greatest("both", "n_t"))
     ic = F.log2(F.lit(float(max(1, total))) / F.col("n_c"))
-    pmi = F.log2(F.lit(float(max(1, total))) * F.least("both", "n_c", "n_t") / (F.col("n_c") * F.col("n_t")))
+    pmi = F.log2(F.lit(float(max(1, total))) * F.col("both") / (F.col("n_c") * F.col("n_t")))
     grade = F.when(pmi >= ic / alpha, "remove").when((pmi >= ic / (2 * alpha)) & (pmi >= 1), "generalise")
     return told.select("entity", "term", grade.alias("grade")).filter(F.col("grade").isNotNull() & (pmi > 0))
 
 
 def terms_of_texts(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``(key, terms)``: for the hash of each text with a revealed entity, its revealing terms."""
-    terms = staged(spark, revealing_terms(spark, docs, found), "terms")
-    near = found.filter(F.size("near") > 0).select("key", F.explode(F.array_distinct("near.entity")).alias("entity")).distinct()
-    per_text = near.join(terms, "entity").groupBy("key").agg(F.array_sort(F.collect_set(F.concat_ws(":", "grade", "term"))).alias("terms"))
+    """``(key, terms)``: for the hash of each text with an entity, its own words that reveal one."""
+    held = found.filter(F.size("entities") > 0).groupBy("key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    texts = staged(spark, held, "held")
+    terms = staged(spark, revealing_terms(spark, docs, texts), "terms")
+    # met by entity and term, not by entity alone: a common entity has many texts and many terms
+    per_text = pairs_of(texts).join(terms, ["entity", "term"]).groupBy("key").agg(F.array_sort(F.collect_set(F.concat_ws(":", "grade", "term"))).alias("terms"))
     return staged(spark, per_text, "texts")
 
 
@@ -145,16 +149,7 @@ def term_spans(text: str, terms, base) -> list[tuple[str, int, int]]:
         grades[term] = "remove" if "remove" in (grade, grades.get(term)) else grade
     if not grades:
         return []
-    taken = sorted((s, e) for _, s, e in base)
-    out, k = [], 0
-    for m in WORD.finditer(text):
-        if (grade := grades.get(m[0].lower())) is None:
-            continue
-        while k < len(taken) and taken[k][1] <= m.start():
-            k += 1
-        if not any(s < m.end() and m.start() < e for s, e in taken[k : k + len(KINDS) + 1]):
-            out.append((f"term_{grade}", m.start(), m.end()))
-    return sorted(out)
+    return sorted((f"term_{grade}", m.start(), m.end()) for m in free_words(text, base) if (grade := grades.get(m[0].lower())))
 
 
 @F.arrow_udf(StringType())
