@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from roadveil.llm import shingles
 from roadveil.llm.common import raw_bytes, staged
 from roadveil.llm.components import connected_components
 
@@ -116,8 +117,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each component, all columns unchanged; rows without an id stay."""
-    kept = cluster(spark, docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept id")).distinct()
-    named = docs.filter(docs["doc_id"].isNotNull())
-    ones = named.join(kept, named["doc_id"].cast("long") == kept["kept id"], "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component of texts at a 5-word Jaccard of 0.8 or more (see ``shingles``),
+    all columns unchanged: the smallest id, with its text. Rows without an id stay."""
+    named = docs.withColumn("roadveil key", shingles.keys(docs["text"].cast("string")))
+    ids = staged(spark, named.select(docs["doc_id"].cast("long").alias("doc_id"), F.col("roadveil key").alias("key")), "ids")
+    grouped = ids.filter("doc_id IS NOT NULL").join(shingles.components(spark, docs), ids["key"] == F.col("node"), "left")
+    kept = grouped.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("doc_id", "key")).alias("one"))
+    kept = staged(spark, kept.select(F.col("one.doc_id").alias("kept id"), F.col("one.key").alias("kept key")), "kept")
+    one = (named["doc_id"].cast("long") == kept["kept id"]) & (named["roadveil key"] == kept["kept key"])
+    ones = named.join(kept, one, "left_semi").dropDuplicates(["doc_id", "roadveil key"]).drop("roadveil key")
     return ones.unionByName(docs.filter(docs["doc_id"].isNull()))

@@ -3,7 +3,7 @@
 import math
 import random
 
-from roadveil.llm import pii
+from roadveil.llm import pii, simhash
 
 
 def test_terms_of_once_mentioned_entities_anywhere_in_the_text(spark):
@@ -25,3 +25,42 @@ def test_terms_of_once_mentioned_entities_anywhere_in_the_text(spark):
                 want.append(("term_remove" if pmi >= ic / 1.5 else "term_generalise", m.start(), m.end()))
         assert got[i] == pii.said([*base, *sorted(want)])
     assert "term_remove:0:5" in got[0] and "term_remove" in got[200] and got[200] == got[201] and got[202] == ""
+
+
+def similar_groups(texts):
+    """Root of every text by brute force: 5-word Jaccard of 0.8 or more, transitively."""
+    sets, root = [], list(range(len(texts)))
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(n) for n in range(len(texts))]
+
+
+def test_near_dedup_keeps_what_brute_force_keeps(spark):
+    rng = random.Random(9)
+    rows = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    for k in range(40):  # around the bound, on either side
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        rows.append((10_000 + 2 * k, " ".join(words)))
+        for at in rng.sample(range(120), 1 + k % 5):
+            words[at] = "changed"
+        rows.append((10_001 + 2 * k, " ".join(words)))
+    rows += [(20_000, "a text that stands here under one id"), (20_000, rows[-1][1] + " more"), (20_001, "one two three"), (20_002, "One  two THREE")]
+    rows = sorted(rows, key=lambda r: r[0])
+    want = [rows[i] for i, r in enumerate(similar_groups([t for _, t in rows])) if r == i]
+    got = simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    told = lambda many: sorted((i, " ".join((t or "").lower().split())) for i, t in many)
+    assert told(map(tuple, got)) == told(want)
+    assert 0 < sum(10_000 < i < 20_000 and i % 2 for i, _ in want) < 40
