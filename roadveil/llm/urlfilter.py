@@ -16,6 +16,8 @@ UNIT = 10**12
 DAMPING = 0.85
 ROUNDS = 10
 STAGED_ROUNDS = 5
+#: the run ends when the scores of a kind change by less than an even share of all hosts over this, summed
+FINENESS = 200
 LINK = r"""(?i)href[ \t\r\n]*=[ \t\r\n]*["']?(?:https?:)?//([^/?#"' \t\r\n>]+)"""
 LONGEST_HOST = 253
 
@@ -59,10 +61,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def host_scores(spark: SparkSession, pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+def host_scores(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
     """``(host, trust, distrust)`` in units of 1e-12: personalised PageRank from hosts with
     allowed pages, and the same against the links from hosts with blocked pages.
 
+    Rounds go on until what is still to come is below 1 / (FINENESS n) for n hosts: a round's summed
+    change shrinks by the damping at least, so all later rounds add up to change * d / (1 - d).
     Scores are whole numbers, every contribution rounded down, so sums do not depend
     on their order. What a hub receives is pre-aggregated; its outgoing rows are an ordinary
     join side that may be split.
@@ -81,17 +85,24 @@ def host_scores(spark: SparkSession, pages: DataFrame, rules=RULES, rounds: int
     whole = F.when(F.col("kind") == "trust", F.lit(totals.get("trust", 1))).otherwise(F.lit(totals.get("distrust", 1)))
     seeds = ruled.select("kind", "host", F.floor(F.lit(float(UNIT)) * F.col("n") / whole).cast("long").alias("score"))
     rest = seeds.select("kind", "host", F.floor(F.col("score") * F.lit(1 - DAMPING)).cast("long").alias("score"))
-    state = seeds
-    for done in range(1, rounds + 1):
-        carried = state.join(steps, (state["host"] == steps["src"]) & (state["kind"] == steps["kind"])).select(state["kind"], F.col("dst").alias("host"), F.floor(F.col("score") * F.col("share")).cast("long").alias("score"))
-        state = carried.unionByName(rest).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if done % STAGED_ROUNDS == 0 or done == rounds:
-            state = staged(spark, state, "scores")
+    n = max(1, edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).unionByName(seeds.select("host")).distinct().count())
+    state, left = seeds, None
+    while left is None or left > UNIT // (FINENESS * n) and left < before:
+        before = UNIT**2 if left is None else left
+        for _ in range(STAGED_ROUNDS):
+            last = state
+            carried = state.join(steps, (state["host"] == steps["src"]) & (state["kind"] == steps["kind"])).select(state["kind"], F.col("dst").alias("host"), F.floor(F.col("score") * F.col("share")).cast("long").alias("score"))
+            state = carried.unionByName(rest).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        both = state.join(last.withColumnRenamed("score", "was"), ["kind", "host"], "full").select("kind", "host", "score", "was")
+        both = staged(spark, both, "scores")
+        change = both.groupBy("kind").agg(F.sum(F.abs(F.coalesce("score", F.lit(0)) - F.coalesce("was", F.lit(0)))).alias("change"))
+        left = (change.agg(F.max("change")).first()[0] or 0) * DAMPING / (1 - DAMPING)  # one number
+        state = both.filter("score IS NOT NULL").select("kind", "host", "score")
     per_host = state.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0)).alias(k) for k in ("trust", "distrust")])
     return per_host
 
 
-def judge(spark: SparkSession, pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
     """``pages(page_id, url, html)`` -> ``(page_id, host, path, rule, verdict)``, one row each.
 
     The longest fitting rule decides. Elsewhere a page is blocked if its host's distrust
@@ -102,7 +113,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES, rounds: int = ROUN
     ignored.
     """
     pages = pages.select("page_id", "url", "html")
-    scores = staged(spark, host_scores(spark, pages, rules, rounds), "hosts")
+    scores = staged(spark, host_scores(spark, pages, rules), "hosts")
     n = max(1, scores.count())
     bad = scores.filter(F.col("distrust") - F.col("trust") > UNIT // (2 * n)).select(F.col("host").alias("bad"))
     bad = staged(spark, bad, "bad")

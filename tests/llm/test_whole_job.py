@@ -3,7 +3,7 @@
 import math
 import random
 
-from roadveil.llm import pii, simhash
+from roadveil.llm import pii, simhash, urlfilter
 
 
 def test_terms_of_once_mentioned_entities_anywhere_in_the_text(spark):
@@ -64,3 +64,13 @@ def test_near_dedup_keeps_what_brute_force_keeps(spark):
     told = lambda many: sorted((i, " ".join((t or "").lower().split())) for i, t in many)
     assert told(map(tuple, got)) == told(want)
     assert 0 < sum(10_000 < i < 20_000 and i % 2 for i, _ in want) < 40
+
+
+def test_distrust_reaches_far_hosts(spark):
+    hosts = [f"h{i}.{'org' if i < 12 else 'com'}" for i in range(30)]  # those of com have trust, so that 31 hosts have a score
+    chain = [*hosts[:12], "bad.net"]  # h0 links over 12 hops to a blocked page
+    rows = [(i, f"http://{a}/x", f"<a href='http://{b}/fr/'>") for i, (a, b) in enumerate(zip(chain, chain[1:], strict=False))]
+    rows += [(99, "http://bad.net/fr/", ""), *((100 + i, f"http://{h}/", f"<a href='http://{hosts[12 + (i + 1) % 18]}/'>") for i, h in enumerate(hosts[12:]))]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # distrust 0.15 * 0.85**12 = 0.021 against 1 / (2 * 31) = 0.016
+    assert [got[i] for i in range(12)] == ["block"] * 12 and got[100] == "allow"
