@@ -50,3 +50,10 @@ def unit_hash(*columns):
 def raw_bytes(scalar) -> bytes:
     """UTF-8 bytes of an Arrow string scalar; null gives nothing."""
     return scalar.as_buffer().to_pybytes() if scalar.is_valid else b""
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

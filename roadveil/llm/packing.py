@@ -3,28 +3,25 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from roadveil.llm.common import raw_bytes
+from roadveil.llm.common import vocabulary
+from roadveil.llm.recent import Recent, gather, per_text, slices
 
 CAPACITY = 4096
 END_ID = 2
+MARKS = (".", ",")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 class Memory:
     """What was computed for recent keys: two generations of at most ``limit`` each, the
     older one dropped when the newer is full. Bounded, whatever the texts hold."""
@@ -53,34 +50,75 @@ class Memory:
 
 
 class ChunkEncoder:
-    """Ids of whole texts, as little-endian bytes, by way of a bounded memory of chunks.
+    """Ids of whole texts, by way of a bounded memory of chunks.
 
     The tokenizer drops white space, never joins ids across it and lower-cases what is
     not one of its special tokens, so a text's ids are those of its lower-cased chunks
     between ASCII white space, one after the other. A comma or full stop that ends
-    a chunk after an ASCII letter has ids of its own, too.
+    a chunk after an ASCII letter has ids of its own, too. Each different chunk of a run of texts is looked up once.
     """
 
-    mark = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
-
-    def __init__(self, path: str, end_id: int = END_ID, remembered: int = 400_000):
+    def __init__(self, path: str, end_id: int = END_ID, remembered: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.memory = Memory(remembered)
-
-    def __call__(self, text: bytes) -> bytes:
-        lower = text if b"<|" in text else text.lower()
-        chunks = self.mark.sub(rb" \1", lower).split()
-        self.memory.room()
-        missing, known = self.memory.missing(chunks), self.memory.new
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            encoded = self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)
-            known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, encoded, strict=True))
-        return b"".join([known[c] for c in chunks]) + self.end
+        self.end_id = end_id
+        self.marks = [self.tokenizer.encode(m, add_special_tokens=False).ids for m in MARKS]
+        self.ending = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ending[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.memory = Recent(self.encode, remembered)
+
+    def encode(self, chunks: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Many chunks at a call. A chunk of letters alone is one word, whose last id is the one that
+        ends words; other chunks are told apart by the number that the tokenizer gives each."""
+        out: list = [b""] * len(chunks)
+        words = [k for k, c in enumerate(chunks) if c.isalpha()]
+        rest = [k for k, c in enumerate(chunks) if not c.isalpha()]
+        for at in range(0, len(words), 2048):
+            part = words[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([chunks[k] for k in part])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) == len(part):
+                self.cut(out, part, ids, ends)
+            else:  # letters to Python that are none to the tokenizer
+                rest += part
+        for at in range(0, len(rest), 2048):
+            part = rest[at : at + 2048]
+            found = self.tokenizer.encode([chunks[k] for k in part], is_pretokenized=True, add_special_tokens=False)
+            self.cut(out, part, np.array(found.ids, "<u4"), np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))))
+        return out, np.empty((len(out), 0))
+
+    @staticmethod
+    def cut(out: list, part: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+        blob, ends = ids.tobytes(), (4 * ends).tolist()
+        for k, a, b in zip(part, [0, *ends[:-1]], ends, strict=True):
+            out[k] = blob[a:b]
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text with the end id behind."""
+        for run, groups in slices(texts):
+            lower = pc.if_else(pc.match_substring(run, "<|"), run, pc.ascii_lower(run))
+            chunks = pc.ascii_split_whitespace(lower)
+            coded = chunks.flatten().dictionary_encode()
+            marked = [pc.match_substring_regex(coded.dictionary, f"[a-z][{m}]\\z").to_numpy(zero_copy_only=False) for m in MARKS]
+            stems = pc.replace_substring_regex(coded.dictionary, r"([a-z])[.,]\z", r"\1").dictionary_encode()
+            rows = self.memory.rows(stems.dictionary)[stems.indices.to_numpy()]
+            values, starts = gather(self.memory.values, self.memory.starts, rows)
+            for hit, ids in zip(marked, self.marks, strict=True):
+                values = np.insert(values, np.repeat(starts[1:][hit], len(ids)), np.tile(ids, int(hit.sum())))
+                starts = starts + np.concatenate([[0], np.cumsum(hit * len(ids))])
+            ids, ends = gather(values, starts, coded.indices.to_numpy().astype(np.int64))
+            parts = ends[np.asarray(chunks.offsets) - chunks.offsets[0].as_py()]
+            ends = np.cumsum(per_text(np.diff(parts), groups))
+            ids = np.insert(ids, ends, self.end_id).astype("<u4")
+            yield from np.split(ids, ends[:-1] + np.arange(1, len(ends)))
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> ChunkEncoder:
+    """One a worker process, so that its bounded memory serves all tasks."""
+    return ChunkEncoder(path)
 
 
 class Packer:
@@ -176,7 +214,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     path = tokenizer_path or vocabulary("word_bpe_49k.json")
 
     def run(batches):
-        encode = ChunkEncoder(path)
+        encode = encoder(path)
         context = TaskContext.get()
         packer = Packer((context.partitionId() if context else 0) << 40, capacity, window)
         names = [p.split()[0] for p in SCHEMA.split(", ")]
@@ -186,8 +224,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
 
         rows: list[tuple] = []
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows.extend(packer.add(doc_id, encode(raw_bytes(text))))
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
+                rows.extend(packer.add(doc_id, ids.tobytes()))
                 if len(rows) >= 20_000:
                     yield batch(rows)
                     rows = []
