@@ -4,23 +4,34 @@ from __future__ import annotations
 
 import gc
 import heapq
-import re
-import uuid
+import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadveil.llm.common import raw_bytes
-from roadveil.llm.packing import Memory, vocabulary
+from roadveil.llm.common import vocabulary
+from roadveil.llm.recent import Recent, gather, slices
 
 SPACE = "▁"
 RESULT = "n_pieces long, ids_crc32 long, best double, scores array<double>, n_best_crc32 array<long>, restored boolean"
+#: a piece's probability falls with its rank as 1 / (FLAT + rank)
+FLAT = 300
+#: scores are whole multiples of 1 / UNIT, so that sums are exact and don't depend on their order
+UNIT = 1 << 20
+
+
+def log_probability(rank: float, ranks: int) -> float:
+    """Of a piece by its merge rank (Zipf with a flat head), all ranks together being 1."""
+    whole = math.log((FLAT + ranks) / FLAT)
+    return math.floor(-math.log((FLAT + rank) * whole) * UNIT) / UNIT
 
 
 @dataclass
@@ -31,15 +42,16 @@ class PieceModel:
     byte_ids: list[int] = field(repr=False)
     byte_score: float
     spelled: list[bytes] = field(repr=False)
-    apart: re.Pattern = field(repr=False, default=None)
-    trie: dict = field(repr=False, default_factory=dict)
+    trie: dict = field(repr=False, default_factory=dict)  # of the pieces from their last character on
+    alone: bytes = b""
+    marks: bytes = b""
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        scores, byte_ids, spelled = {}, [0] * 256, []
+        ranks, byte_ids, spelled = {}, [0] * 256, []
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -48,206 +60,223 @@ class PieceModel:
             elif model.is_control(i) or model.is_unknown(i):
                 spelled.append(b"")
             else:
-                scores[piece] = (i, model.get_score(i))
+                ranks[piece] = (i, -model.get_score(i))
                 spelled.append(piece.replace(SPACE, " ").encode())
+        # pieces that the vocabulary sets apart (runs of blanks) rank behind all others
+        most = max((r for _, r in ranks.values() if r < 1e8), default=0.0) + 1
+        scores = {p: (i, log_probability(min(r, most), int(most))) for p, (i, r) in ranks.items()}
         # as for any unknown character: below every piece that is in use
-        byte_score = min((w for _, w in scores.values() if w > -1e8), default=0.0) - 10
-        return cls.of(scores, byte_ids, byte_score, spelled)
+        return cls.of(scores, byte_ids, min((w for _, w in scores.values()), default=0.0) - 10, spelled)
 
     @classmethod
     def of(cls, scores, byte_ids, byte_score, spelled) -> PieceModel:
         used = {c for p in scores if len(p) > 1 for c in p}
-        alone = "".join(c for c in "\n\t\r" if c not in used and c not in scores)
-        # a segment: spaces and what follows them, or one of the characters in no piece
+        # a segment is a run of blanks and what follows it. Characters in no piece are segments of their own, and
+        # a mark that no piece has behind a letter or digit begins one there; none of it is so if a piece has a blank further on
         inner = any(SPACE in p.lstrip(SPACE) or (p.startswith(SPACE * 2) and p.strip(SPACE)) for p in scores)
-        # a mark that no piece has behind a letter or digit begins a segment of its own there
-        marks = set(",.;:!?") - {c for p in scores for x, c in zip(p, p[1:], strict=False) if x.isalnum()}
-        run = "".join(re.escape(c) for c in sorted(marks))
-        plain = f"[^{SPACE}{alone}{run}]*"
-        inside = f"{plain}(?:(?<![^\\W_])[{run}]{plain})*" if run else plain
-        pattern = f"{SPACE}*[^{SPACE}{alone}]{inside}|{SPACE}+" + (f"|[{alone}]" if alone else "")
-        trie: dict = {}  # character -> [trie below it, ids of the piece that ends here or None, its score]
+        alone = "" if inner else "".join(c for c in "\n\t\r" if c not in used and c not in scores)
+        marks = "" if inner else "".join(sorted(set(",.;:!?") - {c for p in scores for x, c in zip(p, p[1:], strict=False) if x.isalnum()}))
+        trie: dict = {}  # character -> [trie of the characters before it, ids of the piece that begins here or None, its score]
         for piece, (i, score) in scores.items():
             below, node = trie, None
-            for c in piece:
+            for c in reversed(piece):
                 node = below.setdefault(c, [{}, None, 0.0])
                 below = node[0]
             if node:
                 node[1:] = (i,), score
-        return cls(scores, byte_ids, byte_score, spelled, re.compile(".*" if inner else pattern, re.S), trie)
-
-    def arcs(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For every end position: (start, ids, score) of the pieces that end there."""
-        size, known = len(text), self.scores
-        out: list[list] = [[] for _ in range(size + 1)]
-        for start in range(size):
-            below = self.trie
-            for end, c in enumerate(text[start:], start + 1):
-                node = below.get(c)
-                if node is None:
-                    break
-                below, ids, weight = node
-                if ids:
-                    out[end].append((start, ids, weight))
-            if text[start] not in known:
-                raw = text[start].encode()
-                out[start + 1].append((start, tuple(self.byte_ids[b] for b in raw), self.byte_score * len(raw)))
+        return cls(scores, byte_ids, byte_score, spelled, trie, b"all" if inner else alone.encode(), marks.encode())
+
+    def arcs(self, text: str, end: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """(start, ids, score) of the pieces that end at ``end``."""
+        below, at, out = self.trie, end, []
+        while at:
+            node = below.get(text[at - 1])
+            if node is None:
+                break
+            at -= 1
+            below, ids, weight = node
+            if ids:
+                out.append((at, ids, weight))
+        if text[end - 1] not in self.scores:
+            raw = text[end - 1].encode("utf-8", "surrogatepass")
+            out.append((end - 1, tuple([self.byte_ids[b] for b in raw]), self.byte_score * len(raw)))
         return out
 
-    def best_and_gap(self, text: str) -> tuple[float, tuple[int, ...], float]:
-        """The best score, its ids, and how far the second best segmentation falls short.
-
-        The second best takes an arc that is not on the best path, so it is the best over
-        such arcs of forward score, arc and backward score.
-        """
-        size, root, known, low = len(text), self.trie, self.scores, float("-inf")
-        ahead, came, found = [0.0] + [low] * size, [None] * (size + 1), []
-        for start in range(size):  # every arc into start has been seen, so its score is final
-            base, below, end = ahead[start], root, start
-            for c in text[start:]:
-                node = below.get(c)
+    def forward(self, text: str) -> list[float]:
+        """Viterbi: the best score of every prefix."""
+        root, known, ahead = self.trie, self.scores, [0.0]
+        for end, last in enumerate(text, 1):
+            best, below, at = -math.inf, root, end
+            while at:
+                node = below.get(text[at - 1])
                 if node is None:
                     break
-                end += 1
-                below, ids, weight = node
-                if ids:
-                    found.append((start, end, weight))
-                    if base + weight > ahead[end]:
-                        ahead[end], came[end] = base + weight, (start, ids)
-            if text[start] not in known:
-                raw = text[start].encode()
-                weight = self.byte_score * len(raw)
-                found.append((start, start + 1, weight))
-                if base + weight > ahead[start + 1]:
-                    ahead[start + 1], came[start + 1] = base + weight, (start, tuple(self.byte_ids[b] for b in raw))
-        way, taken, end = [-1] * (size + 1), [], size
-        while end:
-            way[end], ids = came[end]
-            taken.append(ids)
-            end = way[end]
-        left, second = [low] * size + [0.0], low
-        for start, end, weight in reversed(found):
-            total = left[end] + weight
-            if total > left[start]:
-                left[start] = total
-            if way[end] != start and ahead[start] + total > second:
-                second = ahead[start] + total
-        path = tuple([i for ids in reversed(taken) for i in ids])
-        return ahead[size], path, ahead[size] - second
+                at -= 1
+                below = node[0]
+                if node[1] and (total := ahead[at] + node[2]) > best:
+                    best = total
+            if last not in known:
+                best = max(best, ahead[end - 1] + self.byte_score * len(last.encode("utf-8", "surrogatepass")))
+            ahead.append(best)
+        return ahead
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations, best first, equal scores by their ids.
+        """The n best segmentations, best first.
 
         Forward Viterbi gives the best score of every prefix. A search from the end
         of the text backwards adds, to the score of the pieces taken, the exact best score of what is
-        left: its estimate is never wrong, so complete paths come out in order.
+        left: its estimate is never wrong, so complete paths come out in order. Of equal estimates the
+        newest goes on, the longest piece first, so that ties cost no more than the paths asked for.
         """
-        arcs = self.arcs(text)
-        ahead = [0.0] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            ahead[end] = max(ahead[s] + w for s, _, w in arcs[end])
-        queue, out = [(-ahead[-1], (), len(text), 0.0)], []
-        while queue and (len(out) < n or -queue[0][0] == out[-1][0]):
-            total, ids, end, taken = heapq.heappop(queue)
+        ahead = self.forward(text)
+        # estimate (negative), age (negative), end of what is left, score of the pieces taken, those pieces as a chain
+        queue, age, out = [(-ahead[-1], 0, len(text), 0.0, None)], 0, []
+        while queue and len(out) < n:
+            total, _, end, taken, chain = heapq.heappop(queue)
             if not end:
-                out.append((-total, ids))
-                if len(out) > 4 * n and out[n - 1][0] == out[-1][0]:
-                    break  # more than enough of equal score
+                ids: list[int] = []
+                while chain:
+                    ids += chain[0]
+                    chain = chain[1]
+                out.append((-total, tuple(ids)))
                 continue
-            for start, piece, weight in arcs[end]:
-                heapq.heappush(queue, (-(ahead[start] + weight + taken), piece + ids, start, weight + taken))
-        return sorted(out, key=lambda p: (-p[0], p[1]))[:n]
+            for start, piece, weight in self.arcs(text, end):
+                age -= 1
+                heapq.heappush(queue, (-(ahead[start] + weight + taken), age, start, weight + taken, (piece, chain)))
+        return out
+
+    def look_at(self, segments: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """For ``Recent``: best ids, best score and how far the second best falls short."""
+        ids, figures = [], []
+        for s in segments:
+            found = self.n_best(s.replace(" ", SPACE), 2)
+            ids.append(pack("<%dI" % len(found[0][1]), *found[0][1]))
+            figures.append((found[0][0], found[0][0] - found[1][0] if len(found) > 1 else math.inf))
+        return ids, np.array(figures, float).reshape(-1, 2)
 
-    def segments(self, text: str) -> list[str]:
-        """No piece spans two of them, so the lattice of a text is theirs in a row."""
-        if not text:
-            return []
-        return self.apart.findall(SPACE + text.replace(" ", SPACE))
+    def segments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All segments of ``texts``, cut at byte positions, and where each text's begin (and the last's end).
+
+        A space stands before every text that is not empty. No piece spans two segments, so the lattice of a text is
+        theirs in a row.
+        """
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(pa.scalar(" "), texts, ""))
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        cut = np.zeros(len(raw) + 1, bool)
+        if self.alone != b"all" and len(raw):
+            blank = raw == 32
+            cut[1:-1] = blank[1:] & ~blank[:-1]
+            if self.alone:
+                own = np.isin(raw, np.frombuffer(self.alone, np.uint8))
+                cut[:-1] |= own
+                cut[1:] |= own
+            if self.marks:
+                plain = np.zeros(256, bool)
+                plain[[c for c in range(128) if chr(c).isalnum()]] = True
+                cut[1:-1] |= np.isin(raw[1:], np.frombuffer(self.marks, np.uint8)) & plain[raw[:-1]]
+        cut[at] = True
+        ends = np.flatnonzero(cut)
+        if not len(raw):
+            ends = ends[:1]
+        out = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw))
+        return out, np.searchsorted(ends, at)
 
     def decode(self, ids) -> bytes:
-        """Pieces' bytes in a row, without the space put before the text."""
-        spelled = self.spelled
-        text = b"".join([spelled[i] for i in ids])
+        """Pieces' bytes in a row, without the space put before the text; ids that are none are left out."""
+        spelled, size = self.spelled, len(self.spelled)
+        text = b"".join([spelled[i] for i in ids if i is not None and 0 <= i < size])
         return text[1:] if text[:1] == b" " else text
 
 
 def combine(best: list[list[tuple[float, object]]], n: int) -> list[tuple[float, dict[int, int]]]:
     """The n best choices of one candidate for each of many segments.
 
-    ``best``: each segment's candidates, best first. Only segments whose second candidate is among the n - 1
-    cheapest changes can differ from the best choice; over those, states are taken
-    from a heap in order of their cost. Gives (cost, {segment: candidate}) with candidate > 0.
+    ``best``: each segment's candidates, best first; segments whose second candidate is not among the n - 1
+    cheapest changes need not be given. States are taken from a heap in order of their cost, equal ones by the later
+    segments' candidates. Gives (cost, {segment: candidate}) with candidate > 0.
     """
-    gaps = sorted((c[0][0] - c[1][0], k) for k, c in enumerate(best) if len(c) > 1)[: max(0, n - 1)]
-    keys = [k for _, k in gaps]
-    out, queue, seen = [], [(0.0, (0,) * len(keys))], set()
+    out, queue, seen = [], [(0.0, (0,) * len(best))], set()
     while queue and len(out) < n:
         cost, state = heapq.heappop(queue)
         if state in seen:
             continue
         seen.add(state)
-        out.append((cost, {k: c for k, c in zip(keys, state, strict=True) if c}))
-        for at, k in enumerate(keys):
-            c = state[at] + 1
-            if c < len(best[k]):
-                heapq.heappush(queue, (cost + best[k][c - 1][0] - best[k][c][0], (*state[:at], c, *state[at + 1 :])))
+        out.append((cost, {k: c for k, c in enumerate(state) if c}))
+        for k, c in enumerate(state):
+            if c + 1 < len(best[k]):
+                heapq.heappush(queue, (cost + best[k][c][0] - best[k][c + 1][0], (*state[:k], c + 1, *state[k + 1 :])))
     return out
 
 
 class Segmenter:
     """N-best of whole texts through a bounded memory of segments."""
 
-    def __init__(self, model: PieceModel, n: int, remembered: int = 400_000):
+    def __init__(self, model: PieceModel, n: int, remembered: int = 96 << 20):
         self.model, self.n = model, n
-        self.memory, self.paths = Memory(remembered), Memory(remembered // 10)
+        self.memory = Recent(model.look_at, remembered, figures=2)
+        self.paths = lru_cache(maxsize=20_000)(self._paths)
+        self.spelled = pa.array(model.spelled, pa.binary())
 
-    def n_best(self, segment: str) -> list[tuple[float, bytes]]:
-        self.paths.room()
-        if self.paths.missing([segment]):
-            found = self.model.n_best(segment, self.n)
-            self.paths.new[segment] = [(w, np.array(ids, "<u4").tobytes()) for w, ids in found]
-        return self.paths.new[segment]
+    def _paths(self, segment: str) -> list[tuple[float, np.ndarray]]:
+        return [(w, np.array(ids, "<u4")) for w, ids in self.model.n_best(segment.replace(" ", SPACE), self.n)]
 
-    def __call__(self, text: str) -> list[tuple[float, bytes]]:
-        """(score, ids as little-endian bytes), best first.
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[list[tuple[float, np.ndarray]], bool]]:
+        """([(score, ids), ...] best first, whether the best ids give the text again) of every text.
 
         Segments are searched for their own n best only where a change is cheap enough to
         come among the n best of the text: at the n - 1 smallest gaps.
         """
-        parts = self.model.segments(text)
-        self.memory.room()
-        known = self.memory.new
-        chosen = list(map(known.get, parts))
-        if None in chosen:
-            for s in self.memory.missing([s for s, c in zip(parts, chosen, strict=True) if c is None]):
-                score, ids, gap = self.model.best_and_gap(s)
-                known[s] = (score, pack("<%dI" % len(ids), *ids) if gap else self.n_best(s)[0][1], gap)
-            chosen = list(map(known.get, parts))
-        if not parts:
-            return [(0, b"")]
-        each, blobs, gaps = zip(*chosen, strict=True)
-        score = sum(each)
-        if self.n == 1:
-            return [(score, b"".join(blobs))]
-        gaps = np.array(gaps)
-        few = np.argsort(gaps, kind="stable")[: self.n - 1]
-        few = [int(k) for k in few if gaps[k] < np.inf]
-        options = [self.n_best(parts[k]) for k in few]
+        for run in whole_slices(texts):
+            parts, bounds = self.model.segments(run)
+            coded = parts.dictionary_encode()
+            rows = self.memory.rows(coded.dictionary)[coded.indices.to_numpy()] if len(parts) else np.empty(0, np.int64)
+            ids, starts = gather(self.memory.values, self.memory.starts, rows)
+            scores, gaps = self.memory.figures[rows].T
+            sums = np.concatenate([[0.0], np.cumsum(scores)])[bounds]
+            back = self.spelled.take(pa.array(ids)).fill_null(b"")
+            ends = np.frombuffer(back.buffers()[1], np.int32)[: len(back) + 1]
+            made = back.buffers()[2].to_pybytes() if len(back) and back.buffers()[2] else b""
+            for text, a, b, low, high in zip(run, bounds[:-1].tolist(), bounds[1:].tolist(), sums[:-1], sums[1:], strict=True):
+                raw, first, last = text.as_buffer().to_pybytes(), starts[a], starts[b]
+                same = made[ends[first] + (last > first) : ends[last]] == raw
+                yield self.choose(parts, gaps, ids, starts, a, b, float(high - low)), same
+
+    def choose(self, parts, gaps, ids, starts, a: int, b: int, score: float) -> list[tuple[float, np.ndarray]]:
+        best = ids[starts[a] : starts[b]]
+        if self.n == 1 or a == b:
+            return [(score, best)]
+        own = gaps[a:b]
+        few = np.argpartition(own, self.n - 2)[: self.n - 1] if b - a >= self.n else np.arange(b - a)
+        few = few[np.lexsort((few, own[few]))]
+        # among equal gaps the first segments
+        few = few if b - a < self.n else self.earliest(own, own[few[-1]])
+        few = [a + int(k) for k in few if own[k] < math.inf]
+        options = [self.paths(parts[k].as_py()) for k in few]
         out = []
         for cost, changes in combine(options, self.n):
-            changed = blobs
-            if changes:
-                changed = list(blobs)
-                for at, c in changes.items():
-                    changed[few[at]] = options[at][c][1]
-            out.append((score - cost, b"".join(changed)))
+            pieces, at = [], a
+            for k, c in sorted((few[k], options[k][c][1]) for k, c in changes.items()):
+                pieces += [ids[starts[at] : starts[k]], c]
+                at = k + 1
+            out.append((score - cost, np.concatenate([*pieces, ids[starts[at] : starts[b]]])))
         return out
 
+    def earliest(self, own: np.ndarray, most: float) -> np.ndarray:
+        small, equal = np.flatnonzero(own < most), np.flatnonzero(own == most)
+        return np.concatenate([small, equal[: self.n - 1 - len(small)]])
+
+
+def whole_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of a bounded size; a very long text is a run of its own."""
+    for run, groups in slices(texts):
+        yield run if len(run) == len(groups) else pa.array(["".join(run.to_pylist())])
+
 
 @lru_cache(maxsize=1)
-def segmenter(path: str, n: int, call: str) -> Segmenter:
-    """One a worker process and call of ``encode``, so that its bounded memory serves all tasks of
-    that call; another call begins with an empty one and drops it."""
+def segmenter(path: str, n: int) -> Segmenter:
+    """One a worker process, so that its bounded memory serves all tasks."""
     return Segmenter(PieceModel.load(path), n)
 
 
@@ -261,35 +290,33 @@ def encode(docs: DataFrame, n: int = 3, model_path: str | None = None) -> DataFr
     further columns are ignored.
     """
     path = model_path or vocabulary("piece_bpe_32k.model")
-    names, call = [c.split()[0] for c in RESULT.split(", ")], uuid.uuid4().hex
+    names = [c.split()[0] for c in RESULT.split(", ")]
 
     def run(batches):
-        segment = segmenter(path, n, call)
-        model = segment.model
-        gc.freeze()  # the trie and the memory hold no cycles; walking them time and again costs more than the search
+        segment = segmenter(path, n)
+        gc.freeze()  # the trie holds no cycles; walking it time and again costs more than the search
         gc.disable()
         try:
-            yield from digests(batches, model, segment)
+            yield from digests(batches, segment)
         finally:
             gc.enable()
 
-    def digests(batches, model, segment):
+    def digests(batches, segment):
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())
         for b in batches:
             rows = []
-            for text in b.column(1):
-                raw = raw_bytes(text)
-                found = segment(raw.decode("utf-8", "surrogateescape"))
-                ids = np.frombuffer(found[0][1], "<u4")
-                rows.append((len(ids), zlib.crc32(found[0][1]), found[0][0], [f[0] for f in found], [zlib.crc32(f[1]) for f in found], model.decode(ids.tolist()) == raw))
+            for found, same in segment(b.column(1)):
+                crcs = [zlib.crc32(ids.tobytes()) for _, ids in found]
+                rows.append((len(found[0][1]), crcs[0], found[0][0], [w for w, _ in found], crcs, same))
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *names])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id long, {RESULT}")
 
 
 def decode(rows: DataFrame, model_path: str | None = None) -> DataFrame:
-    """``rows(doc_id, ids array<int>)`` -> ``(doc_id, text)``; null ids give null."""
+    """``rows(doc_id, ids array<int>)`` -> ``(doc_id, text)``; null ids give null, ids that no piece has (null,
+    negative, too large) are left out."""
     path = model_path or vocabulary("piece_bpe_32k.model")
 
     def run(batches):

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -98,19 +99,54 @@ def test_n_best_is_exact():
             word = rng.choice(["", "▁"]) + "".join(rng.choice("ab") for _ in range(rng.randint(2, 3)))
             scores.setdefault(word, (304 + len(scores), -float(rng.randint(1, 10))))
         model = pieces.PieceModel.of(scores, list(range(256)), -60.0, [b""] * 400)
-        text = "".join(rng.choice("ab  \né,") for _ in range(rng.randint(0, 9)))
-        every = segmentations(model, "▁" + text.replace(" ", "▁") if text else "")
-        got = pieces.Segmenter(model, 4)(text)
-        assert [g[0] for g in got] == [w[0] for w in every[:4]]
-        assert set(got) <= {(w[0], np.array(w[1], "<u4").tobytes()) for w in every}
+        segment = pieces.Segmenter(model, 4)
+        texts = ["".join(rng.choice("ab  \né,") for _ in range(rng.randint(0, 9))) for _ in range(6)]
+        for text, (got, _) in zip(texts, segment(pa.array(texts)), strict=True):
+            every = segmentations(model, "▁" + text.replace(" ", "▁") if text else "")
+            assert [g[0] for g in got] == [w[0] for w in every[:4]]
+            told = [(w, tuple(ids.tolist())) for w, ids in got]
+            assert len(set(told)) == len(told) and set(told) <= set(every)
+
+
+def test_long_unbroken_texts_take_time_in_proportion():
+    import time
+
+    model = pieces.PieceModel.load(packing.vocabulary("piece_bpe_32k.model"))
+    took = []
+    for n in (20_000, 80_000):
+        for text in ("=" * n, "".join(random.Random(3).choices("etaoinshr", k=n))):
+            began = time.process_time()
+            (found, same), = pieces.Segmenter(model, 3)(pa.array([text]))
+            took.append(time.process_time() - began)
+            assert same and len(found) == 3 and len({ids.tobytes() for _, ids in found}) == 3
+    assert took[2] < 10 * took[0] + 0.2 and took[3] < 10 * took[1] + 0.2
 
 
 def test_pieces_whole_table(spark, documents):
-    got = queries.op3_sentencepiece(spark, SF).collect()
-    assert len(got) == len(documents) and all(r["restored"] for r in got)
-    assert all(r["scores"] == sorted(r["scores"], reverse=True) for r in got)
-    ids = spark.createDataFrame([(1, [1, 2]), (2, None)], "doc_id long, ids array<int>")
-    assert pieces.decode(ids).count() == 2
+    import sentencepiece
+
+    got = {r["doc_id"]: r for r in queries.op3_sentencepiece(spark, SF).collect()}
+    assert len(got) == len(documents) and all(r["restored"] for r in got.values())
+    assert all(r["scores"] == sorted(r["scores"], reverse=True) for r in got.values())
+    model = pieces.PieceModel.load(packing.vocabulary("piece_bpe_32k.model"))
+    library = sentencepiece.SentencePieceProcessor(model_file=packing.vocabulary("piece_bpe_32k.model"))
+    agree = total = 0
+    for i, text, _ in documents[:40]:
+        words = ["▁" + w for w in (text or "").replace("\n", " \n ").split(" ")] if text else []
+        # a text's best score is the sum of a plain Viterbi over the whole text
+        whole = "▁" + text.replace(" ", "▁") if text else ""
+        best = [0.0] + [float("-inf")] * len(whole)
+        for end in range(1, len(whole) + 1):
+            for start, _, weight in model.arcs(whole, end):
+                best[end] = max(best[end], best[start] + weight)
+        assert got[i]["best"] == best[-1]
+        for w in words:
+            total += 1
+            agree += list(model.n_best(w, 1)[0][1]) == library.encode(w[1:])
+    assert agree >= 0.8 * total
+    ids = spark.createDataFrame([(1, [1, 300, 301]), (2, None), (3, [None, -1, 10**6, 300])], "doc_id long, ids array<int>")
+    one = model.decode([300]).decode()
+    assert {r[0]: r[1] for r in pieces.decode(ids).collect()} == {1: model.decode([300, 301]).decode(), 2: None, 3: one}
 
 
 def test_packing_whole_table(spark, documents):
@@ -142,6 +178,22 @@ def test_packing_whole_table(spark, documents):
     assert padding <= 0.01 * total
 
 
+def test_packing_ids_of_odd_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from roadveil.llm import recent
+
+    path = packing.vocabulary("word_bpe_49k.json")
+    rng, tokenizer = random.Random(8), Tokenizer.from_file(path)
+    texts = ["".join(rng.choice(["a", "Bc", "\u00e9", "\u0301", ".", ",", " ", "\n", "\u00a0", "\u2003", "3", "'s", "<|endoftext|>", "<|", "\u01c5", "&&"]) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + [None, "", "   ", "one. two, three."]
+    for most in (8 << 20, 40):  # the second cuts long texts at blanks
+        monkeypatch.setattr(recent, "SLICE", most)
+        monkeypatch.setattr(recent.slices, "__defaults__", (most,))
+        encode = packing.ChunkEncoder(path, remembered=2000)
+        for text, ids in zip(texts, encode(pa.array(texts, pa.string())), strict=True):
+            assert ids.tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], text
+
+
 def test_language_held_out(spark, documents):
     lang = {i: l for i, _, l in documents}
     rows = [r for r in queries.op5_language_id(spark, SF).collect() if r["held_out"] and lang[r["doc_id"]] and r["lang_pred"] != "und"]
