@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -16,8 +17,9 @@ from roadveil.llm.common import raw_bytes, staged
 from roadveil.llm.components import connected_components
 
 RADIUS = 3
-LEVELS = 10
 HALF = 32
+#: fingerprints at home in a shard, about; fingerprints in the sample that shapes the shards, at most
+SHARD, SAMPLE = 8192, 65536
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
 
@@ -52,45 +54,171 @@ def fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array(np.array([fingerprint(raw_bytes(t)) for t in texts], np.uint64).view(np.int64))
 
 
-def vantage_points(levels: int = LEVELS) -> list[int]:
-    """Fixed points of a half's space, one for each level of its tree, from a seed."""
-    return [int(v) for v in np.random.default_rng(1993).integers(0, 1 << HALF, levels, dtype=np.uint64)]
+class VantageTree:
+    """Binary vantage-point tree over 32-bit halves, nodes in the order of a heap.
 
+    Node i has a vantage point, taken from the points below it, and the median of their distances to it as
+    radius: points within the radius are below 2i, the others below 2i + 1. ``pruned`` counts the branches that the
+    triangle bound has spared.
+    """
+
+    def __init__(self, points: np.ndarray, depth: int):
+        self.depth, self.pruned = depth, 0
+        self.points = np.zeros(1 << depth, np.uint32)
+        self.radii = np.full(1 << depth, HALF, np.int16)
+        points = points[np.argsort(mixed(points), kind="stable")]
+        node = np.ones(len(points), np.int64)
+        for _ in range(depth):
+            order = np.argsort(node, kind="stable")
+            held, first, size = np.unique(node[order], return_index=True, return_counts=True)
+            self.points[held] = points[order[first]]
+            away = np.bitwise_count(points ^ self.points[node]).astype(np.int16)
+            ranked = away[np.lexsort((away, node))]
+            self.radii[held] = ranked[first + (size - 1) // 2]
+            node = 2 * node + (away > self.radii[node])
+
+    def leaves(self, points: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf): the leaves that can hold a point within a row's radius. By the triangle
+        inequality such a point is at d - radius to d + radius from the vantage point, so a branch that
+        lies beyond is left out."""
+        row, node = np.arange(len(points)), np.ones(len(points), np.int64)
+        for _ in range(self.depth):
+            away = np.bitwise_count(points[row] ^ self.points[node]).astype(np.int16)
+            inner, outer = away - radius[row] <= self.radii[node], away + radius[row] > self.radii[node]
+            self.pruned += int((~inner).sum() + (~outer).sum())
+            row, node = np.concatenate([row[inner], row[outer]]), np.concatenate([2 * node[inner], 2 * node[outer] + 1])
+        return row, node - (1 << self.depth)
+
+
+def mixed(points: np.ndarray) -> np.ndarray:
+    """An order of the points that has nothing to do with their distances."""
+    z = points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def half_of(prints: np.ndarray, which) -> np.ndarray:
+    return ((prints.view(np.uint64) >> (np.uint64(HALF) * np.asarray(which, np.uint64))) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def reach(halves: np.ndarray) -> np.ndarray:
+    """Two halves that differ by one bit have an even one, which asks; the odd one asks for its equals only."""
+    return (np.bitwise_count(halves) % 2 == 0).astype(np.int16)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components by fewer links: every node to the smallest of its component."""
+    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = flat[: len(a)], flat[len(a) :], np.arange(len(names))
+    while True:
+        low = np.minimum(root[a], root[b])
+        was = root.copy()
+        for end in (root[a], root[b], a, b):
+            np.minimum.at(root, end, low)
+        root = root[root]
+        if (root == was).all():
+            break
+    far = root != np.arange(len(names))
+    return names[far], names[root[far]]
 
-def shard(half: Column, which: int, levels: int) -> Column:
-    """Path from the root: the distances to the levels' vantage points, six bits each."""
-    steps = [F.shiftleft(F.bit_count(half.bitwiseXOR(F.lit(v))).cast("long"), 6 * i) for i, v in enumerate(vantage_points(levels))]
-    return reduce(lambda a, b: a.bitwiseOR(b), steps, F.lit(which).cast("long") * F.lit(1 << 6 * levels))
 
+def place(prints: DataFrame, trees) -> DataFrame:
+    """``(shard, asks, fp)``: every fingerprint at its own leaf, once a half, and where it has to ask."""
 
-def near_pairs(prints: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """Pairs ``(a, b)`` of different fingerprints ``fp`` at ``RADIUS`` or fewer bits.
+    def run(batches):
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
+            out = []
+            for which, tree in enumerate(trees.value):
+                half = half_of(fp, which)
+                for asks, radius in ((False, np.zeros(len(fp), np.int16)), (True, reach(half))):
+                    row, leaf = tree.leaves(half, radius)
+                    out.append((2 * leaf + which, np.full(len(row), asks), fp[row]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["shard", "asks", "fp"])
 
-    A fingerprint splits into two halves of 32 bits, so two within three bits are within
-    one bit on some half. Each half has a vantage-point tree: level i deals the
-    half out by its Hamming distance to vantage point i, one branch a distance, and the path is
-    the shard. By the triangle inequality a partner within one bit is, on every level, in a
-    branch at most one away; all other branches are pruned. By parity it is
-    in the same branch throughout (equal half) or one away throughout, and only the
-    combinations that one bit can cause are reached: 32 neighbouring shards at most. Of two
-    partners one has an odd half, so the even ones visit and the odd ones wait. Inside a
-    shard the exact distance decides. The bound holds for all data, so no pair is lost; a
-    shard is an ordinary join key and may be split when it is hot.
+    return prints.select("fp").mapInArrow(run, "shard long, asks boolean, fp long")
+
+
+def search(homes: np.ndarray, asking: np.ndarray, which: int, leaf: int = 16, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at ``RADIUS`` or fewer bits of fingerprints that ask and those at home in one shard, by a tree of
+    the shard's own, a bounded number of candidates at a time."""
+    half = half_of(homes, which)
+    tree = VantageTree(half, max(0, math.ceil(math.log2(max(1, len(homes)) / leaf))))
+    row, at = tree.leaves(half, np.zeros(len(half), np.int16))
+    homes = homes[row[np.argsort(at, kind="stable")]]
+    size = np.bincount(at, minlength=1 << tree.depth)
+    start = np.cumsum(size) - size
+    for begin in range(0, len(asking), 4096):
+        part = asking[begin : begin + 4096]
+        own = half_of(part, which)
+        row, at = tree.leaves(own, reach(own))
+        row, at = row[size[at] > 0], at[size[at] > 0]
+        ends = np.cumsum(size[at])
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(most, ends[-1] if len(ends) else 0, most)), [len(row)]]))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            n = size[at[i:j]]
+            place = np.repeat(start[at[i:j]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            x, y = part[np.repeat(row[i:j], n)], homes[place]
+            near = (np.bitwise_count((x ^ y).view(np.uint64)) <= RADIUS) & (x != y)
+            if near.any():
+                yield x[near], y[near]
+
+
+def near_pairs(spark: SparkSession, prints: DataFrame, shard_rows: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """Links ``(a, b)`` that connect all different fingerprints ``fp`` at ``RADIUS`` or fewer bits, and none else.
+
+    A fingerprint splits into two halves of 32 bits, so two within three bits are within one bit on some half.
+    Each half has a vantage-point tree, whose points and radii come from a bounded sample of the
+    fingerprints (a hash decides; the sample has an effect on the sizes of shards, not on what is found). Its
+    leaves are the shards. A fingerprint is at home in one leaf and asks all leaves that
+    the triangle bound can't rule out; in a shard, a tree of its own does the same, and the exact
+    distance decides. A shard with too many fingerprints at home is split by hash into parts, each of which is asked.
+    Of the pairs of a task only as many links go on as hold its components together.
     """
-    mask = F.lit((1 << HALF) - 1).cast("long")
-    rows = []
-    for which in (0, 1):
-        half = F.shiftrightunsigned("fp", HALF * which).bitwiseAND(mask)
-        rows.append(prints.select("fp", half.alias("half"), F.lit(which).alias("which")))
-    halves = rows[0].unionByName(rows[1])
-    path = lambda half: F.when(F.col("which") == 0, shard(half, 0, levels)).otherwise(shard(half, 1, levels))
-    home = halves.select("fp", path(F.col("half")).alias("shard"))
-    reached = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(HALF - 1)), lambda b: path(F.col("half").bitwiseXOR(F.expr("shiftleft(1L, 0)") * F.pow(F.lit(2.0), b).cast("long")))))
-    visits = halves.filter(F.bit_count("half") % 2 == 0).select("fp", F.explode(reached).alias("shard"))
-    asks = home.select("fp", "shard", F.lit(True).alias("own")).unionByName(visits.select("fp", "shard", F.lit(False).alias("own")))
-    a, b = asks.alias("a"), home.alias("b")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS
-    return a.join(b, (F.col("a.shard") == F.col("b.shard")) & near & (~F.col("a.own") | (F.col("a.fp") < F.col("b.fp")))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    total = prints.count()
+    picked = prints.filter(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 20)) <= F.lit(int((1 << 20) * min(1.0, sample / max(1, total))))).select("fp").limit(2 * sample)
+    known = np.sort(np.array([r[0] for r in picked.collect()], np.int64))  # at most 2 * sample numbers
+    depth = max(0, min(math.ceil(math.log2(max(1, total) / shard_rows)), int(math.log2(max(1, len(known)))) - 2))
+    trees = spark.sparkContext.broadcast([VantageTree(half_of(known, which), depth) for which in (0, 1)])
+    placed = staged(spark, place(prints, trees), "placed")
+    crowd = placed.filter("NOT asks").groupBy("shard").agg(F.ceil(F.count("*") / (4 * shard_rows)).cast("int").alias("parts")).filter("parts > 1")
+    rows = placed.join(crowd, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")))
+    dealt = rows.select("shard", F.explode(part).alias("part"), "asks", "fp").repartition("shard", "part").sortWithinPartitions("shard", "part", "asks")
+
+    def run(batches):
+        key, homes, waiting, found = None, [], [], []
+
+        def ask():
+            if homes and waiting:
+                found.extend(search(np.concatenate(homes), np.concatenate(waiting), key[0] % 2))
+            waiting.clear()
+
+        def links(least: int):
+            if sum(len(x) for x, _ in found) > least:
+                a, b = forest(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                found[:] = [(a, b)]
+                if 2 * len(a) > least:
+                    found.clear()
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            shard, piece, asks, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            edges = np.flatnonzero((np.diff(shard) != 0) | (np.diff(piece) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(fp)], strict=True):
+                if i == j:
+                    continue
+                if (shard[i], piece[i]) != key:
+                    ask()
+                    homes.clear()
+                    key = (shard[i], piece[i])
+                (waiting if asks[i] else homes).append(fp[i:j])
+            if sum(map(len, waiting)) > 1 << 18:
+                ask()
+            yield from links(1 << 20)
+        ask()
+        yield from links(0)
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def cluster(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -104,7 +232,7 @@ def cluster(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     prints = staged(spark, docs.select(docs["doc_id"].cast("long").alias("doc_id"), fingerprints(docs["text"].cast("string")).alias("fp")), "prints")
     nodes = staged(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "nodes")
-    roots = connected_components(spark, near_pairs(nodes))
+    roots = connected_components(spark, near_pairs(spark, nodes))
     grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("lowest").alias("component_id"))
     members = staged(spark, grouped.select("fp", "root").join(named, "root").select("fp", "component_id"), "members")

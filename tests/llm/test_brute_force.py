@@ -62,8 +62,29 @@ def test_near_pairs_misses_none(spark):
             base.append(flipped)
     base = sorted(set(base))
     signed = [b - (1 << 64) if b >> 63 else b for b in base]
-    got = {tuple(sorted((r[0] % 2**64, r[1] % 2**64))) for r in simhash.near_pairs(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()}
-    assert got == {(a, b) for a in base for b in base if a < b and (a ^ b).bit_count() <= 3}
+    pairs = {(a, b) for a in base for b in base if a < b and (a ^ b).bit_count() <= 3}
+    want = components(pairs, base)
+    for rows in (8192, 8, 1):  # one shard, many, and shards that are split
+        links = simhash.near_pairs(spark, spark.createDataFrame([(s,) for s in signed], "fp long"), rows).collect()
+        assert components([(r[0] % 2**64, r[1] % 2**64) for r in links], base) == want
+
+
+def test_vantage_trees_prune_and_lose_nothing():
+    rng = np.random.default_rng(5)
+    homes = rng.integers(-(1 << 63), (1 << 63) - 1, 4000)
+    asking = homes[:1500] ^ (np.int64(1) << rng.integers(0, 63, 1500)) ^ (np.int64(1) << rng.integers(0, 63, 1500))
+    near = {(int(x), int(y)) for x in asking for y in homes[np.bitwise_count((homes ^ x).view(np.uint64)) <= 3] if x != y}
+    got = set()
+    for which in (0, 1):
+        both = np.concatenate([homes, asking])
+        for x, y in simhash.search(both, both, which):
+            got |= set(zip(x.tolist(), y.tolist(), strict=True))
+    assert near <= got | {(b, a) for a, b in got}
+    tree = simhash.VantageTree(simhash.half_of(homes, 0), 8)
+    row, leaf = tree.leaves(simhash.half_of(asking, 0), np.ones(len(asking), np.int16))
+    assert tree.pruned > 5 * len(asking) and len(row) < 0.05 * (len(asking) << 8)
+    home_row, home = tree.leaves(simhash.half_of(homes, 0), np.zeros(len(homes), np.int16))
+    assert sorted(home_row) == list(range(len(homes)))
 
 
 def test_long_text_fingerprint():
