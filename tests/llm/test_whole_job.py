@@ -3,7 +3,13 @@
 import math
 import random
 
-from roadveil.llm import pii, simhash, urlfilter
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from roadveil.llm import pii, queries, simhash, topk, urlfilter
 
 
 def test_terms_of_once_mentioned_entities_anywhere_in_the_text(spark):
@@ -74,3 +80,30 @@ def test_distrust_reaches_far_hosts(spark):
     got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     # distrust 0.15 * 0.85**12 = 0.021 against 1 / (2 * 31) = 0.016
     assert [got[i] for i in range(12)] == ["block"] * 12 and got[100] == "allow"
+
+
+@pytest.mark.parametrize("shard_rows, block, most_pivots", [(8192, 65536, 1024), (40, 16, 6), (10, 7, 64)])
+def test_top_k_over_many_shards_meets_the_sql(spark, shard_rows, block, most_pivots):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 12)) * 3
+    rows = [(i, (centres[i % 8] + 0.05 * rng.normal(size=12)).tolist()) for i in range(400)]
+    rows += [rows[20], rows[20], rows[7], (401, [0.0] * 12), (402, rows[20][1]), (403, [1.0, 2.0]), (440, [3.0, 4.0]), (460, [-9.0] * 12)]
+    con = duckdb.connect()
+    embeddings = pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))})
+    con.register("embeddings", embeddings)
+    want = sorted(con.sql(queries.oracle_sql()["op9_exact_top_k"]).select("query_id", "rank", "vec_id", "score").fetchall())
+    found = topk.top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, shard_rows=shard_rows, block=block, most_pivots=most_pivots)
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_m_trees_spare_computations():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 16)) * 40
+    rows = np.floor(centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16)))
+    tree = topk.MTree(np.arange(6000), rows, float((rows * rows).sum(1).max()))
+    for i in range(0, 6000, 300):
+        scores = rows @ rows[i]
+        scores[i] = -np.inf
+        want = sorted(((-s, j) for j, s in enumerate(scores.tolist())))[:20]
+        assert sorted((-s, j) for s, j in tree.search(i, rows[i], 20)) == want
+    assert tree.computed < 0.5 * 20 * 6000
