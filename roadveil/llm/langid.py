@@ -119,16 +119,18 @@ def has_letter(text: bytes) -> bool:
     return bool(re.search(rb"[A-Za-z]", text)) or any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def fit(docs: DataFrame, usable: Column, per_lang: int = 500, windows_per_text: int = 4, window: int = 256) -> ByteNet | None:
-    """Train on a bounded sample: about ``per_lang`` labelled texts of each of the 64 most
-    frequent languages, chosen by a hash of their id, ``windows_per_text`` windows each,
-    spread over the whole text. None if nothing is labelled."""
+def fit(docs: DataFrame, usable: Column, per_lang: int = 500, windows_per_text: int = 4, window: int = 256, most_texts: int = 32_000, most_langs: int = 8000) -> ByteNet | None:
+    """Train on a bounded sample: about ``per_lang`` labelled texts of each language (fewer where that makes over ``most_texts``
+    in all), chosen by a hash of id and text, ``windows_per_text`` windows each, spread over the whole text. Languages may be as many
+    as there are (``most_langs``; then the most frequent). None if nothing is labelled."""
     known = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("t"), docs["lang"].alias("l")).filter(usable & F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(64).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_langs).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for l, n in counts.items() for v in (l, min(1.0, per_lang / n))])
-    picked = known.filter(unit_hash("id") < F.coalesce(share[F.col("l")], F.lit(0.0))).select("id", "t", "l").limit(2 * per_lang * len(counts))
+    quota = min(per_lang, max(1, most_texts // len(counts)))
+    share = docs.sparkSession.createDataFrame([(l, min(1.0, quota / n)) for l, n in counts.items()], "l string, share double")
+    drawn = known.withColumn("h", unit_hash("id", "t")).join(F.broadcast(share), "l").filter("h < share")
+    picked = drawn.orderBy("h", "id").limit(2 * quota * len(counts)).select("id", "t", "l")  # the bound bites where one row is repeated
 
     def cut(batches):
         net = ByteNet([], window)
@@ -208,7 +210,8 @@ def identify(docs: DataFrame) -> DataFrame:
     The language, source and id of a row never enter its prediction. Null text or text
     without any letter: ``und``, score 0. Very long texts: all windows, in bounded slices;
     the score is the mean probability of the windows. Ties go to the language first in
-    order. No labelled rows: ``und`` throughout. A null doc_id counts as not held out.
+    order. No labelled rows: ``und`` throughout. A null doc_id counts as not held out. Repeated rows are each given one; an
+    empty table gives none; further columns are ignored.
     """
     out = held_out(F.col("doc_id"))
     net = fit(docs, ~held_out(F.col("id")))
@@ -217,7 +220,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows whose language is told with at least this score, all columns unchanged."""
+    """Rows whose language is told with at least this score, all columns unchanged.
+
+    Null texts and texts without a letter go; repeated rows and null ids stay or go by their text; an empty table stays
+    empty. Where nothing is labelled, or there is no column ``lang``, no language can be learned and every row stays.
+    """
     usable = ~held_out(F.col("id"))
     net = fit(docs, usable) if "lang" in docs.columns else None
     if net is None:

@@ -22,33 +22,6 @@ MARKS = (".", ",")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Memory:
-    """What was computed for recent keys: two generations of at most ``limit`` each, the
-    older one dropped when the newer is full. Bounded, whatever the texts hold."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self.new: dict = {}
-        self.old: dict = {}
-
-    def missing(self, keys) -> list:
-        """The keys not remembered; those only in the older generation move up."""
-        new, old = self.new, self.old
-        absent = [k for k in dict.fromkeys(keys) if k not in new]
-        out = []
-        for k in absent:
-            if k in old:
-                new[k] = old[k]
-            else:
-                out.append(k)
-        return out
-
-    def room(self) -> None:
-        """To be called between texts: starts a new generation when this one is full."""
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-
-
 class ChunkEncoder:
     """Ids of whole texts, by way of a bounded memory of chunks.
 
