@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType
 
 from roadveil.llm import shingles
 from roadveil.llm.common import raw_bytes, staged
-from roadveil.llm.components import connected_components
+from roadveil.llm.components import connected_components, forest
 
 RADIUS = 3
 HALF = 32
@@ -105,22 +105,6 @@ def reach(halves: np.ndarray) -> np.ndarray:
     return (np.bitwise_count(halves) % 2 == 0).astype(np.int16)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same components by fewer links: every node to the smallest of its component."""
-    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b, root = flat[: len(a)], flat[len(a) :], np.arange(len(names))
-    while True:
-        low = np.minimum(root[a], root[b])
-        was = root.copy()
-        for end in (root[a], root[b], a, b):
-            np.minimum.at(root, end, low)
-        root = root[root]
-        if (root == was).all():
-            break
-    far = root != np.arange(len(names))
-    return names[far], names[root[far]]
-
-
 def place(prints: DataFrame, trees) -> DataFrame:
     """``(shard, asks, fp)``: every fingerprint at its own leaf, once a half, and where it has to ask."""
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from roadveil.llm import htmltext, langid, packing, pieces, pii, queries, simhash, toxicity
+from roadveil.llm import htmltext, langid, lattice, packing, pieces, pii, queries, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -339,24 +339,54 @@ def test_matches_sql(spark, name):
     assert rows(found.select(*columns).collect()) == rows(con.sql(queries.oracle_sql()[name]).select(*columns).fetchall())
 
 
-def test_embedding_links_and_recall(spark):
-    from roadveil.llm import lattice
-
+@pytest.mark.parametrize("size, blocks, homes", [(64, 1, 1024), (768, 1, 1024), (768, 2, 1024), (96, 3, 1024), (64, 1, 6)])
+def test_embedding_links_recall_and_components(spark, monkeypatch, size, blocks, homes):
     rng = np.random.default_rng(4)
-    base = rng.normal(size=(150, 64))
+    base = rng.normal(size=(120, size))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
     rows = [*base]
-    for v in base[:100]:
+    for v in base[:80]:
         for cos in rng.uniform(0.94, 0.999, 3):
-            side = rng.normal(size=64)
+            side = rng.normal(size=size)
             side -= (side @ v) * v
             rows.append(cos * v + np.sqrt(1 - cos**2) * side / np.linalg.norm(side))
+    rows += [base[0] + 1e-3 * k * base[1] for k in range(1, 30)]  # a dense group, in which pairs meet in several tables
     x = np.array(rows)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     close = (unit @ unit.T >= 0.95) & ~np.eye(len(x), dtype=bool)
-    got = {r["vec_id"]: r["n_links"] for r in lattice.near_duplicates(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
-    assert all(got[i] <= n for i, n in enumerate(close.sum(1)))
-    assert sum(got.values()) >= 0.97 * close.sum()
+    monkeypatch.setattr(lattice.linked, "__defaults__", (homes, 8 * homes))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in lattice.near_duplicates(spark, df, blocks=blocks).collect()}
+    links = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (links <= close.sum(1)).all() and links.sum() >= 0.95 * close.sum()
+    want = components(zip(*map(np.ndarray.tolist, np.nonzero(close)), strict=True), range(len(x)))
+    assert sum(got[i]["component_id"] == want[i] for i in range(len(x))) >= 0.95 * len(x)
+    assert all(want[got[i]["component_id"]] == want[i] for i in range(len(x)))  # no link that isn't there
+
+
+def test_embeddings_whole_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    x = np.array([v for _, v in rows], float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = (unit @ unit.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    ids = [i for i, _ in rows]
+    want = components([(ids[a], ids[b]) for a, b in zip(*np.nonzero(close), strict=True)], ids)
+    got = {r["vec_id"]: r for r in queries.op10_embedding_near_dedup(spark, SF).collect()}
+    assert sum(got[i]["n_links"] for i in ids) >= 0.97 * close.sum()
+    assert all(got[i]["n_links"] <= n for i, n in zip(ids, close.sum(1), strict=True))
+    assert sum(got[i]["component_id"] == want[i] for i in ids) >= 0.97 * len(ids)
+
+
+@pytest.mark.parametrize("size", [64, 768, 1024])
+def test_cells_are_fine_at_any_width(size):
+    rng = np.random.default_rng(9)
+    unit = lattice.unit_rows(rng.normal(size=(1500, size)))
+    home, near = lattice.cells(unit, 0, 1, 8, lattice.SCALE)
+    names = {c.tobytes(): k for k, c in enumerate(np.unique(home, axis=0))}
+    at = np.array([names[c.tobytes()] for c in home])
+    size_of = np.bincount(at)
+    met = size_of[at].sum() + sum(size_of[names[c.tobytes()]] for row in near for c in row if c.tobytes() in names)
+    assert met < 0.01 * len(unit) ** 2
 
 
 def test_layout():
