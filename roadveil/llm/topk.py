@@ -25,13 +25,13 @@ class MTree:
     leaf page has rows; either has the stored distance of every entry to the page's own routing object.
     """
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, top: float, page: int = 256, fan: int = 16, seed: int = 5):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, top: float, page: int = 512, fan: int = 16, seed: int = 5):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows, self.top = ids[order], rows[order], top
         self.slack = 1e-6 * (1 + math.sqrt(top))
         self.computed = self.spared = 0
         lifted, rng = lift(self.rows, top), np.random.default_rng(seed)
-        #: per page: None and rows, or routers, radii and children; then the entries' distances to the parent
+        #: per page: rows, their numbers and None, or routers, radii and children; then the entries' distances to the parent
         self.pages: list[tuple] = []
         whole = np.arange(len(ids))
         self.root, work = 0, [(whole, lifted[:1][0] if len(ids) else None, -1, -1)]
@@ -43,18 +43,19 @@ class MTree:
             away = np.sqrt(((lifted[part] - router) ** 2).sum(1)) if len(part) else np.empty(0)
             groups = []
             if len(part) > page:
-                pivots = lifted[part[np.sort(rng.permutation(len(part))[:fan])]]
+                pivots = lifted[part[np.sort(rng.permutation(len(part))[: min(fan, -(-len(part) // page))])]]
                 owner, _ = nearest(lifted[part], pivots)
                 groups = [(part[owner == p], pivots[p]) for p in range(len(pivots)) if (owner == p).any()]
             if len(groups) < 2:  # few rows, or copies of one vector
                 sort = np.argsort(away, kind="stable")
-                self.pages.append((None, part[sort], None, away[sort]))
+                self.pages.append((self.rows[part[sort]], part[sort], None, away[sort]))
                 continue
             routers = np.array([p for _, p in groups])
             radii = np.array([np.sqrt(((lifted[own] - p) ** 2).sum(1).max()) for own, p in groups])
             self.pages.append((routers, radii, [0] * len(groups), np.sqrt(((routers - router) ** 2).sum(1))))
             work += [(own, p, here, k) for k, (own, p) in enumerate(groups)]
         self.router = lifted[0] if len(ids) else None
+        self.rows = None  # the pages hold them
 
     def search(self, query_id: int, query: np.ndarray, k: int, floor: float = -math.inf) -> list[tuple[int, int]]:
         """The k best (score, vec_id) of at least ``floor``, ties to smaller ids, without the query's own id."""
@@ -91,9 +92,9 @@ class MTree:
             if limit < math.inf:
                 span = slice(*np.searchsorted(to_parent, [distance - limit, distance + limit]))
                 self.spared += len(entries) - (span.stop - span.start)
-                entries = entries[span]
+                entries, routers = entries[span], routers[span]
             self.computed += len(entries)
-            scores = self.rows[entries] @ query
+            scores = routers @ query
             near = scores >= max(floor, best[0][0] if len(best) == k else -math.inf)
             for score, i in zip(scores[near].astype(np.int64).tolist(), self.ids[entries[near]].tolist(), strict=True):
                 if i == query_id:

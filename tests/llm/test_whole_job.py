@@ -100,7 +100,7 @@ def test_m_trees_spare_computations():
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(60, 16)) * 40
     rows = np.floor(centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16)))
-    tree = topk.MTree(np.arange(6000), rows, float((rows * rows).sum(1).max()))
+    tree = topk.MTree(np.arange(6000), rows, float((rows * rows).sum(1).max()), page=64)
     for i in range(0, 6000, 300):
         scores = rows @ rows[i]
         scores[i] = -np.inf
