@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noscript datalist iframe noembed noframes object audio video canvas svg math".split())
+UNSEEN = frozenset("head script style template title noscript datalist iframe noembed noframes object audio video canvas desc defs metadata annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table pre blockquote figure fieldset hr".split())
 LISTS = frozenset("ul ol menu dir".split())
@@ -38,9 +38,15 @@ IMPLIED = {
 #: as in browsers, elements deeper than this are siblings, so that every search of the open elements is short
 DEEPEST = 512
 HEAD = frozenset("base link meta script style template title noscript head html".split())
+#: "<!-->" and "<!--->" are comments, too, and "--!>" ends one
+COMMENT_END = re.compile(r"(?<=<!)--+>|--!?>")
+#: a column that is wider than this does not push the others apart, so that a text grows with its page alone
+WIDEST = 80
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*)?")
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+BUTTONS = frozenset("submit button reset".split())
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -62,8 +68,8 @@ def tokens(page: str):
         if lt > at:
             yield "text", page[at:lt]
         if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
-            at = size if end < 0 else end + 3
+            end = COMMENT_END.search(page, lt + 2)
+            at = end.end() if end else size
             continue
         closing = page.startswith("</", lt)
         name = NAME.match(page, lt + 1 + closing)
@@ -196,9 +202,15 @@ def tree(page: str) -> Element:
 
 def hidden(node: Element) -> bool:
     a = node.attributes
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "input") or (node.tag == "dialog" and "open" not in a):
+    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
         return True
-    return "style" in a and bool(HIDDEN_STYLE.search(a["style"]))
+    return "style" in a and bool(NOT_SHOWN.search(a["style"]))
+
+
+def visible(node: Element, before: bool) -> bool:
+    """Visibility goes to the children, which may set it anew."""
+    found = VISIBILITY.findall(node.attributes.get("style", ""))
+    return found[-1].lower() not in ("hidden", "collapse") if found else before
 
 
 class Flow:
@@ -274,44 +286,54 @@ class Flow:
         return lines[start:]
 
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Cells of (lines, columns) as text columns two blanks apart."""
-    widths: list[int] = []
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Cells of (lines, columns, rows) as text columns two blanks apart; below a cell of several rows its columns stay empty."""
+    placed, taken = [], {}  # column -> rows still to be left empty
     for row in rows:
-        at = 0
-        for lines, span in row:
+        at, cells, after = 0, [], {c: n - 1 for c, n in taken.items() if n > 1}
+        for lines, span, deep in row:
+            while at in taken:
+                at += 1
+            cells.append((at, lines, span))
+            if deep > 1:
+                after.update(dict.fromkeys(range(at, at + span), deep - 1))
+            at += span
+        taken = after
+        placed.append(cells)
+    widths: list[int] = []
+    for cells in placed:
+        for at, lines, span in cells:
             widths += [0] * (at + span - len(widths))
             if span == 1:
-                widths[at] = max([widths[at], *map(len, lines)])
-            at += span
-    for row in rows:
-        at = 0
-        for lines, span in row:
+                widths[at] = min(WIDEST, max([widths[at], *map(len, lines)]))
+    for cells in placed:
+        for at, lines, span in cells:
             if span > 1:
-                short = max([0, *map(len, lines)]) - sum(widths[at : at + span]) - 2 * (span - 1)
+                short = min(WIDEST, max([0, *map(len, lines)])) - sum(widths[at : at + span]) - 2 * (span - 1)
                 widths[at + span - 1] += max(0, short)
-            at += span
+    starts = [0]
+    for w in widths:
+        starts.append(starts[-1] + w + 2)
     out = []
-    for row in rows:
-        for k in range(max([1, *(len(c[0]) for c in row)])):
-            at, parts = 0, []
-            for lines, span in row:
-                width = sum(widths[at : at + span]) + 2 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(width))
-                at += span
-            out.append("  ".join(parts).rstrip())
+    for cells in placed:
+        for k in range(max([1, *(len(c[1]) for c in cells)])):
+            text = ""
+            for at, lines, _ in cells:
+                if k < len(lines) and lines[k]:
+                    text = (text + "  " if len(text) > starts[at] - 2 and text else text.ljust(starts[at])) + lines[k]
+            out.append(text)
     return out
 
 
-def span_of(node: Element) -> int:
-    value = node.attributes.get("colspan", "").strip()
+def span_of(node: Element, name: str = "colspan") -> int:
+    value = node.attributes.get(name, "").strip()
     return min(int(value), 100) if value.isdecimal() and len(value) < 6 and int(value) else 1
 
 
 def render(page: str) -> str:
     """All visible text of a page, laid out: blocks on lines of their own, blank lines where
     margins stand, list items marked and indented, table cells in aligned columns."""
-    flows, kept, lists = [Flow()], [False], []
+    flows, kept, shown, lists = [Flow()], [False], [True], []
     tables: list[dict] = []
     work: list = [("visit", tree(page))]
     while work:
@@ -319,11 +341,16 @@ def render(page: str) -> str:
         flow = flows[-1]
         if what == "visit":
             if isinstance(node, str):
-                flow.text(node, kept[-1])
+                if shown[-1]:
+                    flow.text(node, kept[-1])
                 continue
             if hidden(node):
                 continue
             tag = node.tag
+            if tag == "input":
+                if shown[-1] and node.attributes.get("type", "").lower() in BUTTONS and (caption := node.attributes.get("value", "").strip()):
+                    flow.text(f" {html.unescape(caption)} ", False)
+                continue
             if tag == "br":
                 flow.end_line(force=True)
                 flow.gap = 0
@@ -332,7 +359,7 @@ def render(page: str) -> str:
                 flow.block(True)
                 continue
             if tag == "img":
-                if alt := node.attributes.get("alt", "").strip():
+                if shown[-1] and (alt := node.attributes.get("alt", "").strip()):
                     flow.text(html.unescape(alt), False)
                 continue
             if tag in ("td", "th", "caption", "li", "blockquote", "dd", "table"):
@@ -349,6 +376,7 @@ def render(page: str) -> str:
             if tag in ("td", "th", "caption", "li", "blockquote", "dd"):
                 flows.append(Flow())
             kept.append(kept[-1] or tag in ("pre", "textarea", "xmp", "listing", "plaintext"))
+            shown.append(visible(node, shown[-1]))
             work.append(("leave", node))
             children = node.children
             if tag == "details" and "open" not in node.attributes:
@@ -360,11 +388,12 @@ def render(page: str) -> str:
             continue
         tag = node.tag
         kept.pop()
+        shown.pop()
         if tag in ("td", "th", "caption", "li", "blockquote", "dd"):
             lines = flows.pop().done()
             outer = flows[-1]
             if tag in ("td", "th") and tables and tables[-1]["rows"]:
-                tables[-1]["rows"][-1].append((lines, span_of(node)))
+                tables[-1]["rows"][-1].append((lines, span_of(node), span_of(node, "rowspan")))
             elif tag == "caption" and tables:
                 tables[-1]["lines"] += lines
             elif tag == "li":

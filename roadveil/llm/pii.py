@@ -6,7 +6,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -79,7 +79,12 @@ def free_words(text: str, base):
             yield m
 
 
-FOUND = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, words array<string>"
+FOUND = "doc_id long, key string, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, words array<string>"
+
+
+def text_key(text: Column) -> Column:
+    """128 bits of a text, so that no two texts of a corpus share it."""
+    return F.md5(text.cast("binary"))
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -100,7 +105,7 @@ def detect(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *counts, pa.array([r[1] for r in rows], pa.string()), *lists], names=names)
 
     text = docs["text"].cast("string")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, FOUND)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text")).mapInArrow(run, FOUND)
 
 
 def pairs_of(texts: DataFrame) -> DataFrame:
@@ -171,7 +176,7 @@ def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.select(docs["doc_id"], docs["text"])
     found = staged(spark, detect(docs), "found")
     terms = terms_of_texts(spark, docs, found)
-    keyed = docs.select(F.xxhash64(docs["text"].cast("string")).alias("key"), docs["text"].cast("string").alias("text"))
+    keyed = docs.select(text_key(docs["text"].cast("string")).alias("key"), docs["text"].cast("string").alias("text"))
     more = staged(spark, keyed.join(terms, "key").select("key", spans_of_terms("text", "terms").alias("more")).groupBy("key").agg(F.min("more").alias("more")), "spans")
     sha = F.sha2(F.col("base").cast("binary"), 256)
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("more") != "", F.col("more")))
@@ -200,11 +205,12 @@ def sanitise_texts(texts: pa.Array, terms: pa.Array) -> pa.Array:
 
 def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The same rows and columns, personal data and revealing terms out of ``text``;
-    ``n_chars``, where there is one, follows."""
+    ``n_chars``, where there is one, follows. Null texts stay null, empty ones empty; repeated rows and null ids stay as they are; texts
+    are taken whole; an empty table stays empty."""
     plain = docs.select(docs["doc_id"], docs["text"])
     found = staged(spark, detect(plain), "found")
     terms = terms_of_texts(spark, plain, found).withColumnsRenamed({"key": "roadveil key", "terms": "roadveil terms"})
-    joined = docs.join(terms, F.xxhash64(docs["text"].cast("string")) == terms["roadveil key"], "left")
+    joined = docs.join(terms, text_key(docs["text"].cast("string")) == terms["roadveil key"], "left")
     joined = joined.withColumn("text", sanitise_texts(docs["text"].cast("string"), F.col("roadveil terms")))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -12,7 +12,7 @@ from roadveil.llm.common import ascii_lower, staged
 
 #: (verdict, host and path) of the rules that hold for a host and all its subdomains
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-UNIT = 10**12
+UNIT = 10**15
 DAMPING = 0.85
 ROUNDS = 10
 STAGED_ROUNDS = 5
@@ -62,7 +62,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def host_scores(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
-    """``(host, trust, distrust)`` in units of 1e-12: personalised PageRank from hosts with
+    """``(host, trust, distrust)`` in units of 1e-15: personalised PageRank from hosts with
     allowed pages, and the same against the links from hosts with blocked pages.
 
     Rounds go on until what is still to come is below 1 / (FINENESS n) for n hosts: a round's summed

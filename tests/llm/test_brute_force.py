@@ -394,6 +394,29 @@ def test_layout():
     assert htmltext.render(page) == "Hello big world\n\ntwo\nthree\n\n- a\n- b\n  1. c\n  2. d\n\nA       longer cell\nxxxxxx  y\n\n& end"
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>a<!-->b<p>c", "ab\n\nc"),
+    ("<p>a<!--->b", "ab"),
+    ("<p>a<!--x--!>b", "ab"),
+    ("<p>a<!-- x -- > y -->b", "ab"),
+    ("<p>x <math><mi>y</mi><annotation>no</annotation></math> <svg><title>no</title><text>z</text></svg>", "x y z"),
+    ("<form><input type=submit value='Send it'><input value=no></form>", "Send it"),
+    ("<div style='visibility:hidden'>no<span style='visibility: visible'>yes</span>no</div>", "yes"),
+    ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"),
+    ("<table><tr><td colspan=2>head<td>x<tr><td>1<td>2<td>y</table>", "head  x\n1  2  y"),
+])
+def test_layout_of_odd_pages(page, want):
+    assert htmltext.render(page) == want
+
+
+def test_layout_grows_with_the_page_alone():
+    page = f"<table><tr><td>{'w' * 20_000}<td>x" + "<tr><td>a<td>b" * 2000 + "</table>"
+    text = htmltext.render(page)
+    assert len(text) < 10 * len(page) and text.startswith("w" * 20_000 + "  x\na")
+    deep = "<div>" * 3000 + "end" + "<b>" * 3000
+    assert htmltext.render(deep) == "end"
+
+
 def test_layout_keeps_every_visible_word(spark):
     for (page,) in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
         body = re.sub(r"(?s)<head>.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->", " ", page)
