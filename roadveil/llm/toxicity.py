@@ -166,8 +166,8 @@ def predictor(chain: Chain | None, categories=CATEGORIES):
         if chain is None:
             return pa.array([[0.0] * len(categories)] * len(texts), pa.list_(pa.float64()))
         if not held:
-            at = {int(h): i for i, h in enumerate(chain.features)}
-            held["memory"] = Recent(lambda words: ([np.array([at[h] for h in word_features(w.encode()) if h in at], "<u4").tobytes() for w in words], np.empty((len(words), 0))), 32 << 20)
+            column = {int(h): i for i, h in enumerate(chain.features)}
+            held["memory"] = Recent(lambda words: ([np.array([column[h] for h in word_features(w.encode()) if h in column], "<u4").tobytes() for w in words], np.empty((len(words), 0))), 32 << 20)
         memory, out = held["memory"], []
         for run, groups in slices(texts):
             words = chunks_of(run)
