@@ -232,10 +232,13 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each component of texts at a 5-word Jaccard of 0.8 or more (see ``shingles``),
     all columns unchanged: the smallest id, with its text. Rows without an id stay."""
     named = docs.withColumn("roadveil key", shingles.keys(docs["text"].cast("string")))
-    ids = staged(spark, named.select(docs["doc_id"].cast("long").alias("doc_id"), F.col("roadveil key").alias("key")), "ids")
-    grouped = ids.filter("doc_id IS NOT NULL").join(shingles.components(spark, docs), ids["key"] == F.col("node"), "left")
-    kept = grouped.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min(F.struct("doc_id", "key")).alias("one"))
-    kept = staged(spark, kept.select(F.col("one.doc_id").alias("kept id"), F.col("one.key").alias("kept key")), "kept")
-    one = (named["doc_id"].cast("long") == kept["kept id"]) & (named["roadveil key"] == kept["kept key"])
-    ones = named.join(kept, one, "left_semi").dropDuplicates(["doc_id", "roadveil key"]).drop("roadveil key")
-    return ones.unionByName(docs.filter(docs["doc_id"].isNull()))
+    ids = staged(spark, named.filter(docs["doc_id"].isNotNull()).groupBy(docs["doc_id"].cast("long").alias("doc_id"), F.col("roadveil key").alias("key")).agg(F.count("*").alias("times")), "ids")
+    grouped = staged(spark, ids.join(shingles.components(spark, docs), ids["key"] == F.col("node"), "left").select("doc_id", "key", "times", F.coalesce("root", "key").alias("root")), "grouped")
+    kept = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("one")).select("one.*")
+    # few rows go, so the list of those is what meets the texts; of rows equal in id and text all go and one comes back
+    gone = staged(spark, grouped.join(kept.withColumn("stays", F.lit(True)), ["doc_id", "key"], "left").filter("stays IS NULL OR times > 1").select(F.col("doc_id").alias("gone id"), F.col("key").alias("gone key"), F.coalesce("stays", F.lit(False)).alias("again")), "gone")
+    sent = (lambda rows: F.broadcast(rows)) if gone.count() <= shingles.MOST_SENT else (lambda rows: rows)
+    same = (named["doc_id"].cast("long") == F.col("gone id")) & (named["roadveil key"] == F.col("gone key"))
+    rest = named.join(sent(gone), same, "left_anti")
+    again = named.join(sent(gone.filter("again")), same, "left_semi").dropDuplicates(["doc_id", "roadveil key"])
+    return rest.unionByName(again).drop("roadveil key")
