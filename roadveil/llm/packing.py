@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from roadveil.llm.common import vocabulary
-from roadveil.llm.recent import Recent, gather, per_text, slices
+from roadveil.llm.recent import Recent, gather, per_text, release, slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -31,7 +31,7 @@ class ChunkEncoder:
     a chunk after an ASCII letter has ids of its own, too. Each different chunk of a run of texts is looked up once.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, remembered: int = 64 << 20):
+    def __init__(self, path: str, end_id: int = END_ID, remembered: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -205,5 +205,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
         rows.extend(packer.finish())
         if rows:
             yield batch(rows)
+        release()
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, SCHEMA)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadveil.llm.common import vocabulary
-from roadveil.llm.recent import Recent, gather, slices
+from roadveil.llm.recent import Recent, gather, release, slices
 
 SPACE = "▁"
 RESULT = "n_pieces long, ids_crc32 long, best double, scores array<double>, n_best_crc32 array<long>, restored boolean"
@@ -213,7 +213,7 @@ def combine(best: list[list[tuple[float, object]]], n: int) -> list[tuple[float,
 class Segmenter:
     """N-best of whole texts through a bounded memory of segments."""
 
-    def __init__(self, model: PieceModel, n: int, remembered: int = 96 << 20):
+    def __init__(self, model: PieceModel, n: int, remembered: int = 48 << 20):
         self.model, self.n = model, n
         self.memory = Recent(model.look_at, remembered, figures=2)
         self.paths = lru_cache(maxsize=20_000)(self._paths)
@@ -300,6 +300,7 @@ def encode(docs: DataFrame, n: int = 3, model_path: str | None = None) -> DataFr
             yield from digests(batches, segment)
         finally:
             gc.enable()
+            release()
 
     def digests(batches, segment):
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())

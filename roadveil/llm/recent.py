@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: bytes of text that are cut at once
-SLICE = 8 << 20
+SLICE = 4 << 20
 BLANK = b" \t\n\v\f\r"
 
 
@@ -20,7 +22,7 @@ class Recent:
     memory is the limit and one call's units at most, whatever the texts hold.
     """
 
-    def __init__(self, compute: Callable[[list[str]], tuple[list[bytes], np.ndarray]], limit: int = 64 << 20, figures: int = 0):
+    def __init__(self, compute: Callable[[list[str]], tuple[list[bytes], np.ndarray]], limit: int = 32 << 20, figures: int = 0):
         self.compute, self.limit = compute, limit
         self.keys = pa.array([], pa.string())
         self.values = np.empty(0, np.uint32)
@@ -93,3 +95,10 @@ def per_text(sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """Sums of the parts' sizes for every text."""
     ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(groups)])]
     return np.diff(ends)
+
+
+def release() -> None:
+    """Between tasks: gives back what Arrow and the C library hold but don't use, as idle workers stay alive."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from roadveil.llm.common import staged, unit_hash
-from roadveil.llm.recent import Recent, gather, slices
+from roadveil.llm.recent import Recent, gather, release, slices
 
 CATEGORIES = ("quality", "toxic")
 STRIPPED = b".,;:!?\"'()[]"
@@ -167,7 +167,7 @@ def predictor(chain: Chain | None, categories=CATEGORIES):
             return pa.array([[0.0] * len(categories)] * len(texts), pa.list_(pa.float64()))
         if not held:
             column = {int(h): i for i, h in enumerate(chain.features)}
-            held["memory"] = Recent(lambda words: ([np.array([column[h] for h in word_features(w.encode()) if h in column], "<u4").tobytes() for w in words], np.empty((len(words), 0))), 32 << 20)
+            held["memory"] = Recent(lambda words: ([np.array([column[h] for h in word_features(w.encode()) if h in column], "<u4").tobytes() for w in words], np.empty((len(words), 0))), 16 << 20)
         memory, out = held["memory"], []
         for run, groups in slices(texts):
             words = chunks_of(run)
@@ -176,11 +176,12 @@ def predictor(chain: Chain | None, categories=CATEGORIES):
             hits, ends = gather(memory.values, memory.starts, rows)
             parts = ends[np.asarray(words.offsets) - words.offsets[0].as_py()]
             owner = np.repeat(np.repeat(np.arange(len(groups)), groups), np.diff(parts))
-            for at in range(0, len(groups), 2048):
-                a, b = np.searchsorted(owner, [at, at + 2048])
-                present = np.zeros((len(groups[at : at + 2048]), len(chain.features)), np.float32)
+            for at in range(0, len(groups), 1024):
+                a, b = np.searchsorted(owner, [at, at + 1024])
+                present = np.zeros((len(groups[at : at + 1024]), len(chain.features)), np.float32)
                 present[owner[a:b] - at, hits[a:b]] = 1
                 out.append(chain.probabilities(present))
+        release()
         found = np.concatenate(out) if out else np.empty((0, len(categories)))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(categories)), pa.array(found.ravel()))
 

@@ -207,7 +207,7 @@ def test_packing_ids_of_odd_texts(monkeypatch):
     path = packing.vocabulary("word_bpe_49k.json")
     rng, tokenizer = random.Random(8), Tokenizer.from_file(path)
     texts = ["".join(rng.choice(["a", "Bc", "\u00e9", "\u0301", ".", ",", " ", "\n", "\u00a0", "\u2003", "3", "'s", "<|endoftext|>", "<|", "\u01c5", "&&"]) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + [None, "", "   ", "one. two, three."]
-    for most in (8 << 20, 40):  # the second cuts long texts at blanks
+    for most in (4 << 20, 40):  # the second cuts long texts at blanks
         monkeypatch.setattr(recent, "SLICE", most)
         monkeypatch.setattr(recent.slices, "__defaults__", (most,))
         encode = packing.ChunkEncoder(path, remembered=2000)
