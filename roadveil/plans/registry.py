@@ -146,7 +146,7 @@ def route_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = derived(spark, sf_dir, "costs").groupBy("u", "v").agg(F.min(F.col("length_cm") + 150 * F.col("exposure_dm")).alias("cost"))
     nodes = derived(spark, sf_dir, "nodes").select(F.col("node_id").alias("target"))
     asked = nodes.select(F.col("target").alias("req_id"), F.lit(0).cast("long").alias("source"), "target")
-    return routes.route_costs(asked, arcs)
+    return routes.route_costs(spark, asked, arcs, derived(spark, sf_dir, "nodes"))
 
 
 def _routes(spark: SparkSession, sf_dir: str, alpha: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _routes(spark: SparkSession, sf_dir: str, alpha: int) -> DataFrame:
     both = (F.col("length_cm") + 10 * alpha * F.col("exposure_dm")) * 1_000_000_000 + F.col("length_cm")
     arcs = derived(spark, sf_dir, "costs").groupBy("u", "v").agg(F.min(both).alias("cost"))
     asked = derived(spark, sf_dir, "nodes").select(F.col("node_id").alias("req_id"), F.lit(0).cast("long").alias("source"), F.col("node_id").alias("target"))
-    total, found = F.expr("cost_cm div 1000000000"), routes.route_costs(asked, arcs)
+    total, found = F.expr("cost_cm div 1000000000"), routes.route_costs(spark, asked, arcs, derived(spark, sf_dir, "nodes"))
     return found.select("req_id", total.alias("cost"), (F.col("cost_cm") % 1_000_000_000).alias("distance_cm"))
 
 
@@ -177,7 +177,7 @@ def _paths(spark: SparkSession, sf_dir: str, alpha: int = 15) -> tuple[DataFrame
     best = derived(spark, sf_dir, "costs").groupBy("u", "v").agg(F.min(F.struct(cost.alias("cost"), "k", "length_cm", "exposure_dm")).alias("b")).select("u", "v", "b.*")
     nodes = derived(spark, sf_dir, "nodes").select(F.col("node_id").alias("target"))
     asked = nodes.select(F.col("target").alias("req_id"), F.lit(0).cast("long").alias("source"), "target")
-    return routes.route_paths(asked, best), best
+    return routes.route_paths(spark, asked, best, derived(spark, sf_dir, "nodes")), best
 
 
 def route_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +218,35 @@ def route_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("req_id", word.alias("verdict"), (F.col("other_cm") - F.col("plain_cm")).alias("extra_cm"), "plain_dm", "other_dm")
 
 
+def _snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with both ends at their nearest nodes (null beyond the limit), the alpha asked for and the plain 0."""
+    asked, nodes = derived(spark, sf_dir, "requests"), derived(spark, sf_dir, "nodes")
+    end = lambda n: routes.snap(asked.select("req_id", F.col(f"x{n}").alias("x"), F.col(f"y{n}").alias("y")), nodes).select("req_id", F.col("node_id").alias(("source", "target")[n]))
+    both = asked.select("req_id", "profile", "alpha").join(end(0), "req_id").join(end(1), "req_id")
+    return both.withColumn("asked", F.col("alpha")).withColumn("alpha", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), "alpha"))))
+
+
+def zone_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge with its length and its exposure to the sensors' zones, in whole decimetres; 0 where none meets it."""
+    seen = edge_zone_exposure(spark, sf_dir).select("k", F.floor(F.col("exposure_um") / 100000 + 0.5).cast("long").alias("exposure_dm"), "n_cameras")
+    edges = derived(spark, sf_dir, "lengths").join(seen, "k", "left")
+    return edges.select("k", "u", "v", "length_cm", F.coalesce("exposure_dm", F.lit(0)).cast("long").alias("exposure_dm"), F.col("n_cameras"))
+
+
+def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests, each from its own place with its own alpha: a plain route, and one that avoids if alpha is above 0.
+
+    Cost first, then length: both in one whole number, so that no choice between equal paths shows.
+    """
+    unit, asked = 1_000_000_000, _snapped(spark, sf_dir)
+    arcs = graph.pareto(zone_costs(spark, sf_dir)).select("u", "v", (F.col("length_cm") * unit + F.col("length_cm")).alias("length"), (F.col("exposure_dm") * unit).alias("exposure"))
+    found = routes.Search(spark, asked, arcs, derived(spark, sf_dir, "nodes")).costs()
+    told = asked.join(found, ["req_id", "alpha"], "left").withColumns({"cost": F.expr("cost_cm div 1000000000"), "distance_cm": F.col("cost_cm") % unit})
+    exposed = F.when(F.col("alpha") > 0, F.expr("(cost - distance_cm) div (10 * alpha)"))
+    metres = F.when(F.col("profile") == "bike", F.lit(25)).otherwise(F.lit(8))
+    return told.select("req_id", "alpha", "profile", "source", "target", F.col("cost").alias("total_cm"), "distance_cm", exposed.alias("exposure_dm"), F.floor(F.col("distance_cm") * 6 / (metres * 100)).cast("long").alias("deciseconds"))
+
+
 def zone_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.zone_areas(derived(spark, sf_dir, "sensors"), derived(spark, sf_dir, "walls"))
 
@@ -299,7 +328,7 @@ def route_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("req_id", features.track(F.col("points"), F.concat(F.lit("route "), F.col("req_id").cast("string"))).alias("gpx"))
 
 
-QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, request_checks, route_verdicts, zone_area, edge_zone_exposure, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -408,6 +437,24 @@ ORACLES = {
     "latest_request": """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM {events}) a WHERE r = 1""",
 }
 
+ORACLES["zone_costs"] = f"""SELECT l.k, l.u, l.v, l.length_cm, CAST(coalesce(floor(e.exposure_um / 100000 + 0.5), 0) AS BIGINT) AS exposure_dm, e.n_cameras
+      FROM {{lengths}} l LEFT JOIN ({ORACLES["edge_zone_exposure"]}) e USING (k)"""
+NEAREST = """SELECT req_id, arg_min(node_id, (d2, node_id)) AS node_id FROM (
+        SELECT req_id, node_id, (n.x - q.xN) * (n.x - q.xN) + (n.y - q.yN) * (n.y - q.yN) AS d2 FROM {requests} q JOIN {nodes} n
+        ON n.x BETWEEN q.xN - 500 AND q.xN + 500 AND n.y BETWEEN q.yN - 500 AND q.yN + 500) m WHERE d2 <= 250000 GROUP BY req_id"""
+ORACLES["route_requests"] = f"""WITH RECURSIVE ends AS MATERIALIZED (SELECT r.req_id, r.profile, a.node_id AS source, b.node_id AS target, unnest(list_distinct([0, r.alpha])) AS alpha
+        FROM {{requests}} r LEFT JOIN ({NEAREST.replace("xN", "x0").replace("yN", "y0")}) a USING (req_id) LEFT JOIN ({NEAREST.replace("xN", "x1").replace("yN", "y1")}) b USING (req_id)),
+      costs AS MATERIALIZED ({ORACLES["zone_costs"]}),
+      arcs AS MATERIALIZED (SELECT alpha, u, v, min((length_cm + 10 * alpha * exposure_dm) * 1000000000 + length_cm) AS cost FROM costs, (SELECT DISTINCT alpha FROM ends) a GROUP BY alpha, u, v),
+      reached(source, alpha, node, cost) USING KEY (source, alpha, node) AS (
+        SELECT DISTINCT source, alpha, source, CAST(0 AS BIGINT) FROM ends WHERE source IS NOT NULL
+        UNION SELECT o.source, o.alpha, o.node, o.cost FROM (
+          SELECT r.source, r.alpha, a.v AS node, min(r.cost + a.cost) AS cost FROM reached r JOIN arcs a ON r.node = a.u AND r.alpha = a.alpha GROUP BY r.source, r.alpha, a.v) o
+          LEFT JOIN recurring.reached k ON o.node = k.node AND o.source = k.source AND o.alpha = k.alpha WHERE k.cost IS NULL OR o.cost < k.cost)
+      SELECT req_id, alpha, profile, source, target, cost // 1000000000 AS total_cm, cost % 1000000000 AS distance_cm,
+        CASE WHEN alpha > 0 THEN (cost // 1000000000 - cost % 1000000000) // (10 * alpha) END AS exposure_dm,
+        CAST(floor((cost % 1000000000) * 6 / (CASE WHEN profile = 'bike' THEN 2500 ELSE 800 END)) AS BIGINT) AS deciseconds
+      FROM ends LEFT JOIN (SELECT source, alpha, node AS target, cost FROM reached) r USING (source, alpha, target)"""
 ORACLES["route_pieces"] = ORACLES["route_pieces"].replace("INTERVALS", ORACLES["exposure_intervals"])
 
 

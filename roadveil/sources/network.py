@@ -50,6 +50,10 @@ SQL = {
     "points": """SELECT event_id AS req_id, CAST(399700 + (event_id * 7919) % 2600 + (event_id % 7) AS DOUBLE) AS x,
         CAST(5799700 + (event_id * 104729) % (height + 600) AS DOUBLE) AS y
       FROM {events} CROSS JOIN {extent}""",
+    "requests": """SELECT event_id AS req_id, a.x + 3 AS x0, a.y - 2 AS y0, b.x - 4 + 600 * CAST(event_id % 97 = 5 AS INTEGER) * CAST(event_id % 2 AS INTEGER) AS x1, b.y + 3 AS y1,
+        CASE WHEN event_type IN ('click', 'view') THEN 'bike' ELSE 'walk' END AS profile,
+        CAST(CASE user_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 5 WHEN 2 THEN 15 WHEN 3 THEN 60 ELSE 1000 END AS BIGINT) AS alpha
+      FROM {events} CROSS JOIN (SELECT count(*) AS n FROM {nodes}) c JOIN {nodes} a ON a.node_id = user_id % n JOIN {nodes} b ON b.node_id = (event_id * 31) % n""",
     "asks": """SELECT event_id AS req_id, CASE WHEN event_id % 17 <> 0 THEN CAST((event_id * 37) % 200 - 100 AS DOUBLE) END AS lat,
         CAST((event_id * 53) % 400 - 200 AS DOUBLE) AS lon, CASE event_id % 5 WHEN 0 THEN 'walk' WHEN 1 THEN 'bike' WHEN 2 THEN 'boat' END AS profile,
         CASE WHEN event_id % 7 = 1 THEN 0.0 WHEN event_id % 7 > 1 THEN CAST((event_id * 11) % 1100 - 20 AS DOUBLE) END AS alpha

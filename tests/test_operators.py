@@ -63,22 +63,40 @@ def test_pareto_keeps_optimal_costs(spark):
         assert min(map(cost, rows)) == min(cost(r) for r in rows if r[2] in kept)
 
 
-def test_routes_agree_with_relaxation(spark, tmp_path):
-    arcs = spark.createDataFrame([(0, 1, 5), (1, 2, 5), (0, 2, 20), (2, 3, 1), (4, 0, 1)], "u long, v long, cost long")
-    asked = spark.createDataFrame([(i, 0, i) for i in range(6)], "req_id long, source long, target long")
-    want = {0: 0, 1: 5, 2: 10, 3: 11, 4: None, 5: None}
-    assert dict(routes.route_costs(asked, arcs).collect()) == want
-    with pytest.raises(ValueError):
-        routes.route_costs(asked, arcs, most_arcs=2)
-    count = iter(range(1000))
-
-    def staged(df):
-        path = str(tmp_path / str(next(count)))
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    got = routes.relax(spark, arcs, spark.createDataFrame([(0, 0)], "source long, node long"), staged).collect()
-    assert {r["node"]: r["cost"] for r in got} == {k: v for k, v in want.items() if v is not None}
+def city(spark, n=150):
+    """Nodes along a street, two a tile of 20 metres."""
+    return spark.createDataFrame([(i, 10.0 * i, 0.0) for i in range(n)], "node_id long, x double, y double")
+
+
+@pytest.mark.parametrize("size", [20.0, 45.0, 8000.0])
+def test_routes_over_tiles_agree_with_one_search(spark, size):
+    import random
+
+    rng = random.Random(2)
+    rows = [(u, v, rng.randint(1, 9)) for u in range(60) for v in (u + 1, u - 1, rng.randrange(60), (u + 7) % 60) if 0 <= v < 58]
+    best = {}
+    for u, v, c in rows:
+        best[u, v] = min(c, best.get((u, v), 99))
+
+    def plain(source):
+        cost, before = {source: 0}, {}
+        for _ in range(60):
+            for (u, v), c in best.items():
+                if u in cost and cost[u] + c < cost.get(v, 10**9):
+                    cost[v] = cost[u] + c
+        for (u, v), c in best.items():
+            if v != source and u in cost and cost[u] + c == cost[v]:
+                before[v] = min(u, before.get(v, 10**9))
+        return cost, before
+
+    asked = [(100 * s + t, s, t) for s in (0, 31, 59) for t in range(0, 60, 4)]
+    found = {r.req_id: (r.cost_cm, r.path) for r in routes.route_paths(spark, spark.createDataFrame(asked, "req_id long, source long, target long"), spark.createDataFrame(rows, "u long, v long, cost long"), city(spark, 60), size).collect()}
+    for i, s, t in asked:
+        cost, before = plain(s)
+        path = [t] if t in cost else None
+        while path and path[0] in before:
+            path.insert(0, before[path[0]])
+        assert found[i] == (cost.get(t), path)
 
 
 def test_snap_limit_and_ties(spark):
@@ -112,11 +130,11 @@ def test_projection_meets_known_arcs(spark):
 def test_paths_take_smallest_nodes_and_keep_unreached(spark):
     arcs = spark.createDataFrame([(1, 2, 5), (1, 3, 5), (2, 4, 5), (3, 4, 5), (4, 5, 1), (6, 1, 1)], "u long, v long, cost long")
     asked = spark.createDataFrame([(10, 1, 5), (11, 1, 6), (12, 1, 1), (13, 9, 1), (14, 1, None)], "req_id long, source long, target long")
-    found = {r.req_id: (r.cost_cm, r.path) for r in routes.route_paths(asked, arcs).collect()}
+    found = {r.req_id: (r.cost_cm, r.path) for r in routes.route_paths(spark, asked, arcs, city(spark, 7), 20.0).collect()}
     assert found == {10: (11, [1, 2, 4, 5]), 11: (None, None), 12: (0, [1]), 13: (None, None), 14: (None, None)}
-    walked = paths.steps(routes.route_paths(asked, arcs))
+    walked = paths.steps(routes.route_paths(spark, asked, arcs, city(spark, 7)))
     assert sorted(map(tuple, walked.collect())) == [(10, 1, 1, 2), (10, 2, 2, 4), (10, 3, 4, 5)]
-    assert paths.steps(routes.route_paths(asked.limit(0), arcs)).count() == 0
+    assert paths.steps(routes.route_paths(spark, asked.limit(0), arcs, city(spark, 7))).count() == 0
 
 
 def test_point_feature_leaves_out_nulls_and_reads_back(spark):
