@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadveil.llm.common import raw_bytes, unit_hash
+from roadveil.llm.recent import release
 
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
@@ -99,14 +100,14 @@ class ByteNet:
         """Probabilities of windows, a bounded slice at a time."""
         head, third, last = tables
         f, out = self.filters, np.empty((len(x), len(self.langs)), np.float32)
-        for at in range(0, len(x), 512):
-            part = x[at : at + 512]
+        for at in range(0, len(x), 256):
+            part = x[at : at + 256]
             span = part.shape[1] - max(WIDTHS) + 1
             pairs = part[:, :-1].astype(np.int32) * 256 + part[:, 1:]
             act = head[pairs[:, :span]]
             act[:, :, f : 2 * f] += third[part[:, 2 : 2 + span]]
             act[:, :, 2 * f :] += last[pairs[:, 2 : 2 + span]]
-            out[at : at + 512] = softmax(np.maximum(act.max(1), 0) @ self.dense + self.shift)
+            out[at : at + 256] = softmax(np.maximum(act.max(1), 0) @ self.dense + self.shift)
         return out
 
 
@@ -195,6 +196,7 @@ def predictor(net: ByteNet | None):
                 waiting, rows = [], 0
         if waiting:
             flush()
+        release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))
 
     return predict

@@ -15,6 +15,7 @@ from pyspark.sql.types import LongType
 from roadveil.llm import shingles
 from roadveil.llm.common import raw_bytes, staged
 from roadveil.llm.components import connected_components, forest
+from roadveil.llm.recent import release
 
 RADIUS = 3
 HALF = 32
@@ -51,7 +52,9 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
 
 @F.arrow_udf(LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint(raw_bytes(t)) for t in texts], np.uint64).view(np.int64))
+    found = np.array([fingerprint(raw_bytes(t)) for t in texts], np.uint64).view(np.int64)
+    release()
+    return pa.array(found)
 
 
 class VantageTree:
