@@ -31,7 +31,7 @@ class ChunkEncoder:
     a chunk after an ASCII letter has ids of its own, too. Each different chunk of a run of texts is looked up once.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, remembered: int = 32 << 20):
+    def __init__(self, path: str, end_id: int = END_ID, remembered: int = 24 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from roadveil.llm.common import staged
+from roadveil.llm.recent import release
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -200,7 +201,9 @@ def sanitised(text: str, terms) -> str:
 
 @F.arrow_udf(StringType())
 def sanitise_texts(texts: pa.Array, terms: pa.Array) -> pa.Array:
-    return pa.array([None if not x.is_valid else sanitised(x.as_py(), t.as_py()) for x, t in zip(texts, terms, strict=True)], pa.string())
+    out = pa.array([None if not x.is_valid else sanitised(x.as_py(), t.as_py()) for x, t in zip(texts, terms, strict=True)], pa.string())
+    release()
+    return out
 
 
 def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
