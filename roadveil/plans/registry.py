@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadveil.functions import features, projection, tags, text, varint
-from roadveil.operators import answers, exposure, graph, paths, routes, zones
+from roadveil.operators import answers, exposure, graph, ingest, paths, routes, zones
 from roadveil.sources.network import derived, oracle
 from roadveil.streaming import requests as streams
 
@@ -328,7 +328,44 @@ def route_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("req_id", features.track(F.col("points"), F.concat(F.lit("route "), F.col("req_id").cast("string"))).alias("gpx"))
 
 
-QUERIES = (camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+BOX = (400100.0, 5800050.0, 401900.0, 5803000.0)
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.united(derived(spark, sf_dir, "feature_nodes"), derived(spark, sf_dir, "feature_ways"))
+
+
+def sensors_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.sensors(_elements(spark, sf_dir)).filter(ingest.in_box(F.col("x"), F.col("y"), BOX)).select("osm_id", "x", "y")
+
+
+def intake_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.intake(_elements(spark, sf_dir))
+
+
+def sensor_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.views(ingest.sensors(_elements(spark, sf_dir)))
+
+
+def view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sensor_views(spark, sf_dir).groupBy("view").agg(F.count("*").alias("n_views"), F.count_distinct("osm_id").alias("n_sensors"))
+
+
+def building_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.rings(derived(spark, sf_dir, "outlines"))
+
+
+def address_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.address_hits(derived(spark, sf_dir, "searches"), derived(spark, sf_dir, "places"), BOX)
+
+
+def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers come between nothing and 100 minutes after the request."""
+    wait = F.make_interval(mins=(F.col("event_id") * 37 % 101).cast("int"))
+    return streams.answered(derived(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("ts") + wait).alias("answered")))
+
+
+QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -457,6 +494,22 @@ ORACLES["route_requests"] = f"""WITH RECURSIVE ends AS MATERIALIZED (SELECT r.re
       FROM ends LEFT JOIN (SELECT source, alpha, node AS target, cost FROM reached) r USING (source, alpha, target)"""
 ORACLES["route_pieces"] = ORACLES["route_pieces"].replace("INTERVALS", ORACLES["exposure_intervals"])
 
+SENSOR = f"coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS})"
+BOXED = f"x BETWEEN {BOX[0]} AND {BOX[2]} AND y BETWEEN {BOX[1]} AND {BOX[3]}"
+ORACLES["sensors_in_box"] = f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE {SENSOR} AND {BOXED}"
+ORACLES["intake_counts"] = f"""SELECT count(*) FILTER (good AND x IS NOT NULL) AS n_kept, count(*) FILTER (NOT good) AS n_skipped, count(*) FILTER (good AND x IS NULL) AS n_unplaced
+      FROM (SELECT x, {SENSOR} AS good FROM {{features}}) f"""
+ORACLES["sensor_views"] = f"""WITH seen AS (SELECT type || '/' || id AS osm_id, CASE WHEN id % 7 < 2 THEN [] ELSE coalesce({BEARINGS}, []) END AS d FROM {{features}} WHERE {SENSOR} AND x IS NOT NULL)
+      SELECT osm_id, 'cone' AS view, CAST(floor(b * 10 + 0.5) AS BIGINT) AS bearing_dm FROM (SELECT osm_id, unnest(d) AS b FROM seen) c UNION ALL SELECT osm_id, 'disc', NULL FROM seen WHERE len(d) = 0"""
+ORACLES["view_counts"] = f"""SELECT "view", count(*) AS n_views, count(DISTINCT osm_id) AS n_sensors FROM ({ORACLES["sensor_views"]}) v GROUP BY ALL"""
+ORACLES["building_rings"] = """WITH good AS (SELECT *, max(n) OVER (PARTITION BY bid) AS n_points FROM {outlines} WHERE type = 'way')
+      SELECT bid, CAST(n AS BIGINT) AS n, x, y FROM good WHERE n_points >= 4
+      UNION ALL SELECT bid, CAST(5 AS BIGINT), x, y FROM good WHERE n_points = 4 AND n = 1"""
+ORACLES["address_search"] = f"""SELECT search_id, row_number() OVER (PARTITION BY search_id ORDER BY lower(name), place_id) AS rank, place_id FROM {{searches}} JOIN {{places}} ON starts_with(lower(name), lower(trim(q)))
+      WHERE length(trim(q)) >= 3 AND {BOXED} QUALIFY rank <= 5"""
+ORACLES["answered_requests"] = """SELECT event_id, user_id, NOT EXISTS (SELECT 1 FROM {events} o WHERE o.user_id = e.user_id AND (o.ts > e.ts OR (o.ts = e.ts AND o.event_id > e.event_id)) AND o.ts <= e.ts + to_minutes(e.event_id * 37 % 101)) AS shown
+      FROM {events} e"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}

@@ -40,6 +40,16 @@ SQL = {
         CASE p_partkey % 8 WHEN 0 THEN 'camera;ALPR' WHEN 1 THEN ' camera ' WHEN 2 THEN 'Camera' WHEN 3 THEN '' WHEN 4 THEN 'guard' WHEN 5 THEN 'webcam' WHEN 6 THEN 'guard; ALPR' END AS kind,
         CASE p_partkey % 9 WHEN 0 THEN 'N' WHEN 1 THEN 'nnw' WHEN 2 THEN '450' WHEN 3 THEN '-10' WHEN 4 THEN '0;90' WHEN 5 THEN 'N; 180' WHEN 6 THEN '45-90' WHEN 7 THEN '45-90;N' END AS direction
       FROM {part} CROSS JOIN {extent}""",
+    "mounted": """SELECT *, CASE id % 7 WHEN 0 THEN 'dome' WHEN 1 THEN 'panning' WHEN 2 THEN 'fixed' END AS mount FROM {features}""",
+    "feature_nodes": "SELECT id, x, y, surveillance, kind, direction, mount FROM {mounted} WHERE type = 'node'",
+    "feature_ways": "SELECT id, x AS cx, y AS cy, surveillance, kind, direction, mount FROM {mounted} WHERE type = 'way'",
+    "outlines": """SELECT bid, CASE WHEN bid % 7 = 3 THEN 'relation' ELSE 'way' END AS type, n,
+        CASE WHEN n IN (2, 3) THEN x0 + side ELSE x0 END AS x, CASE WHEN n IN (3, 4) THEN y0 + side ELSE y0 END AS y
+      FROM {buildings} CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3), (4), (5)) AS t(n)) p
+      WHERE n <= CASE bid % 5 WHEN 4 THEN 3 WHEN 0 THEN 5 ELSE 4 END""",
+    "places": "SELECT c_custkey AS place_id, n_name AS name, x, y FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {nodes} ON c_custkey = node_id",
+    "searches": """SELECT s_suppkey AS search_id, CASE s_suppkey % 4 WHEN 0 THEN concat('  ', substr(n_name, 1, 2), '  ') WHEN 1 THEN concat(' ', lower(n_name)) WHEN 2 THEN substr(n_name, 1, 3) WHEN 3 THEN concat(n_name, '?') END AS q
+      FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
     "buildings": """SELECT s_suppkey AS bid, CAST(400000 + (s_suppkey * 6151) % 2000 AS DOUBLE) AS x0,
         CAST(5800000 + (s_suppkey * 3571) % height AS DOUBLE) AS y0, CAST(10 + s_suppkey % 20 AS DOUBLE) AS side
       FROM {supplier} CROSS JOIN {extent}""",

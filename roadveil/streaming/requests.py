@@ -23,6 +23,13 @@ def latest(events: DataFrame) -> DataFrame:
     return best.select("user_id", "b.event_id", "b.event_type")
 
 
+def answered(requests: DataFrame) -> DataFrame:
+    """``requests(event_id, user_id, ts, answered)`` -> those with ``shown``: whether an answer came while its request was still the
+    user's newest. A later request, even in the same instant, makes it stale."""
+    later = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return requests.withColumn("shown", later.isNull() | (F.col("answered") < later)).select("event_id", "user_id", "shown")
+
+
 def latest_stream(spark: SparkSession, sf_dir: str, checkpoint: str, name: str = "latest_requests"):
     """The same over a file stream: a started query that keeps the newest request of each user."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
