@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadveil.llm import htmltext, langid, lattice, packing, pieces, pii, simhash, topk, toxicity, turntrie, urlfilter
+from roadveil.llm import codes, htmltext, langid, lattice, packing, pieces, pii, simhash, topk, toxicity, turntrie, urlfilter
 from roadveil.llm.common import table
 
 
@@ -53,17 +53,22 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(spark, table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turntrie.prefix_trie(spark, table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_sentencepiece, op4_html_extraction, op5_language_id, op6_toxicity, op7_pii, op8_packing, op9_exact_top_k, op10_embedding_near_dedup, op13_conversation_trie)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_sentencepiece, op4_html_extraction, op5_language_id, op6_toxicity, op7_pii, op8_packing, op9_exact_top_k, op10_embedding_near_dedup, op11_vector_codes, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filters": urlfilter.oracle_sql(),
+        "op11_vector_codes": codes.oracle_sql(),
         "op13_conversation_trie": turntrie.oracle_sql(),
         "op9_exact_top_k": """
           WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS z FROM embeddings
