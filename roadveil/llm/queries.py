@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadveil.llm import codes, htmltext, langid, lattice, packing, pieces, pii, simhash, topk, toxicity, turntrie, urlfilter
+from roadveil.llm import codes, htmltext, langid, lattice, lm, packing, pieces, pii, simhash, topk, toxicity, turntrie, urlfilter
 from roadveil.llm.common import table
 
 
@@ -57,12 +57,16 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turntrie.prefix_trie(spark, table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_sentencepiece, op4_html_extraction, op5_language_id, op6_toxicity, op7_pii, op8_packing, op9_exact_top_k, op10_embedding_near_dedup, op11_vector_codes, op13_conversation_trie)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_url_filters, op3_sentencepiece, op4_html_extraction, op5_language_id, op6_toxicity, op7_pii, op8_packing, op9_exact_top_k, op10_embedding_near_dedup, op11_vector_codes, op12_lm_scoring, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
