@@ -159,3 +159,16 @@ def test_request_status_and_verdicts(spark):
     cases = [(0, False, 5, 0, "seen"), (0, True, 0, 0, "clear"), (15, True, 5, 5, "least"), (15, False, 5, 0, "unseen"), (15, False, 5, 2, "detour")]
     told = spark.createDataFrame(cases, "alpha int, same boolean, a int, b int, want string")
     assert told.filter(answers.verdict(F.col("alpha"), F.col("same"), F.col("a"), F.col("b")) != F.col("want")).count() == 0
+
+
+def test_search_towards_a_target_leaves_the_rest_alone(spark):
+    """Of a town of 3,600 corners a search for a near target works off few, and one across the town those about its way."""
+    side = 60
+    nodes = spark.createDataFrame([(i, float(i % side) * 100, float(i // side) * 100) for i in range(side * side)], "node_id long, x double, y double")
+    arcs = spark.createDataFrame([(i, i + d, 10_000 + (i * 7919 + d) % 900, 0) for i in range(side * side) for d, ok in ((1, i % side < side - 1), (-1, i % side > 0), (side, i // side < side - 1), (-side, i // side > 0)) if ok], "u long, v long, length long, exposure long")
+    for source, target, most in ((1830, 1833, 40), (605, 645, 900)):
+        asked = spark.createDataFrame([(1, source, target, 0)], "req_id long, source long, target long, alpha long")
+        for size in (1e6, 2000.0):
+            found = routes.Search(spark, asked, arcs, nodes, size)
+            assert found.costs().first()["cost_cm"] >= abs(source - target) % side * 10_000
+            assert 0 < found.settled() <= most * (1 if size == 1e6 else 3)
