@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadveil.functions import features, projection, tags, text, varint
-from roadveil.operators import answers, exposure, graph, ingest, paths, routes, zones
+from roadveil.operators import answers, exposure, graph, ingest, linear, paths, routes, zones
 from roadveil.sources.network import derived, oracle
 from roadveil.streaming import requests as streams
 
@@ -256,6 +256,39 @@ def edge_zone_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.zone_exposure(derived(spark, sf_dir, "segments"), derived(spark, sf_dir, "sensors"), derived(spark, sf_dir, "walls"))
 
 
+def _zone_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What zones cover of the segments, touched points included, along whole edges."""
+    segments, sensors = derived(spark, sf_dir, "segments"), derived(spark, sf_dir, "sensors")
+    found = zones.wedge_intervals(segments, zones.fans(sensors, derived(spark, sf_dir, "walls")), sensors, touching=True)
+    return linear.on_lines(found, segments), segments
+
+
+def edge_zone_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge that some zone meets, if only in a point, with its sensors and the shares of it in view, in hundred-thousandths."""
+    parts, _ = _zone_parts(spark, sf_dir)
+    met = parts.groupBy("k").agg(F.count_distinct("cam_id").alias("n_cameras"), F.array_join(F.transform(F.array_sort(F.collect_set("cam_id")), lambda c: c.cast("string")), ",").alias("cameras"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "t0", "t1"))), lambda i: F.concat_ws("-", i["t0"].cast("string"), i["t1"].cast("string"))), ",")
+    shares = linear.merged(parts.select("k", "a", "b")).groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("t1") - F.col("t0")).alias("share_e5"), text.alias("intervals"))
+    zero = lambda c, z: F.coalesce(c, F.lit(z)).alias(c)
+    return met.join(shares.withColumnRenamed("n", "n_intervals"), "k", "left").select("k", "n_cameras", "cameras", zero("n_intervals", 0), zero("share_e5", 0), zero("intervals", ""))
+
+
+def edge_zone_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of those shares."""
+    parts, segments = _zone_parts(spark, sf_dir)
+    found = linear.slices(linear.merged(parts.select("k", "a", "b")), segments)
+    return found.select("k", "n", F.size("points").cast("long").alias("n_points"), linear.points_text(F.col("points")).alias("points"))
+
+
+def zone_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The network's totals over zones: edges that some zone meets count, touched ones too."""
+    seen = edge_zone_intervals(spark, sf_dir)
+    lengths = derived(spark, sf_dir, "lengths").join(seen, "k", "left")
+    cm = F.floor(F.col("length_cm") * F.col("share_e5") / 100000 + 0.5).cast("long")
+    totals = lengths.agg(F.count("*").alias("n_edges"), F.sum("length_cm").alias("length_cm"), F.coalesce(F.sum(cm), F.lit(0)).alias("seen_cm"), F.count("n_cameras").alias("n_seen"), F.count_if(F.col("n_intervals") == 0).alias("n_touched"))
+    return totals.withColumn("seen_bp", F.floor(F.col("seen_cm") * 10000 / F.col("length_cm")).cast("long"))
+
+
 def binary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = graph.deltas(derived(spark, sf_dir, "edges"))
     values = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", F.array("dx", "dy").alias("d")))), lambda s: s["d"]))
@@ -366,7 +399,7 @@ def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.answered(derived(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("ts") + wait).alias("answered")))
 
 
-QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -495,6 +528,25 @@ ORACLES["route_requests"] = f"""WITH RECURSIVE ends AS MATERIALIZED (SELECT r.re
       FROM ends LEFT JOIN (SELECT source, alpha, node AS target, cost FROM reached) r USING (source, alpha, target)"""
 ORACLES["route_pieces"] = ORACLES["route_pieces"].replace("INTERVALS", ORACLES["exposure_intervals"])
 
+ALONG = ORACLES["edge_zone_exposure"].split("      g AS (SELECT")[0] + """
+      s AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY k ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS past, sum(m) OVER (PARTITION BY k) AS total
+        FROM (SELECT k, seg, x0, y0, x1, y1, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS m FROM {segments}) l),
+      parts AS (SELECT p.k, cam_id, (past + t0 * s.m) / total AS a, (past + t1 * s.m) / total AS b FROM p JOIN s ON p.k = s.k AND p.seg = s.seg WHERE t0 <= t1),
+      islands AS (SELECT *, sum(begins) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM (
+        SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS begins FROM parts) q),
+      ivals AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY a) AS n, CAST(floor(a * 100000 + 0.5) AS BIGINT) AS t0, CAST(floor(b * 100000 + 0.5) AS BIGINT) AS t1
+        FROM (SELECT k, island, min(a) AS a, max(b) AS b FROM islands GROUP BY k, island) w WHERE b - a > 1e-6)"""
+ORACLES["edge_zone_intervals"] = ALONG + """ SELECT c.k, n_cameras, cameras, coalesce(n_intervals, 0) AS n_intervals, coalesce(share_e5, 0) AS share_e5, coalesce(intervals, '') AS intervals
+      FROM (SELECT k, count(*) AS n_cameras, string_agg(cam_id::VARCHAR, ',' ORDER BY cam_id) AS cameras FROM (SELECT DISTINCT k, cam_id FROM parts) d GROUP BY k) c
+      LEFT JOIN (SELECT k, count(*) AS n_intervals, CAST(sum(t1 - t0) AS BIGINT) AS share_e5, string_agg(t0 || '-' || t1, ',' ORDER BY n) AS intervals FROM ivals GROUP BY k) i ON c.k = i.k"""
+ORACLES["edge_zone_pieces"] = ALONG + """, cut AS (SELECT *, greatest(f, past) AS lo, least(t, past + m) AS hi FROM (SELECT i.k, i.n, t0 / 100000 * total AS f, t1 / 100000 * total AS t, x0, y0, x1, y1, m, past FROM ivals i JOIN s ON s.k = i.k) j),
+      pts AS (SELECT k, n, spot, CAST(floor((x0 + (x1 - x0) * ((spot - past) / m)) * 1000 + 0.5) AS BIGINT) AS x, CAST(floor((y0 + (y1 - y0) * ((spot - past) / m)) * 1000 + 0.5) AS BIGINT) AS y FROM (
+        SELECT *, unnest(CASE WHEN lo = f THEN [lo, hi] ELSE [hi] END) AS spot FROM cut WHERE lo < hi) e)
+      SELECT k, n, count(*) AS n_points, string_agg(x || ' ' || y, ',' ORDER BY spot) AS points FROM pts GROUP BY k, n"""
+ORACLES["zone_coverage"] = f"""SELECT *, CAST(floor(seen_cm * 10000 / length_cm) AS BIGINT) AS seen_bp FROM (
+      SELECT count(*) AS n_edges, CAST(sum(length_cm) AS BIGINT) AS length_cm, CAST(coalesce(sum(CAST(floor(length_cm * share_e5 / 100000 + 0.5) AS BIGINT)), 0) AS BIGINT) AS seen_cm, count(n_cameras) AS n_seen, count(*) FILTER (n_intervals = 0) AS n_touched
+      FROM {{lengths}} l LEFT JOIN ({ORACLES["edge_zone_intervals"]}) e USING (k)) t"""
+
 SENSOR = f"coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS})"
 BOXED = f"x BETWEEN {BOX[0]} AND {BOX[2]} AND y BETWEEN {BOX[1]} AND {BOX[3]}"
 ORACLES["sensors_in_box"] = f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE {SENSOR} AND {BOXED}"

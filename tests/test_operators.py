@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadveil.functions import features, projection, tags
-from roadveil.operators import answers, exposure, graph, paths, routes, zones
+from roadveil.operators import answers, exposure, graph, linear, paths, routes, zones
 from roadveil.streaming import requests as streams
 
 
@@ -172,3 +172,15 @@ def test_search_towards_a_target_leaves_the_rest_alone(spark):
             found = routes.Search(spark, asked, arcs, nodes, size)
             assert found.costs().first()["cost_cm"] >= abs(source - target) % side * 10_000
             assert 0 < found.settled() <= most * (1 if size == 1e6 else 3)
+
+
+def test_places_along_lines(spark):
+    """Shares of segments as shares of their line, joined across corners; slices with the corners inside; specks and points are none."""
+    rows = [(1, 1, 0.0, 0.0, 30.0, 0.0), (1, 2, 30.0, 0.0, 30.0, 40.0), (1, 3, 30.0, 40.0, 0.0, 40.0), (2, 1, 5.0, 5.0, 5.0, 5.0), (3, 1, 0.0, 0.0, 100.0, 0.0)]
+    segments = spark.createDataFrame(rows, "k long, seg int, x0 double, y0 double, x1 double, y1 double")
+    parts = spark.createDataFrame([(1, 1, 0.5, 1.0), (1, 2, 0.0, 0.25), (1, 3, 0.5, 0.5), (1, 3, 0.9, 1.0), (2, 1, 0.0, 1.0), (3, 1, 0.1, 0.2), (3, 1, 0.15, 0.4), (3, 1, 0.7, 0.7)], "k long, seg int, t0 double, t1 double")
+    found = linear.merged(linear.on_lines(parts, segments).select("k", "a", "b"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 15_000, 40_000), (1, 2, 97_000, 100_000), (3, 1, 10_000, 40_000)]
+    lines = {(r["k"], r["n"]): [tuple(p) for p in r["points"]] for r in linear.slices(found, segments).collect()}
+    assert lines == {(1, 1): [(15_000, 0), (30_000, 0), (30_000, 10_000)], (1, 2): [(3_000, 40_000), (0, 40_000)], (3, 1): [(10_000, 0), (40_000, 0)]}
+    assert linear.slices(found.limit(0), segments).count() == 0
