@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """``df``, written below ``spark.checkpoint.dir`` and read back. Unset, a temporary folder is taken for a local master alone."""
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors reach. Unset, a temporary folder is taken for a local master alone."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not folder:
@@ -17,6 +17,11 @@ def staged(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = context.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/roadveil/{tag}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def staged(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+    """``df``, written below the shared folder and read back."""
+    path = f"{shared_folder(spark)}/roadveil/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadveil.functions import features, projection, tags, text, varint
+from roadveil.functions import features, projection, simplify, tags, text, varint
 from roadveil.operators import answers, exposure, graph, ingest, linear, paths, routes, zones
+from roadveil.sources import graphfile
 from roadveil.sources.network import derived, oracle
 from roadveil.streaming import requests as streams
 
@@ -289,6 +290,29 @@ def zone_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.withColumn("seen_bp", F.floor(F.col("seen_cm") * 10000 / F.col("length_cm")).cast("long"))
 
 
+def graph_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The network as a binary graph file, no edge that a parallel one beats, read back: dense ends, amounts, shares in view and inner points."""
+    nodes = _degrees(derived(spark, sf_dir, "nodes"), graphfile.COORD_SCALE)
+    parts, _ = _zone_parts(spark, sf_dir)
+    unit = lambda c: F.least(F.lit(65535), F.floor(F.col(c) * 65535 / linear.UNIT + 0.5)).cast("long").alias(c)
+    seen = linear.merged(parts.select("k", "a", "b")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", unit("t0"), unit("t1")))).alias("i"))
+    seen = seen.select("k", F.transform("i", lambda i: F.struct(i["t0"].alias("t0"), i["t1"].alias("t1"))).alias("intervals"))
+    edges = derived(spark, sf_dir, "edges")
+    inner = _degrees(edges.join(graph.stored_geometry(edges).filter("stored"), "k").select(F.col("k").alias("node_id"), F.col("mx").alias("x"), F.col("my").alias("y")), graphfile.GEOM_SCALE)
+    inner = inner.select(F.col("node_id").alias("k"), F.array(F.struct("lat", "lon")).alias("points"))
+    kept = graph.pareto(zone_costs(spark, sf_dir)).join(seen, "k", "left").join(inner, "k", "left")
+    graphfile.write_graph(spark, nodes, kept, path := graphfile.scratch_file(spark, "graph"))
+    text = lambda c, a, b: F.coalesce(F.array_join(F.transform(c, lambda p: F.concat_ws(" ", p[a].cast("string"), p[b].cast("string"))), ","), F.lit("")).alias(c)
+    return graphfile.read_graph(spark, path).select("u", "v", "length_cm", "exposure_dm", text("intervals", "t0", "t1"), text("points", "lat", "lon"))
+
+
+def zone_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones' outlines without the corners that lie within half a metre of what is left."""
+    rings = zones.zone_rings(derived(spark, sf_dir, "sensors"), derived(spark, sf_dir, "walls"))
+    kept = rings.select("cam_id", F.size("ring").cast("long").alias("n_corners"), simplify.simplified("ring", 500.0).alias("ring"))
+    return kept.select("cam_id", "n_corners", F.size("ring").cast("long").alias("n_kept"), features.polygon(F.col("ring")).alias("geometry"))
+
+
 def binary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = graph.deltas(derived(spark, sf_dir, "edges"))
     values = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", F.array("dx", "dy").alias("d")))), lambda s: s["d"]))
@@ -399,7 +423,7 @@ def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.answered(derived(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("ts") + wait).alias("answered")))
 
 
-QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -543,6 +567,12 @@ ORACLES["edge_zone_pieces"] = ALONG + """, cut AS (SELECT *, greatest(f, past) A
       pts AS (SELECT k, n, spot, CAST(floor((x0 + (x1 - x0) * ((spot - past) / m)) * 1000 + 0.5) AS BIGINT) AS x, CAST(floor((y0 + (y1 - y0) * ((spot - past) / m)) * 1000 + 0.5) AS BIGINT) AS y FROM (
         SELECT *, unnest(CASE WHEN lo = f THEN [lo, hi] ELSE [hi] END) AS spot FROM cut WHERE lo < hi) e)
       SELECT k, n, count(*) AS n_points, string_agg(x || ' ' || y, ',' ORDER BY spot) AS points FROM pts GROUP BY k, n"""
+ORACLES["graph_file_edges"] = f"""WITH idx AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS i FROM {{nodes}}), costs AS MATERIALIZED ({ORACLES["zone_costs"]}),
+      kept AS (SELECT * FROM costs a WHERE NOT EXISTS (SELECT 1 FROM costs b WHERE b.u = a.u AND b.v = a.v AND b.exposure_dm <= a.exposure_dm AND (b.length_cm, b.exposure_dm, b.k) < (a.length_cm, a.exposure_dm, a.k))),
+      seen AS (SELECT k, string_agg(least(65535, CAST(floor(t0 * 65535 / 100000 + 0.5) AS BIGINT)) || ' ' || least(65535, CAST(floor(t1 * 65535 / 100000 + 0.5) AS BIGINT)), ',' ORDER BY n) AS intervals FROM ({ALONG} SELECT k, n, t0, t1 FROM ivals) i GROUP BY k),
+      mids AS (SELECT node_id AS k, CAST(floor(lat * 1000000 + 0.5) AS BIGINT) || ' ' || CAST(floor(lon * 1000000 + 0.5) AS BIGINT) AS points FROM ({DEGREES.replace("{nodes}", "(SELECT k AS node_id, mx AS x, my AS y FROM {edges})")}) d)
+      SELECT a.i AS u, b.i AS v, length_cm, exposure_dm, coalesce(intervals, '') AS intervals, CASE WHEN stored THEN points ELSE '' END AS points
+      FROM kept e JOIN idx a ON a.node_id = e.u JOIN idx b ON b.node_id = e.v LEFT JOIN seen i ON i.k = e.k JOIN mids m ON m.k = e.k JOIN ({ORACLES["stored_geometry"]}) g ON g.k = e.k"""
 ORACLES["zone_coverage"] = f"""SELECT *, CAST(floor(seen_cm * 10000 / length_cm) AS BIGINT) AS seen_bp FROM (
       SELECT count(*) AS n_edges, CAST(sum(length_cm) AS BIGINT) AS length_cm, CAST(coalesce(sum(CAST(floor(length_cm * share_e5 / 100000 + 0.5) AS BIGINT)), 0) AS BIGINT) AS seen_cm, count(n_cameras) AS n_seen, count(*) FILTER (n_intervals = 0) AS n_touched
       FROM {{lengths}} l LEFT JOIN ({ORACLES["edge_zone_intervals"]}) e USING (k)) t"""

@@ -1,11 +1,13 @@
 """Hand-computed answers and properties of the network operators."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadveil.functions import features, projection, tags
+from roadveil.functions import features, projection, simplify, tags
 from roadveil.operators import answers, exposure, graph, linear, paths, routes, zones
 from roadveil.streaming import requests as streams
 
@@ -35,7 +37,7 @@ def test_disc_exposure_is_of_the_union(spark):
     line = segments(spark, [(1, 0, 1, 1, 0.0, 0.0, 100.0, 0.0)])
     one = sensors(spark, [(1, 50.0, 0.0, None)])
     twice = sensors(spark, [(1, 50.0, 0.0, None), (2, 60.0, 0.0, None)])
-    assert exposure.edge_exposure(line, one).collect()[0]["exposure_mm"] == 50_000
+    assert exposure.edge_exposure(line, one).collect()[0]["exposure_mm"] == 5_000
     got = exposure.edge_exposure(line, twice).collect()[0]
     assert got["exposure_mm"] == 60_000 and got["n_cameras"] == 2
     touching = sensors(spark, [(1, 50.0, 25.0, None)])
@@ -184,3 +186,45 @@ def test_places_along_lines(spark):
     lines = {(r["k"], r["n"]): [tuple(p) for p in r["points"]] for r in linear.slices(found, segments).collect()}
     assert lines == {(1, 1): [(15_000, 0), (30_000, 0), (30_000, 10_000)], (1, 2): [(3_000, 40_000), (0, 40_000)], (3, 1): [(10_000, 0), (40_000, 0)]}
     assert linear.slices(found.limit(0), segments).count() == 0
+
+
+def split(points, tolerance):
+    """Corners that stay, by recursion over segments."""
+    def away(p, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = max(0, min(1, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0
+        return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
+
+    far = [away(p, points[0], points[-1]) for p in points[1:-1]]
+    if not far or max(far) <= tolerance:
+        return [points[0], points[-1]] if len(points) > 1 else points
+    k = far.index(max(far)) + 1
+    return split(points[: k + 1], tolerance)[:-1] + split(points[k:], tolerance)
+
+
+def test_simplified_lines_and_rings(spark):
+    rng = random.Random(6)
+    lines = {i: [(int(x), int(40 * math.sin(x / 60)) + rng.randint(-4, 4)) for x in range(0, rng.choice([1, 20, 700]), 7)] for i in range(12)}
+    around = [(int(1000 * math.cos(j / 50 * math.pi)), int(1000 * math.sin(j / 50 * math.pi))) for j in range(100)]
+    lines |= {20: [*around, around[0]], 21: [(0, 0), (500, 1), (1000, 0), (500, -1), (0, 0)], 22: [(5, 5)] * 6, 23: None, 24: []}
+    table = spark.createDataFrame([(i, None if p is None else [{"x": x, "y": y} for x, y in p]) for i, p in lines.items()], "k long, points array<struct<x:long,y:long>>")
+    found = {r["k"]: None if r["p"] is None else [tuple(p) for p in r["p"]] for r in table.select("k", simplify.simplified("points", 9.0).alias("p")).collect()}
+    assert all(found[i] == split(lines[i], 9.0) for i in range(12))
+    across = max(range(100), key=lambda j: (math.hypot(around[j][0] - 1000, around[j][1]), -j))
+    assert found[20] == split(lines[20][: across + 1], 9.0)[:-1] + split(lines[20][across:], 9.0) and 10 < len(found[20]) < 60
+    assert len(found[21]) == 4 and found[21][0] == found[21][-1]  # a ring keeps three corners
+    assert found[22] == [(5, 5)] * 2 and found[23] is None and found[24] == []
+    long = simplify.kept_corners(np.arange(5_000.0), np.where(np.arange(5_000) % 2, 9.0, -9.0) * np.linspace(1, 2, 5_000), 1.0)
+    assert len(long) == 5_000  # every corner a split, and no recursion
+
+
+def test_bend_of_any_line(spark):
+    rng = random.Random(9)
+    lines = [[(rng.random() * 100, rng.random() * 100) for _ in range(n)] for n in (2, 3, 8, 40)] + [[(1.0, 1.0), (4.0, 5.0), (1.0, 1.0)], [(1.0, 1.0)]]
+    table = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in p]) for i, p in enumerate(lines)], "k long, points array<struct<x:double,y:double>>")
+    for r in table.select("k", graph.bend(F.col("points")).alias("b"), graph.length_of(F.col("points")).alias("m")).collect():
+        p = lines[r["k"]]
+        a, b = np.array(p[0]), np.array(p[-1])
+        chord = [a + (b - a) * s for s in np.linspace(0, 1, 4001)]
+        assert abs(max(min(math.dist(q, c) for c in chord) for q in p) - r["b"]) < 0.05
+        assert abs(sum(math.dist(p[i], p[i + 1]) for i in range(len(p) - 1)) - r["m"]) < 1e-9
