@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,3 +52,35 @@ def pieces_in_view(paths: DataFrame, best: DataFrame, segments: DataFrame, senso
     starts = F.when(F.col("a") <= F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
     islands = parts.withColumn("starts", starts).withColumn("island", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy("req_id", "island").agg(F.min("a").alias("from_mm"), F.max("b").alias("to_mm")).drop("island")
+
+
+def oriented(line: Column, start: Column, end: Column) -> Column:
+    """A line's points in the direction of travel: turned if its last point is nearer to the start than its first; without a line, the chord."""
+    square = lambda p: (p["x"] - start["x"]) * (p["x"] - start["x"]) + (p["y"] - start["y"]) * (p["y"] - start["y"])
+    turned = F.when(square(line[0]) > square(F.element_at(line, -1)), F.reverse(line)).otherwise(line)
+    return F.when(F.size(line) > 1, turned).otherwise(F.array(start, end))
+
+
+def assembled(paths: DataFrame, best: DataFrame, lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One record a route: ``(req_id, length_cm, exposure_dm, points array<struct<x, y>>)``.
+
+    ``best(u, v, k, length_cm, exposure_dm)``: the edge taken between two nodes; ``lines(k, points)``, in either direction, for the edges that
+    have one; ``nodes(node_id, x, y)``. Edges' lines follow each other in order, each without the point that it shares with the one before. A
+    route between a node and itself is that node twice; no path, no record.
+    """
+    place = nodes.select("node_id", F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("p"))
+    walked = steps(paths).join(best.select("u", "v", "k", "length_cm", "exposure_dm"), ["u", "v"]).join(lines, "k", "left")
+    walked = walked.join(place.toDF("u", "start"), "u").join(place.toDF("v", "end"), "v")
+    each = walked.withColumn("points", oriented(F.col("points"), F.col("start"), F.col("end")))
+    part = F.when(F.col("step") == 1, F.col("points")).otherwise(F.slice("points", 2, F.size("points")))
+    whole = each.withColumn("part", F.struct("step", part.alias("points"))).groupBy("req_id").agg(F.sum("length_cm").alias("length_cm"), F.sum("exposure_dm").alias("exposure_dm"), F.array_sort(F.collect_list("part")).alias("parts"))
+    whole = whole.select("req_id", "length_cm", "exposure_dm", F.flatten(F.transform("parts", lambda p: p["points"])).alias("points"))
+    still = paths.filter("size(path) = 1").select("req_id", F.col("path")[0].alias("node_id")).join(place, "node_id")
+    zero = F.lit(0).cast("long")
+    return whole.unionByName(still.select("req_id", zero.alias("length_cm"), zero.alias("exposure_dm"), F.array("p", "p").alias("points")))
+
+
+def bounds(points: Column) -> dict[str, Column]:
+    """The least and the greatest of both coordinates."""
+    each = {"x": F.transform(points, lambda p: p["x"]), "y": F.transform(points, lambda p: p["y"])}
+    return {f"{c}_{n}": f(each[c]) for c in each for n, f in (("min", F.array_min), ("max", F.array_max))}

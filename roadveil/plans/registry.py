@@ -202,6 +202,21 @@ def parity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count("*").alias("n_cases"), F.count("cost_cm").alias("n_reached"), F.count_if(~F.col("cost_cm").eqNullSafe(F.col("walked"))).alias("n_failed"), F.sum("walked").alias("total_cm"))
 
 
+def route_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record a route from node 0: sums, bounds and the line in whole millimetres, told by its count of points and its digest.
+
+    As in a real network, lines run in either direction (here the even edges' backwards), and some edges have none (every fifth).
+    """
+    found, best = _paths(spark, sf_dir)
+    point = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    line = F.array(point("ax", "ay"), point("mx", "my"), point("bx", "by_"))
+    lines = derived(spark, sf_dir, "edges").filter("k % 5 <> 0").select("k", F.when(F.col("k") % 2 == 0, F.reverse(line)).otherwise(line).alias("points"))
+    made = paths.assembled(found, best, lines, derived(spark, sf_dir, "nodes"))
+    mm = lambda c: F.floor(c * 1000 + 0.5).cast("long")
+    text = linear.points_text(F.transform("points", lambda p: F.struct(mm(p["x"]).alias("x"), mm(p["y"]).alias("y"))))
+    return made.select("req_id", "length_cm", "exposure_dm", F.size("points").cast("long").alias("n_points"), *[mm(c).alias(n) for n, c in paths.bounds(F.col("points")).items()], F.md5(text).alias("line_md5"))
+
+
 def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.checked(derived(spark, sf_dir, "asks"))
 
@@ -423,7 +438,7 @@ def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.answered(derived(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("ts") + wait).alias("answered")))
 
 
-QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -532,6 +547,14 @@ ORACLES = {
     "latest_request": """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM {events}) a WHERE r = 1""",
 }
 
+ORACLES["route_records"] = STEPS + """, ways AS (SELECT req_id, step, 1 AS n, a.x AS x, a.y AS y FROM taken t JOIN {edges} e USING (k) JOIN {nodes} a ON a.node_id = e.u WHERE step = 1
+        UNION ALL SELECT req_id, step, 2, mx, my FROM taken JOIN {edges} e USING (k) WHERE k % 5 <> 0
+        UNION ALL SELECT req_id, step, 3, b.x, b.y FROM taken JOIN {edges} e USING (k) JOIN {nodes} b ON b.node_id = e.v
+        UNION ALL SELECT 0, 1, unnest([1, 3]), x, y FROM {nodes} WHERE node_id = 0),
+      mm AS (SELECT req_id, step, n, CAST(floor(x * 1000 + 0.5) AS BIGINT) AS x, CAST(floor(y * 1000 + 0.5) AS BIGINT) AS y FROM ways),
+      sums AS (SELECT req_id, CAST(sum(length_cm) AS BIGINT) AS length_cm, CAST(sum(exposure_dm) AS BIGINT) AS exposure_dm FROM taken JOIN {costs} c USING (k) GROUP BY req_id)
+      SELECT m.req_id, coalesce(any_value(length_cm), 0) AS length_cm, coalesce(any_value(exposure_dm), 0) AS exposure_dm, count(*) AS n_points, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max,
+        md5(string_agg(x || ' ' || y, ',' ORDER BY step, n)) AS line_md5 FROM mm m LEFT JOIN sums s ON s.req_id = m.req_id GROUP BY m.req_id"""
 ORACLES["zone_costs"] = f"""SELECT l.k, l.u, l.v, l.length_cm, CAST(coalesce(floor(e.exposure_um / 100000 + 0.5), 0) AS BIGINT) AS exposure_dm, e.n_cameras
       FROM {{lengths}} l LEFT JOIN ({ORACLES["edge_zone_exposure"]}) e USING (k)"""
 NEAREST = """SELECT req_id, arg_min(node_id, (d2, node_id)) AS node_id FROM (

@@ -228,3 +228,14 @@ def test_bend_of_any_line(spark):
         chord = [a + (b - a) * s for s in np.linspace(0, 1, 4001)]
         assert abs(max(min(math.dist(q, c) for c in chord) for q in p) - r["b"]) < 0.05
         assert abs(sum(math.dist(p[i], p[i + 1]) for i in range(len(p) - 1)) - r["m"]) < 1e-9
+
+
+def test_routes_are_put_together(spark):
+    """Lines turned into the direction of travel, chords where there is none, no joint twice, one node twice, no path no record."""
+    nodes = spark.createDataFrame([(i, float(10 * i), 0.0) for i in range(4)], "node_id long, x double, y double")
+    best = spark.createDataFrame([(0, 1, 7, 100, 1), (1, 2, 8, 200, 2), (2, 3, 9, 300, 3)], "u long, v long, k long, length_cm long, exposure_dm long")
+    line = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    lines = spark.createDataFrame([(7, line((10, 0), (5, 5), (0, 0))), (8, line((10, 0), (15, 5), (16, 6), (20, 0)))], "k long, points array<struct<x:double,y:double>>")
+    asked = spark.createDataFrame([(1, [0, 1, 2, 3]), (2, [2]), (3, None), (4, [2, 3])], "req_id long, path array<long>")
+    found = {r["req_id"]: (r["length_cm"], r["exposure_dm"], [tuple(p) for p in r["points"]]) for r in paths.assembled(asked, best, lines, nodes).collect()}
+    assert found == {1: (600, 6, [(0, 0), (5, 5), (10, 0), (15, 5), (16, 6), (20, 0), (30, 0)]), 2: (0, 0, [(20, 0), (20, 0)]), 4: (300, 3, [(20, 0), (30, 0)])}
