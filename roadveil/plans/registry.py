@@ -338,6 +338,10 @@ def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.density(derived(spark, sf_dir, "points"))
 
 
+def heat_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.heat(derived(spark, sf_dir, "points").withColumn("w", 1 + F.col("req_id") % 5), BOX)
+
+
 def request_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.sessions(derived(spark, sf_dir, "events"))
 
@@ -438,7 +442,7 @@ def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.answered(derived(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("ts") + wait).alias("answered")))
 
 
-QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, heat_pyramid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -600,6 +604,11 @@ ORACLES["zone_coverage"] = f"""SELECT *, CAST(floor(seen_cm * 10000 / length_cm)
       SELECT count(*) AS n_edges, CAST(sum(length_cm) AS BIGINT) AS length_cm, CAST(coalesce(sum(CAST(floor(length_cm * share_e5 / 100000 + 0.5) AS BIGINT)), 0) AS BIGINT) AS seen_cm, count(n_cameras) AS n_seen, count(*) FILTER (n_intervals = 0) AS n_touched
       FROM {{lengths}} l LEFT JOIN ({ORACLES["edge_zone_intervals"]}) e USING (k)) t"""
 
+ORACLES["heat_pyramid"] = f"""SELECT 6 - level AS zoom, gx, gy, least(64 * 4096, CAST(sum(w) AS BIGINT) * 4096 >> level) AS intensity,
+        CAST(floor(CAST(sum(mx * w) AS DOUBLE) / CAST(sum(w) AS DOUBLE)) AS BIGINT) AS x_mm, CAST(floor(CAST(sum(my * w) AS DOUBLE) / CAST(sum(w) AS DOUBLE)) AS BIGINT) AS y_mm FROM (
+        SELECT level, CAST(floor(x / (50 << level)) AS BIGINT) AS gx, CAST(floor(y / (50 << level)) AS BIGINT) AS gy, 1 + req_id % 5 AS w, CAST(floor(x * 1000 + 0.5) AS BIGINT) AS mx, CAST(floor(y * 1000 + 0.5) AS BIGINT) AS my
+        FROM (SELECT *, unnest(range(7)) AS level FROM {{points}}) p
+        WHERE x BETWEEN {BOX[0]} - (100 << level) AND {BOX[2]} + (100 << level) AND y BETWEEN {BOX[1]} - (100 << level) AND {BOX[3]} + (100 << level)) e GROUP BY level, gx, gy"""
 SENSOR = f"coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS})"
 BOXED = f"x BETWEEN {BOX[0]} AND {BOX[2]} AND y BETWEEN {BOX[1]} AND {BOX[3]}"
 ORACLES["sensors_in_box"] = f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE {SENSOR} AND {BOXED}"

@@ -239,3 +239,9 @@ def test_routes_are_put_together(spark):
     asked = spark.createDataFrame([(1, [0, 1, 2, 3]), (2, [2]), (3, None), (4, [2, 3])], "req_id long, path array<long>")
     found = {r["req_id"]: (r["length_cm"], r["exposure_dm"], [tuple(p) for p in r["points"]]) for r in paths.assembled(asked, best, lines, nodes).collect()}
     assert found == {1: (600, 6, [(0, 0), (5, 5), (10, 0), (15, 5), (16, 6), (20, 0), (30, 0)]), 2: (0, 0, [(20, 0), (20, 0)]), 4: (300, 3, [(20, 0), (30, 0)])}
+
+
+def test_heat_of_every_zoom(spark):
+    rows = [(10.0, 10.0, 3), (40.0, 20.0, 1), (-30.0, 5.0, 2), (290.0, 10.0, 5), (295.0, 10.0, 0), (5000.0, 0.0, 9)]
+    got = {(r["zoom"], r["gx"], r["gy"]): (r["intensity"], r["x_mm"], r["y_mm"]) for r in graph.heat(spark.createDataFrame(rows, "x double, y double, w int"), (0.0, 0.0, 100.0, 100.0), 50.0, 2, 1).collect()}
+    assert got == {(2, 0, 0): (4096, 17_500, 12_500), (2, -1, 0): (4096, -30_000, 5_000), (1, 0, 0): (4096, 17_500, 12_500), (1, -1, 0): (4096, -30_000, 5_000), (1, 2, 0): (4096, 290_000, 10_000), (0, 0, 0): (4096, 17_500, 12_500), (0, -1, 0): (2048, -30_000, 5_000), (0, 1, 0): (4096, 290_000, 10_000)}
