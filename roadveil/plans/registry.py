@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadveil.functions import features, projection, simplify, tags, text, varint
-from roadveil.operators import answers, exposure, graph, ingest, linear, paths, routes, zones
+from roadveil.operators import answers, exposure, graph, ingest, linear, parity, paths, routes, zones
 from roadveil.sources import graphfile
 from roadveil.sources.network import derived, oracle
 from roadveil.streaming import requests as streams
@@ -217,6 +217,12 @@ def route_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("req_id", "length_cm", "exposure_dm", F.size("points").cast("long").alias("n_points"), *[mm(c).alias(n) for n, c in paths.bounds(F.col("points")).items()], F.md5(text).alias("line_md5"))
 
 
+def parity_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches, in tiles of two sizes, over a sample of pairs and all alphas."""
+    arcs = derived(spark, sf_dir, "costs").select("u", "v", F.col("length_cm").alias("length"), F.col("exposure_dm").alias("exposure"))
+    return parity.checked(spark, derived(spark, sf_dir, "nodes"), arcs, derived(spark, sf_dir, "alphas"), 3000.0)
+
+
 def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.checked(derived(spark, sf_dir, "asks"))
 
@@ -442,7 +448,7 @@ def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.answered(derived(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("ts") + wait).alias("answered")))
 
 
-QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, heat_pyramid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_cases, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, heat_pyramid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -559,6 +565,16 @@ ORACLES["route_records"] = STEPS + """, ways AS (SELECT req_id, step, 1 AS n, a.
       sums AS (SELECT req_id, CAST(sum(length_cm) AS BIGINT) AS length_cm, CAST(sum(exposure_dm) AS BIGINT) AS exposure_dm FROM taken JOIN {costs} c USING (k) GROUP BY req_id)
       SELECT m.req_id, coalesce(any_value(length_cm), 0) AS length_cm, coalesce(any_value(exposure_dm), 0) AS exposure_dm, count(*) AS n_points, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max,
         md5(string_agg(x || ' ' || y, ',' ORDER BY step, n)) AS line_md5 FROM mm m LEFT JOIN sums s ON s.req_id = m.req_id GROUP BY m.req_id"""
+DRAWN = "SELECT node_id, row_number() OVER (ORDER BY h, node_id) AS n FROM (SELECT node_id, md5('{}/1/' || node_id) AS h FROM {{nodes}}) x QUALIFY n <= 25"
+ORACLES["parity_cases"] = f"""WITH RECURSIVE ends AS MATERIALIZED (SELECT n * 100 + row_number() OVER (PARTITION BY n ORDER BY alpha) - 1 AS req_id, a.node_id AS source, b.node_id AS target, alpha
+        FROM ({DRAWN.format("from")}) a JOIN ({DRAWN.format("to")}) b USING (n) CROSS JOIN (SELECT CAST(alpha AS BIGINT) AS alpha FROM {{alphas}}) c),
+      arcs AS MATERIALIZED (SELECT CAST(alpha AS BIGINT) AS alpha, u, v, min(length_cm + 10 * alpha * exposure_dm) AS cost FROM {{costs}} k CROSS JOIN {{alphas}} c GROUP BY alpha, u, v),
+      reached(source, alpha, node, cost) USING KEY (source, alpha, node) AS (
+        SELECT DISTINCT source, alpha, source, CAST(0 AS BIGINT) FROM ends
+        UNION SELECT o.source, o.alpha, o.node, o.cost FROM (
+          SELECT r.source, r.alpha, a.v AS node, CAST(min(r.cost + a.cost) AS BIGINT) AS cost FROM reached r JOIN arcs a ON r.node = a.u AND r.alpha = a.alpha GROUP BY r.source, r.alpha, a.v) o
+          LEFT JOIN recurring.reached k ON o.node = k.node AND o.source = k.source AND o.alpha = k.alpha WHERE k.cost IS NULL OR o.cost < k.cost)
+      SELECT req_id, source, target, alpha, cost AS cost_cm, cost AS other_cm, true AS same FROM ends LEFT JOIN (SELECT source, alpha, node AS target, cost FROM reached) r USING (source, alpha, target)"""
 ORACLES["zone_costs"] = f"""SELECT l.k, l.u, l.v, l.length_cm, CAST(coalesce(floor(e.exposure_um / 100000 + 0.5), 0) AS BIGINT) AS exposure_dm, e.n_cameras
       FROM {{lengths}} l LEFT JOIN ({ORACLES["edge_zone_exposure"]}) e USING (k)"""
 NEAREST = """SELECT req_id, arg_min(node_id, (d2, node_id)) AS node_id FROM (

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadveil.functions import features, projection, simplify, tags
-from roadveil.operators import answers, exposure, graph, linear, paths, routes, zones
+from roadveil.operators import answers, exposure, graph, linear, parity, paths, routes, zones
 from roadveil.streaming import requests as streams
 
 
@@ -245,3 +245,18 @@ def test_heat_of_every_zoom(spark):
     rows = [(10.0, 10.0, 3), (40.0, 20.0, 1), (-30.0, 5.0, 2), (290.0, 10.0, 5), (295.0, 10.0, 0), (5000.0, 0.0, 9)]
     got = {(r["zoom"], r["gx"], r["gy"]): (r["intensity"], r["x_mm"], r["y_mm"]) for r in graph.heat(spark.createDataFrame(rows, "x double, y double, w int"), (0.0, 0.0, 100.0, 100.0), 50.0, 2, 1).collect()}
     assert got == {(2, 0, 0): (4096, 17_500, 12_500), (2, -1, 0): (4096, -30_000, 5_000), (1, 0, 0): (4096, 17_500, 12_500), (1, -1, 0): (4096, -30_000, 5_000), (1, 2, 0): (4096, 290_000, 10_000), (0, 0, 0): (4096, 17_500, 12_500), (0, -1, 0): (2048, -30_000, 5_000), (0, 1, 0): (4096, 290_000, 10_000)}
+
+
+def test_parity_tells_a_planted_error(spark):
+    side = 12
+    nodes = spark.createDataFrame([(i, float(i % side) * 100, float(i // side) * 100) for i in range(side * side)], "node_id long, x double, y double")
+    rows = [(i, i + d, 10_000 + (i * 7919 + d) % 900, (i * 31 + d) % 70) for i in range(side * side) for d, ok in ((1, i % side < side - 1), (-1, i % side > 2), (side, i // side < side - 2), (-side, i // side > 0)) if ok]
+    arcs, alphas = spark.createDataFrame(rows, "u long, v long, length long, exposure long"), spark.createDataFrame([(0,), (15,)], "alpha int")
+    found = parity.checked(spark, nodes, arcs, alphas, 400.0, 10).cache()
+    assert tuple(parity.report(found).first())[::2] == (20, 0) and found.filter("cost_cm IS NULL").count() > 0
+    one = found.select("req_id", "alpha", "cost_cm")
+    wrong = one.withColumn("cost_cm", F.when((F.col("req_id") == one.filter("cost_cm > 5000").agg(F.min("req_id")).first()[0]), F.col("cost_cm") * 1.01).otherwise(F.col("cost_cm")).cast("long"))
+    cases = found.select("req_id", "source", "target", "alpha")
+    assert parity.report(parity.compared(cases, one, wrong)).first()["n_failed"] == 1
+    lost = one.withColumn("cost_cm", F.when(F.col("req_id") != 100, F.col("cost_cm")))
+    assert parity.report(parity.compared(cases, one, lost)).first()["n_failed"] == one.filter("req_id = 100 AND cost_cm IS NOT NULL").count()
