@@ -438,6 +438,13 @@ def building_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.rings(derived(spark, sf_dir, "outlines"))
 
 
+def edge_view_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges in view of the sensors as taken in, a cone for each of their bearings, shaded by the buildings' rings as taken in."""
+    seen = ingest.placed_views(ingest.sensors(_elements(spark, sf_dir)))
+    walls = ingest.walls(ingest.rings(derived(spark, sf_dir, "outlines")))
+    return zones.zone_exposure(derived(spark, sf_dir, "segments"), seen, walls, F.floor(F.col("cam_id") / ingest.VIEWS))
+
+
 def address_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.address_hits(derived(spark, sf_dir, "searches"), derived(spark, sf_dir, "places"), BOX)
 
@@ -448,7 +455,7 @@ def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.answered(derived(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("ts") + wait).alias("answered")))
 
 
-QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_cases, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, heat_pyramid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, edge_view_exposure, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_cases, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, heat_pyramid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -636,6 +643,10 @@ ORACLES["view_counts"] = f"""SELECT "view", count(*) AS n_views, count(DISTINCT
 ORACLES["building_rings"] = """WITH good AS (SELECT *, max(n) OVER (PARTITION BY bid) AS n_points FROM {outlines} WHERE type = 'way')
       SELECT bid, CAST(n AS BIGINT) AS n, x, y FROM good WHERE n_points >= 4
       UNION ALL SELECT bid, CAST(5 AS BIGINT), x, y FROM good WHERE n_points = 4 AND n = 1"""
+ORACLES["edge_view_exposure"] = ORACLES["edge_zone_exposure"].replace("count(DISTINCT cam_id)", "count(DISTINCT cam_id // 1000)").replace("{walls}", f"""(SELECT bid, n, px, py, qx, qy FROM (
+        SELECT bid, n, x AS px, y AS py, lead(x) OVER (PARTITION BY bid ORDER BY n) AS qx, lead(y) OVER (PARTITION BY bid ORDER BY n) AS qy FROM ({ORACLES["building_rings"]}) r) l WHERE qx IS NOT NULL)""").replace("{sensors}", f"""(
+        WITH seen AS (SELECT 1000 * (2 * id + CASE WHEN type = 'way' THEN 1 ELSE 0 END) AS first, x, y, CASE WHEN id % 7 < 2 THEN [] ELSE coalesce({BEARINGS}, []) END AS d FROM {{features}} WHERE {SENSOR} AND x IS NOT NULL)
+        SELECT first + n AS cam_id, x, y, b AS bearing FROM (SELECT *, unnest(d) AS b, unnest(range(len(d))) AS n FROM seen) c UNION ALL SELECT first, x, y, NULL FROM seen WHERE len(d) = 0)""")
 ORACLES["address_search"] = f"""SELECT search_id, row_number() OVER (PARTITION BY search_id ORDER BY lower(name), place_id) AS rank, place_id FROM {{searches}} JOIN {{places}} ON starts_with(lower(name), lower(trim(q)))
       WHERE length(trim(q)) >= 3 AND {BOXED} QUALIFY rank <= 5"""
 ORACLES["answered_requests"] = """SELECT event_id, user_id, NOT EXISTS (SELECT 1 FROM {events} o WHERE o.user_id = e.user_id AND (o.ts > e.ts OR (o.ts = e.ts AND o.event_id > e.event_id)) AND o.ts <= e.ts + to_minutes(e.event_id * 37 % 101)) AS shown
