@@ -11,6 +11,7 @@ from roadveil.functions import features, projection, simplify, tags, text, varin
 from roadveil.operators import answers, exposure, graph, ingest, linear, parity, paths, routes, zones
 from roadveil.sources import graphfile
 from roadveil.sources.network import derived, oracle
+from roadveil.streaming import live
 from roadveil.streaming import requests as streams
 
 PARTS_OF_DISCS = """
@@ -455,7 +456,20 @@ def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.answered(derived(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("ts") + wait).alias("answered")))
 
 
-QUERIES = (sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, edge_view_exposure, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_cases, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, heat_pyramid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+def debounced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.debounced(derived(spark, sf_dir, "events"))
+
+
+def position_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An hour stands for the half minute of a watch, as the supplied events are hours apart."""
+    return live.watched(live.positions(derived(spark, sf_dir, "events")), 3_600_000)
+
+
+def load_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.progress(derived(spark, sf_dir, "chunks"))
+
+
+QUERIES = (debounced_requests, position_watch, load_progress, sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, edge_view_exposure, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_cases, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, heat_pyramid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -651,6 +665,15 @@ ORACLES["address_search"] = f"""SELECT search_id, row_number() OVER (PARTITION B
       WHERE length(trim(q)) >= 3 AND {BOXED} QUALIFY rank <= 5"""
 ORACLES["answered_requests"] = """SELECT event_id, user_id, NOT EXISTS (SELECT 1 FROM {events} o WHERE o.user_id = e.user_id AND (o.ts > e.ts OR (o.ts = e.ts AND o.event_id > e.event_id)) AND o.ts <= e.ts + to_minutes(e.event_id * 37 % 101)) AS shown
       FROM {events} e"""
+ORACLES["debounced_requests"] = """SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n, epoch_us(max(ts)) + 1800000000 AS fired_us FROM (
+        SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
+          SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 1800000000 THEN 0 ELSE 1 END AS begins FROM {events}) b) r GROUP BY user_id, run"""
+ORACLES["position_watch"] = """WITH fixes AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS at_ms FROM {events})
+      SELECT user_id, at_ms, event_id, 'fix' AS what FROM fixes
+      UNION ALL SELECT user_id, at_ms + 3600000, event_id, 'lost' FROM (SELECT *, lead(at_ms) OVER (PARTITION BY user_id ORDER BY at_ms, event_id) AS following FROM fixes) f
+      WHERE following IS NULL OR following > at_ms + 3600000"""
+ORACLES["load_progress"] = """SELECT load_id, chunk, loaded, loaded * 100 // total AS percent FROM (
+      SELECT *, CAST(sum(size) OVER (PARTITION BY load_id ORDER BY chunk ROWS UNBOUNDED PRECEDING) AS BIGINT) AS loaded FROM {chunks}) c"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -68,6 +68,8 @@ SQL = {
         CAST((event_id * 53) % 400 - 200 AS DOUBLE) AS lon, CASE event_id % 5 WHEN 0 THEN 'walk' WHEN 1 THEN 'bike' WHEN 2 THEN 'boat' END AS profile,
         CASE WHEN event_id % 7 = 1 THEN 0.0 WHEN event_id % 7 > 1 THEN CAST((event_id * 11) % 1100 - 20 AS DOUBLE) END AS alpha
       FROM {events}""",
+    "chunks": """SELECT user_id AS load_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - CAST(1 AS BIGINT) AS chunk, 1000 + event_id % 7 * 100 AS size,
+        CAST(sum(1000 + event_id % 7 * 100) OVER (PARTITION BY user_id) AS BIGINT) AS total FROM {events}""",
     "costs": """SELECT l.k, l.u, l.v, l.length_cm, (l.length_cm * (l.k % 7)) % 400 AS exposure_dm FROM {lengths} l""",
     "alphas": "SELECT * FROM (VALUES (0), (5), (15), (60), (1000)) AS t(alpha)",
 }
