@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadveil.functions import features, projection, simplify, tags, text, varint
 from roadveil.operators import answers, exposure, graph, ingest, linear, parity, paths, routes, zones
-from roadveil.sources import graphfile
+from roadveil.sources import featurefile, graphfile
 from roadveil.sources.network import derived, oracle
 from roadveil.streaming import live
 from roadveil.streaming import requests as streams
@@ -446,6 +446,32 @@ def edge_view_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.zone_exposure(derived(spark, sf_dir, "segments"), seen, walls, F.floor(F.col("cam_id") / ingest.VIEWS))
 
 
+def camera_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sensors as taken in, as one collection of features, read back."""
+    told = {n: F.col(n) for n in ("osm_id", "surveillance", "kind", "direction", "mount")}
+    found = ingest.sensors(_elements(spark, sf_dir)).select("osm_id", features.point_feature(F.col("x"), F.col("y"), told).alias("feature"))
+    featurefile.write_features(spark, found, ["osm_id"], path := graphfile.scratch_file(spark, "cameras"))
+    back = featurefile.read_features(spark, path).select(features.read_point(F.col("feature")).alias("f"))
+    return back.select(*[F.col("f.geometry.coordinates")[i].alias(c) for i, c in enumerate("xy")], *[F.col("f.properties")[n].alias(n) for n in told])
+
+
+def _ring_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walls of the buildings' rings, which go through a collection of features."""
+    ring = ingest.rings(derived(spark, sf_dir, "outlines")).groupBy("bid").agg(F.array_sort(F.collect_list(F.struct("n", "x", "y"))).alias("ring"))
+    found = ring.select("bid", features.polygon_feature(F.col("ring"), {"bid": F.col("bid")}).alias("feature"))
+    featurefile.write_features(spark, found, ["bid"], path := graphfile.scratch_file(spark, "buildings"))
+    return ingest.walls(featurefile.ring_points(featurefile.read_features(spark, path), F.col("f.properties")["bid"].cast("long")))
+
+
+def collection_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ring_file(spark, sf_dir)
+
+
+def collection_ray_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far sensors see, with the rings of a collection of features as walls."""
+    return zones.ray_hits(derived(spark, sf_dir, "sensors"), _ring_file(spark, sf_dir))
+
+
 def address_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.address_hits(derived(spark, sf_dir, "searches"), derived(spark, sf_dir, "places"), BOX)
 
@@ -469,7 +495,7 @@ def load_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.progress(derived(spark, sf_dir, "chunks"))
 
 
-QUERIES = (debounced_requests, position_watch, load_progress, sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, edge_view_exposure, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_cases, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, heat_pyramid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+QUERIES = (camera_collection, collection_walls, collection_ray_hits, debounced_requests, position_watch, load_progress, sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, edge_view_exposure, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_cases, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, heat_pyramid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -665,6 +691,10 @@ ORACLES["address_search"] = f"""SELECT search_id, row_number() OVER (PARTITION B
       WHERE length(trim(q)) >= 3 AND {BOXED} QUALIFY rank <= 5"""
 ORACLES["answered_requests"] = """SELECT event_id, user_id, NOT EXISTS (SELECT 1 FROM {events} o WHERE o.user_id = e.user_id AND (o.ts > e.ts OR (o.ts = e.ts AND o.event_id > e.event_id)) AND o.ts <= e.ts + to_minutes(e.event_id * 37 % 101)) AS shown
       FROM {events} e"""
+ORACLES["camera_collection"] = f"SELECT x, y, type || '/' || id AS osm_id, surveillance, kind, direction, mount FROM {{mounted}} WHERE {SENSOR} AND x IS NOT NULL"
+ORACLES["collection_walls"] = f"""SELECT bid, n AS wall, px, py, qx, qy FROM (
+        SELECT bid, n, x AS px, y AS py, lead(x) OVER (PARTITION BY bid ORDER BY n) AS qx, lead(y) OVER (PARTITION BY bid ORDER BY n) AS qy FROM ({ORACLES["building_rings"]}) r) l WHERE qx IS NOT NULL"""
+ORACLES["collection_ray_hits"] = ORACLES["ray_hits"].replace("{walls}", f"({ORACLES['collection_walls']})")
 ORACLES["debounced_requests"] = """SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n, epoch_us(max(ts)) + 1800000000 AS fired_us FROM (
         SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
           SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 1800000000 THEN 0 ELSE 1 END AS begins FROM {events}) b) r GROUP BY user_id, run"""
