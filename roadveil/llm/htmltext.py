@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -43,10 +45,16 @@ COMMENT_END = re.compile(r"(?<=<!)--+>|--!?>")
 #: a column that is wider than this does not push the others apart, so that a text grows with its page alone
 WIDEST = 80
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
-ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*)?")
-NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
-VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+BETWEEN = re.compile(r"[\s/]*+")
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+)?")
+DECLARED = re.compile(r"(display|visibility)\s*+:\s*+([a-z-]++)\s*+(!\s*+important)?+", re.I)
+BRACE = re.compile(r"[{}]")
+WHOLE = re.compile(r"\s*([+-]?[0-9]{1,10})(?![0-9])")
 BUTTONS = frozenset("submit button reset".split())
+#: selectors that are kept: a tag, classes and an id of one element, without what lies around it
+SELECTOR = re.compile(r"(?:\*|[A-Za-z][A-Za-z0-9-]*)?(?:[.#][A-Za-z_-][A-Za-z0-9_-]*)*")
+PART = re.compile(r"[.#]?[A-Za-z_-][A-Za-z0-9_-]*")
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -82,7 +90,7 @@ def tokens(page: str):
                 at = lt + 1
             continue
         tag, at, attributes = name[0].lower(), name.end(), {}
-        while at < size and page[at] != ">":
+        while (at := BETWEEN.match(page, at).end()) < size and page[at] != ">":
             found = ATTRIBUTE.match(page, at)
             if not found:
                 at += 1
@@ -118,16 +126,27 @@ def tokens(page: str):
             return
 
 
-def tree(page: str) -> Element:
-    """Elements with the tags that authors may leave out put in."""
+def tree(page: str, sheets: list[str] | None = None) -> Element:
+    """Elements with the tags that authors may leave out put in; the texts of style elements for screens go to ``sheets``."""
     root = Element("html", {})
     body = Element("body", {})
     stack, head_done = [root], False
+    opened: Counter[str] = Counter()  # by tag, so that what isn't open isn't sought
+
+    def push(node):
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def drop(k):
+        opened.subtract(e.tag for e in stack[k:])
+        del stack[k:]
 
     def close(tags, stops):
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
-                del stack[k:]
+                drop(k)
                 if stack[-1].tag in tags:
                     close(tags, stops)
                 return
@@ -138,9 +157,9 @@ def tree(page: str) -> Element:
         nonlocal head_done
         if not head_done:
             head_done = True
-            del stack[1:]
+            drop(1)
             root.children.append(body)
-            stack.append(body)
+            push(body)
 
     for token in tokens(page):
         kind = token[0]
@@ -150,6 +169,8 @@ def tree(page: str) -> Element:
                     continue
                 into_body()
             top = stack[-1]
+            if kind == "raw" and top.tag == "style" and sheets is not None and top.attributes.get("media", "").strip().lower() in ("", "all", "screen"):
+                sheets.append(token[1])
             if kind == "text" and top.tag in ("table", "tr", *ROWS):
                 if not token[1].strip():
                     continue
@@ -166,7 +187,7 @@ def tree(page: str) -> Element:
             if not head_done:
                 if tag == "head":
                     if len(stack) == 1:
-                        stack.append(Element("head", attributes))
+                        push(Element("head", attributes))
                         root.children.append(stack[-1])
                     continue
                 if tag not in HEAD and not (len(stack) > 2):
@@ -177,40 +198,121 @@ def tree(page: str) -> Element:
                 close(*IMPLIED[tag])
             if tag in ("td", "th") and stack[-1].tag in ("table", *ROWS):
                 stack[-1].children.append(row := Element("tr", {}))
-                stack.append(row)
+                push(row)
             node = Element(tag, attributes)
             stack[-1].children.append(node)
             if len(stack) < DEEPEST and tag not in VOID and not (closed and tag not in BLOCK and tag not in RAW):
-                stack.append(node)
+                push(node)
         else:
             tag = token[1]
             if tag == "br":
                 stack[-1].children.append(Element("br", {}))
             elif tag == "head":
                 if not head_done:
-                    del stack[1:]
-            elif tag not in ("html", "body"):
+                    drop(1)
+            elif tag not in ("html", "body") and opened[tag]:
                 stops = ("td", "th", "table") if tag not in ("table", "tr", "td", "th", *ROWS) else ("table",) if tag != "table" else ()
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
-                        del stack[k:]
+                        drop(k)
                         break
                     if stack[k].tag in stops or stack[k].tag == "body":
                         break
     return root
 
 
-def hidden(node: Element) -> bool:
+def declarations(text: str) -> dict[str, tuple[bool, str]]:
+    """``display`` and ``visibility`` of a list of declarations: the last one counts, but for one that is important."""
+    told: dict[str, tuple[bool, str]] = {}
+    for part in text.split(";"):
+        if found := DECLARED.fullmatch(part.strip()):
+            name, value, important = found[1].lower(), found[2].lower(), bool(found[3])
+            if important or not told.get(name, (False, ""))[0]:
+                told[name] = (important, value)
+    return told
+
+
+class Rules:
+    """What style elements say of ``display`` and ``visibility``. Rules whose selectors look at other elements, at states or at attributes, and those
+    within at-rules, are left out."""
+
+    def __init__(self, sheets: list[str]):
+        self.told: dict[frozenset, dict[str, tuple]] = {}  # parts of a selector -> name -> (important, specificity, order, value)
+        order = 0
+        for sheet in sheets:
+            for selectors, body in self.blocks(CSS_COMMENT.sub(" ", sheet)):
+                said = declarations(body)
+                for selector in selectors.split(",") if said else ():
+                    order += 1
+                    selector = selector.strip()
+                    if not selector or not SELECTOR.fullmatch(selector):
+                        continue
+                    found = PART.findall(selector)
+                    parts = frozenset(p if p[0] in ".#" else p.lower() for p in found)
+                    weight = (sum(p[0] == "#" for p in found), sum(p[0] == "." for p in found), sum(p[0] not in ".#" for p in found))
+                    mine = self.told.setdefault(parts, {})
+                    for name, (important, value) in said.items():
+                        mine[name] = max(mine.get(name, (False,)), (important, weight, order, value))
+        common = Counter(p for parts in self.told for p in parts)
+        self.by_part: dict[str, list[frozenset]] = {}
+        for parts in self.told:  # sought by the part that the fewest rules have
+            self.by_part.setdefault(min(parts, key=lambda p: (common[p], p), default="*"), []).append(parts)
+
+    @staticmethod
+    def blocks(sheet: str):
+        """(selectors, body) of the outermost rules in one pass; at-rules are skipped with what they hold."""
+        at, size = 0, len(sheet)
+        while at < size:
+            brace = sheet.find("{", at)
+            if brace < 0:
+                return
+            head = sheet[at:brace].rpartition(";")[2].strip()
+            end, depth = brace, 0
+            for found in BRACE.finditer(sheet, brace) if head.startswith("@") else ():
+                depth += 1 if found[0] == "{" else -1
+                end = found.start()
+                if not depth:
+                    break
+            if not head.startswith("@"):
+                end = sheet.find("}", brace)
+                end = size if end < 0 else end
+                yield head, sheet[brace + 1 : end]
+            at = end + 1
+
+    def of(self, node: Element) -> dict[str, str]:
+        """``display`` and ``visibility`` of an element as rules and its own style have them."""
+        best: dict[str, tuple] = {}
+        if self.told:
+            own = {node.tag, *(f".{c}" for c in node.attributes.get("class", "").split())}
+            if name := node.attributes.get("id", "").strip():
+                own.add(f"#{name}")
+            for part in (*own, "*"):
+                for parts in self.by_part.get(part, ()):
+                    if parts <= own:
+                        for name, said in self.told[parts].items():
+                            best[name] = max(best.get(name, (False,)), said)
+        if "style" in node.attributes:
+            for name, (important, value) in declarations(html.unescape(node.attributes["style"])).items():
+                best[name] = max(best.get(name, (False,)), (important, (math.inf,), 0, value))
+        return {name: said[-1] for name, said in best.items()}
+
+
+def hidden(node: Element, said: dict[str, str]) -> bool:
     a = node.attributes
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
+    if node.tag in UNSEEN or (node.tag == "dialog" and "open" not in a):
         return True
-    return "style" in a and bool(NOT_SHOWN.search(a["style"]))
+    return said["display"] == "none" if "display" in said else "hidden" in a
 
 
-def visible(node: Element, before: bool) -> bool:
+def visible(said: dict[str, str], before: bool) -> bool:
     """Visibility goes to the children, which may set it anew."""
-    found = VISIBILITY.findall(node.attributes.get("style", ""))
-    return found[-1].lower() not in ("hidden", "collapse") if found else before
+    return said["visibility"] not in ("hidden", "collapse") if said.get("visibility", "inherit") != "inherit" else before
+
+
+def whole(text: str | None) -> int | None:
+    """A whole number at the beginning of an attribute, as browsers read it; beyond 32 bits, it is none."""
+    found = WHOLE.match(text or "")
+    return int(found[1]) if found and abs(int(found[1])) < 2**31 else None
 
 
 class Flow:
@@ -287,7 +389,8 @@ class Flow:
 
 
 def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Cells of (lines, columns, rows) as text columns two blanks apart; below a cell of several rows its columns stay empty."""
+    """Cells of (lines, columns, rows) as text columns two blanks apart; below a cell of several rows its columns stay empty. Rows without any text take
+    part in that, but give no line."""
     placed, taken = [], {}  # column -> rows still to be left empty
     for row in rows:
         at, cells, after = 0, [], {c: n - 1 for c, n in taken.items() if n > 1}
@@ -299,7 +402,8 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                 after.update(dict.fromkeys(range(at, at + span), deep - 1))
             at += span
         taken = after
-        placed.append(cells)
+        if any(lines for lines, _, _ in row):
+            placed.append(cells)
     widths: list[int] = []
     for cells in placed:
         for at, lines, span in cells:
@@ -335,7 +439,9 @@ def render(page: str) -> str:
     margins stand, list items marked and indented, table cells in aligned columns."""
     flows, kept, shown, lists = [Flow()], [False], [True], []
     tables: list[dict] = []
-    work: list = [("visit", tree(page))]
+    sheets: list[str] = []
+    work: list = [("visit", tree(page, sheets))]
+    rules = Rules(sheets)
     while work:
         what, node = work.pop()
         flow = flows[-1]
@@ -344,11 +450,12 @@ def render(page: str) -> str:
                 if shown[-1]:
                     flow.text(node, kept[-1])
                 continue
-            if hidden(node):
+            tag, said = node.tag, rules.of(node)
+            if hidden(node, said):
                 continue
-            tag = node.tag
+            seen = visible(said, shown[-1])
             if tag == "input":
-                if shown[-1] and node.attributes.get("type", "").lower() in BUTTONS and (caption := node.attributes.get("value", "").strip()):
+                if seen and node.attributes.get("type", "").strip().lower() in BUTTONS and (caption := node.attributes.get("value", "").strip()):
                     flow.text(f" {html.unescape(caption)} ", False)
                 continue
             if tag == "br":
@@ -359,7 +466,7 @@ def render(page: str) -> str:
                 flow.block(True)
                 continue
             if tag == "img":
-                if shown[-1] and (alt := node.attributes.get("alt", "").strip()):
+                if seen and (alt := node.attributes.get("alt", "").strip()):
                     flow.text(html.unescape(alt), False)
                 continue
             if tag in ("td", "th", "caption", "li", "blockquote", "dd", "table"):
@@ -367,8 +474,11 @@ def render(page: str) -> str:
             elif tag in BLOCK:
                 flow.block(tag in SPACED and not (tag in LISTS and lists))
             if tag in LISTS:
-                start = node.attributes.get("start", "1").strip()
-                lists.append([tag == "ol", int(start) if start.isdecimal() and len(start) < 10 else 1])
+                down = tag == "ol" and "reversed" in node.attributes
+                start = whole(node.attributes.get("start"))
+                if start is None:
+                    start = sum(isinstance(c, Element) and c.tag == "li" for c in node.children) if down else 1
+                lists.append([tag == "ol", start, -1 if down else 1])
             elif tag == "table":
                 tables.append({"rows": [], "lines": []})
             elif tag == "tr" and tables:
@@ -376,7 +486,7 @@ def render(page: str) -> str:
             if tag in ("td", "th", "caption", "li", "blockquote", "dd"):
                 flows.append(Flow())
             kept.append(kept[-1] or tag in ("pre", "textarea", "xmp", "listing", "plaintext"))
-            shown.append(visible(node, shown[-1]))
+            shown.append(seen)
             work.append(("leave", node))
             children = node.children
             if tag == "details" and "open" not in node.attributes:
@@ -399,16 +509,17 @@ def render(page: str) -> str:
             elif tag == "li":
                 mark = "- "
                 if lists and lists[-1][0]:
-                    mark = f"{lists[-1][1]}. "
-                    lists[-1][1] += 1
+                    number = whole(node.attributes.get("value"))
+                    number = lists[-1][1] if number is None else number
+                    mark = f"{number}. "
+                    lists[-1][1] = number + lists[-1][2]
                 if lines:
                     outer.add([mark + lines[0], *(" " * len(mark) + x if x else x for x in lines[1:])], False)
             else:
                 outer.add(["  " + x if x else x for x in lines], tag == "blockquote")
         elif tag == "table":
             made = tables.pop()
-            rows = [r for r in made["rows"] if any(c[0] for c in r)]
-            flow.add(made["lines"] + aligned(rows), True)
+            flow.add(made["lines"] + aligned(made["rows"]), True)
         elif tag in LISTS:
             lists.pop()
             flow.block(not lists)
@@ -427,7 +538,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null html gives null text and no lines; empty html, or a page with nothing visible, the
     empty text. Unfinished tags and comments at the end are no content; there is no
-    recursion, and one pass over the characters, whatever their number. Repeated rows and null ids are kept;
+    recursion, and one pass over the characters, whatever their number. Style elements hide what they say of tags, classes and ids (see ``Rules``). A cell
+    reaches over 100 columns or rows at most, so that a text does not outgrow its page. Repeated rows and null ids are kept;
     empty tables give no rows; further columns are ignored.
     """
     found = pages.select(pages["page_id"].alias("page_id"), rendered(pages["html"].cast("string")).alias("text"))
