@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadveil.functions import features, projection, simplify, tags, text, varint
-from roadveil.operators import answers, exposure, graph, ingest, linear, parity, paths, routes, zones
+from roadveil.operators import answers, exposure, extract, graph, ingest, linear, parity, paths, routes, zones
 from roadveil.sources import featurefile, graphfile
 from roadveil.sources.network import derived, oracle
 from roadveil.streaming import live
@@ -482,6 +482,33 @@ def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.answered(derived(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("ts") + wait).alias("answered")))
 
 
+def profile_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arcs of both profiles within 900 m of a point."""
+    nodes, ways = derived(spark, sf_dir, "nodes"), derived(spark, sf_dir, "ways")
+    arcs = lambda p: extract.within(nodes, extract.network(ways, p), *CENTRE)[1].select(F.lit(p).alias("profile"), "k", "u", "v", "back")
+    return arcs("walk").unionByName(arcs("bike"))
+
+
+def deep_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links from every node to a place near it, read again, and those of a map around it."""
+    found = _degrees(derived(spark, sf_dir, "nodes"), 1_000_000)
+    i = F.col("node_id")
+    profile = F.when(i % 3 == 0, "walk").when(i % 3 == 1, "bike")
+    lat, lon = F.col("lat") - 60_000_000 * (i % 2), F.col("lon") - 20_000_000 * (i % 5)
+    made = found.select("node_id", text.deep_link([lat, lon, lat + 5_000, lon - 7_000], profile, F.when(i % 5 < 4, i % 5)).alias("link"), text.view_link(i % 20, F.col("lat"), -F.col("lon")).alias("map"))
+    return made.withColumns({"r": text.read_deep_link(F.col("link")), "m": text.read_view(F.col("map"))}).select("node_id", "link", "map", "r.*", *[F.col(f"m.{c}").alias(f"map_{c}") for c in ("zoom", "lat", "lon")])
+
+
+def place_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("c_custkey")
+    named = derived(spark, sf_dir, "customer").join(derived(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    name, street = F.when(i % 3 == 0, F.col("c_name")).when(i % 3 == 1, ""), F.when(i % 4 > 0, F.concat(F.lit("Street "), (i % 50).cast("string")))
+    return named.select("c_custkey", text.place_label(name, street, F.when(i % 5 > 1, (i % 90).cast("string")), F.when(i % 7 > 0, F.col("n_name"))).alias("label"))
+
+
+CENTRE = (401000.0, 5800500.0, 900.0)
+
+
 def debounced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.debounced(derived(spark, sf_dir, "events"))
 
@@ -495,7 +522,7 @@ def load_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.progress(derived(spark, sf_dir, "chunks"))
 
 
-QUERIES = (camera_collection, collection_walls, collection_ray_hits, debounced_requests, position_watch, load_progress, sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, edge_view_exposure, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_cases, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, heat_pyramid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+QUERIES = (profile_network, deep_links, place_labels, camera_collection, collection_walls, collection_ray_hits, debounced_requests, position_watch, load_progress, sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, edge_view_exposure, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_cases, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, heat_pyramid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -691,6 +718,22 @@ ORACLES["address_search"] = f"""SELECT search_id, row_number() OVER (PARTITION B
       WHERE length(trim(q)) >= 3 AND {BOXED} QUALIFY rank <= 5"""
 ORACLES["answered_requests"] = """SELECT event_id, user_id, NOT EXISTS (SELECT 1 FROM {events} o WHERE o.user_id = e.user_id AND (o.ts > e.ts OR (o.ts = e.ts AND o.event_id > e.event_id)) AND o.ts <= e.ts + to_minutes(e.event_id * 37 % 101)) AS shown
       FROM {events} e"""
+UNFIT = lambda p: ", ".join(f"'{h}'" for h in extract.UNFIT[p])
+OPEN = lambda p: f"highway NOT IN ({UNFIT(p)}) AND area IS DISTINCT FROM 'yes' AND service IS DISTINCT FROM 'private' AND {extract.FORBIDS[p]} IS DISTINCT FROM 'no'"
+ORACLES["profile_network"] = f"""WITH near AS (SELECT node_id FROM {{nodes}} WHERE (x - {CENTRE[0]}) * (x - {CENTRE[0]}) + (y - {CENTRE[1]}) * (y - {CENTRE[1]}) <= {CENTRE[2] * CENTRE[2]}),
+      inner_ways AS (SELECT * FROM {{ways}} WHERE u IN (FROM near) AND v IN (FROM near))
+      SELECT 'walk' AS profile, k, u, v, CAST(0 AS BIGINT) AS back FROM inner_ways WHERE {OPEN("walk")} UNION ALL SELECT 'walk', k, v, u, 1 FROM inner_ways WHERE {OPEN("walk")}
+      UNION ALL SELECT 'bike', k, u, v, 0 FROM inner_ways WHERE {OPEN("bike")} UNION ALL SELECT 'bike', k, v, u, 1 FROM inner_ways WHERE {OPEN("bike")} AND oneway IS DISTINCT FROM 'yes'"""
+SIGNED = lambda c, d: f"CASE WHEN {c} < 0 THEN '-' ELSE '' END || (abs({c}) // {10**d})::VARCHAR || '.' || lpad((abs({c}) % {10**d})::VARCHAR, {d}, '0')"
+ORACLES["deep_links"] = f"""SELECT node_id, '#r=' || {SIGNED("lat0", 6)} || ',' || {SIGNED("lon0", 6)} || ',' || {SIGNED("lat1", 6)} || ',' || {SIGNED("lon1", 6)}
+          || CASE node_id % 3 WHEN 0 THEN '&p=walk' WHEN 1 THEN '&p=bike' ELSE '' END || CASE WHEN node_id % 5 < 4 THEN '&a=' || node_id % 5 ELSE '' END AS link,
+        '#map=' || node_id % 20 || '/' || {SIGNED("lat", 5)} || '/' || {SIGNED("(-lon)", 5)} AS map, lat0, lon0, lat1, lon1,
+        CASE WHEN node_id % 3 = 1 THEN 'bike' ELSE 'walk' END AS profile, CAST([0, 5, 15, 1000, 15][node_id % 5 + 1] AS BIGINT) AS alpha, node_id % 20 AS map_zoom, lat AS map_lat, -lon AS map_lon
+      FROM (SELECT *, lat0 + 5000 AS lat1, lon0 - 7000 AS lon1 FROM (
+        SELECT node_id, lat, lon, lat - 60000000 * (node_id % 2) AS lat0, lon - 20000000 * (node_id % 5) AS lon0 FROM (
+          SELECT node_id, CAST(floor(lat * 1000000 + 0.5) AS BIGINT) AS lat, CAST(floor(lon * 1000000 + 0.5) AS BIGINT) AS lon FROM ({DEGREES}) d) e) f) g"""
+ORACLES["place_labels"] = """SELECT c_custkey, concat_ws(', ', CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE joined END, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 4 > 0 THEN joined END, CASE WHEN c_custkey % 7 > 0 THEN n_name END) AS label
+      FROM (SELECT *, nullif(concat_ws(' ', CASE WHEN c_custkey % 4 > 0 THEN 'Street ' || c_custkey % 50 END, CASE WHEN c_custkey % 5 > 1 THEN (c_custkey % 90)::VARCHAR END), '') AS joined FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey) c"""
 ORACLES["camera_collection"] = f"SELECT x, y, type || '/' || id AS osm_id, surveillance, kind, direction, mount FROM {{mounted}} WHERE {SENSOR} AND x IS NOT NULL"
 ORACLES["collection_walls"] = f"""SELECT bid, n AS wall, px, py, qx, qy FROM (
         SELECT bid, n, x AS px, y AS py, lead(x) OVER (PARTITION BY bid ORDER BY n) AS qx, lead(y) OVER (PARTITION BY bid ORDER BY n) AS qy FROM ({ORACLES["building_rings"]}) r) l WHERE qx IS NOT NULL"""

@@ -68,6 +68,10 @@ SQL = {
         CAST((event_id * 53) % 400 - 200 AS DOUBLE) AS lon, CASE event_id % 5 WHEN 0 THEN 'walk' WHEN 1 THEN 'bike' WHEN 2 THEN 'boat' END AS profile,
         CASE WHEN event_id % 7 = 1 THEN 0.0 WHEN event_id % 7 > 1 THEN CAST((event_id * 11) % 1100 - 20 AS DOUBLE) END AS alpha
       FROM {events}""",
+    "ways": """SELECT k, u, v, CASE k % 11 WHEN 0 THEN 'footway' WHEN 1 THEN 'steps' WHEN 2 THEN 'motorway' WHEN 3 THEN 'construction' WHEN 4 THEN 'cycleway' WHEN 5 THEN NULL ELSE 'residential' END AS highway,
+        CASE WHEN k % 13 = 0 THEN 'yes' WHEN k % 13 = 1 THEN 'no' END AS area, CASE k % 17 WHEN 0 THEN 'private' WHEN 1 THEN 'alley' END AS service,
+        CASE k % 19 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' END AS foot, CASE k % 7 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' END AS bicycle, CASE k % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS oneway
+      FROM {edges}""",
     "chunks": """SELECT user_id AS load_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - CAST(1 AS BIGINT) AS chunk, 1000 + event_id % 7 * 100 AS size,
         CAST(sum(1000 + event_id % 7 * 100) OVER (PARTITION BY user_id) AS BIGINT) AS total FROM {events}""",
     "costs": """SELECT l.k, l.u, l.v, l.length_cm, (l.length_cm * (l.k % 7)) % 400 AS exposure_dm FROM {lengths} l""",
