@@ -23,6 +23,19 @@ def checked(requests: DataFrame) -> DataFrame:
     return requests.select("req_id", status.cast("long").alias("status"), F.when(status != 200, 0).when(alpha > 0, 2).otherwise(1).cast("long").alias("n_routes"))
 
 
+def outcomes(checks: DataFrame, snapped: DataFrame, reached: DataFrame) -> DataFrame:
+    """``checks(req_id, status, n_routes)``, ``snapped(req_id, node_id)``, ``reached(node_id)``, each once -> ``(req_id, status, why, n_routes)``.
+
+    A sound request is answered with 400 if no node is near (``far``) or none of its routes gets there (``apart``); a request without a
+    row in ``snapped`` is far. What the checks refuse stays as it is and is not looked up.
+    """
+    sound = checks.filter("status = 200").select("req_id").join(snapped.select("req_id", "node_id"), "req_id", "left")
+    met = sound.join(reached.select("node_id", F.lit(True).alias("there")), "node_id", "left").select("req_id", F.when(F.col("node_id").isNull(), "far").when(F.col("there").isNull(), "apart").alias("why"))
+    told = checks.join(met, "req_id", "left")
+    failed = F.col("why").isNotNull()
+    return told.select("req_id", F.when(failed, 400).otherwise(F.col("status")).cast("long").alias("status"), "why", F.when(failed, 0).otherwise(F.col("n_routes")).cast("long").alias("n_routes"))
+
+
 def verdict(alpha: Column, same: Column, plain_exposure: Column, other_exposure: Column) -> Column:
     """In a word how the two routes compare; the same nodes are the same route."""
     off = F.when(plain_exposure > 0, "seen").otherwise("clear")

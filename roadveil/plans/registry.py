@@ -228,6 +228,12 @@ def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.checked(derived(spark, sf_dir, "asks"))
 
 
+def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests from node 0 to their places are answered with."""
+    reached = _routes(spark, sf_dir, 0).filter("cost IS NOT NULL").select(F.col("req_id").alias("node_id"))
+    return answers.outcomes(request_checks(spark, sf_dir), snap_nearest(spark, sf_dir), reached)
+
+
 def _walked(spark: SparkSession, sf_dir: str, alpha: int) -> DataFrame:
     """The nodes, length and exposure of every route, by the edges it takes."""
     found, best = _paths(spark, sf_dir, alpha)
@@ -522,7 +528,7 @@ def load_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.progress(derived(spark, sf_dir, "chunks"))
 
 
-QUERIES = (profile_network, deep_links, place_labels, camera_collection, collection_walls, collection_ray_hits, debounced_requests, position_watch, load_progress, sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, edge_view_exposure, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_cases, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, heat_pyramid, edge_texts, address_labels, share_links, request_sessions, latest_request)
+QUERIES = (request_outcomes, profile_network, deep_links, place_labels, camera_collection, collection_walls, collection_ray_hits, debounced_requests, position_watch, load_progress, sensors_in_box, intake_counts, sensor_views, view_counts, building_rings, edge_view_exposure, address_search, answered_requests, camera_filter, direction_parse, ring_segments, edge_length_cm, buildings_near_cameras, edge_disc_exposure, edge_cameras, exposure_intervals, coverage_summary, ray_hits, pareto_edges, best_edge_by_alpha, csr_offsets, quantised_export, delta_geometry, snap_nearest, route_costs, route_stats, route_compare, route_steps, route_camera_count, route_pieces, route_records, parity_cases, parity_report, request_checks, route_verdicts, zone_costs, route_requests, zone_area, edge_zone_exposure, edge_zone_intervals, edge_zone_pieces, zone_coverage, projection_round_trip, stored_geometry, camera_features, zone_features, route_tracks, zone_outlines, graph_file_edges, binary_round_trip, density_grid, heat_pyramid, edge_texts, address_labels, share_links, request_sessions, latest_request)
 
 ORACLES = {
     "camera_filter": f"SELECT type || '/' || id AS osm_id, x, y FROM {{features}} WHERE coalesce(surveillance, '') <> 'indoor' AND (kind IS NULL OR {KINDS}) AND x IS NOT NULL AND y IS NOT NULL",
@@ -718,6 +724,9 @@ ORACLES["address_search"] = f"""SELECT search_id, row_number() OVER (PARTITION B
       WHERE length(trim(q)) >= 3 AND {BOXED} QUALIFY rank <= 5"""
 ORACLES["answered_requests"] = """SELECT event_id, user_id, NOT EXISTS (SELECT 1 FROM {events} o WHERE o.user_id = e.user_id AND (o.ts > e.ts OR (o.ts = e.ts AND o.event_id > e.event_id)) AND o.ts <= e.ts + to_minutes(e.event_id * 37 % 101)) AS shown
       FROM {events} e"""
+ORACLES["request_outcomes"] = CHEAPEST.replace("ALPHA", "0") + f""" SELECT req_id, CASE WHEN why IS NULL THEN status ELSE 400 END AS status, why, CASE WHEN why IS NULL THEN n_routes ELSE 0 END AS n_routes FROM (
+      SELECT c.req_id, c.status, c.n_routes, CASE WHEN c.status <> 200 THEN NULL WHEN s.node_id IS NULL THEN 'far' WHEN r.node IS NULL THEN 'apart' END AS why
+      FROM ({ORACLES["request_checks"]}) c LEFT JOIN ({ORACLES["snap_nearest"]}) s ON s.req_id = c.req_id LEFT JOIN reached r ON r.node = s.node_id) o"""
 UNFIT = lambda p: ", ".join(f"'{h}'" for h in extract.UNFIT[p])
 OPEN = lambda p: f"highway NOT IN ({UNFIT(p)}) AND area IS DISTINCT FROM 'yes' AND service IS DISTINCT FROM 'private' AND {extract.FORBIDS[p]} IS DISTINCT FROM 'no'"
 ORACLES["profile_network"] = f"""WITH near AS (SELECT node_id FROM {{nodes}} WHERE (x - {CENTRE[0]}) * (x - {CENTRE[0]}) + (y - {CENTRE[1]}) * (y - {CENTRE[1]}) <= {CENTRE[2] * CENTRE[2]}),

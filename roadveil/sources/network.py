@@ -25,8 +25,8 @@ SQL = {
     "edges": """SELECT s.k, s.u, s.v, a.x AS ax, a.y AS ay,
         (a.x + b.x) / 2 + 3 * ((s.k % 5) - 2) AS mx, (a.y + b.y) / 2 + 3 * ((s.k % 5) - 2) AS my, b.x AS bx, b.y AS by_
       FROM {steps} s JOIN {nodes} a ON s.u = a.node_id JOIN {nodes} b ON s.v = b.node_id""",
-    "segments": """SELECT k, u, v, 1 AS seg, ax AS x0, ay AS y0, mx AS x1, my AS y1 FROM {edges}
-      UNION ALL SELECT k, u, v, 2 AS seg, mx, my, bx, by_ FROM {edges}""",
+    "segments": """SELECT k, u, v, seg, CASE seg WHEN 1 THEN ax ELSE mx END AS x0, CASE seg WHEN 1 THEN ay ELSE my END AS y0, CASE seg WHEN 1 THEN mx ELSE bx END AS x1, CASE seg WHEN 1 THEN my ELSE by_ END AS y1
+      FROM {edges} CROSS JOIN (SELECT * FROM (VALUES (1), (2)) AS t(seg)) p""",
     "lengths": """SELECT k, u, v, CAST(floor(100 * (sqrt((mx - ax) * (mx - ax) + (my - ay) * (my - ay)) + sqrt((bx - mx) * (bx - mx) + (by_ - my) * (by_ - my))) + 0.5) AS BIGINT) AS length_cm
       FROM {edges}""",
     "sensors": """SELECT p_partkey AS cam_id, CAST(400000 + (p_partkey * 7919) % 2000 AS DOUBLE) AS x,
@@ -53,10 +53,9 @@ SQL = {
     "buildings": """SELECT s_suppkey AS bid, CAST(400000 + (s_suppkey * 6151) % 2000 AS DOUBLE) AS x0,
         CAST(5800000 + (s_suppkey * 3571) % height AS DOUBLE) AS y0, CAST(10 + s_suppkey % 20 AS DOUBLE) AS side
       FROM {supplier} CROSS JOIN {extent}""",
-    "walls": """SELECT bid, 1 AS wall, x0 AS px, y0 AS py, x0 + side AS qx, y0 AS qy FROM {buildings}
-      UNION ALL SELECT bid, 2, x0 + side, y0, x0 + side, y0 + side FROM {buildings}
-      UNION ALL SELECT bid, 3, x0 + side, y0 + side, x0, y0 + side FROM {buildings}
-      UNION ALL SELECT bid, 4, x0, y0 + side, x0, y0 FROM {buildings}""",
+    "walls": """SELECT bid, wall, CASE WHEN wall IN (2, 3) THEN x0 + side ELSE x0 END AS px, CASE WHEN wall IN (3, 4) THEN y0 + side ELSE y0 END AS py,
+        CASE WHEN wall IN (1, 2) THEN x0 + side ELSE x0 END AS qx, CASE WHEN wall IN (2, 3) THEN y0 + side ELSE y0 END AS qy
+      FROM {buildings} CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3), (4)) AS t(wall)) p""",
     "points": """SELECT event_id AS req_id, CAST(399700 + (event_id * 7919) % 2600 + (event_id % 7) AS DOUBLE) AS x,
         CAST(5799700 + (event_id * 104729) % (height + 600) AS DOUBLE) AS y
       FROM {events} CROSS JOIN {extent}""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadveil.functions import text
-from roadveil.operators import extract, ingest
+from roadveil.operators import answers, extract, ingest
 
 
 def test_links_in_any_order_and_what_they_do_not_say(spark):
@@ -39,3 +39,10 @@ def test_equal_names_fill_a_search_in_order(spark):
     asked = spark.createDataFrame([(1, "alpha"), (2, "ALPHA "), (3, "alphab"), (3, "alphab")], "search_id long, q string")
     got = [(r.search_id, r.rank, r.place_id) for r in ingest.address_hits(asked, places, (0.0, 0.0, 0.0, 0.0)).collect()]
     assert sorted(got) == sorted([(s, k + 1, p) for s in (1, 2) for k, p in enumerate((1, 2, 4, 5, 7))] + [(3, k + 1, 3 * k + 3) for k in range(5)] * 2)
+
+
+def test_sound_requests_fail_without_a_street_or_a_way(spark):
+    checks = spark.createDataFrame([(1, 200, 2), (2, 200, 1), (3, 200, 2), (4, 422, 0), (5, 503, 0), (6, 200, 1)], "req_id long, status long, n_routes long")
+    snapped = spark.createDataFrame([(1, 10), (2, None), (3, 11), (4, None), (5, 10)], "req_id long, node_id long")
+    found = answers.outcomes(checks, snapped, spark.createDataFrame([(10,), (12,)], "node_id long")).collect()
+    assert sorted(map(tuple, found), key=lambda r: r[0]) == [(1, 200, None, 2), (2, 400, "far", 0), (3, 400, "apart", 0), (4, 422, None, 0), (5, 503, None, 0), (6, 400, "far", 0)]
