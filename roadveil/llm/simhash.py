@@ -233,7 +233,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each component of texts at a 5-word Jaccard of 0.8 or more (see ``shingles``),
-    all columns unchanged: the smallest id, with its text. Rows without an id stay."""
+    all columns unchanged: the smallest id, with its text. Rows without an id stay. Null and empty texts are
+    one group, of which one row stays; an empty table stays empty."""
     named = docs.withColumn("roadveil key", shingles.keys(docs["text"].cast("string")))
     ids = staged(spark, named.filter(docs["doc_id"].isNotNull()).groupBy(docs["doc_id"].cast("long").alias("doc_id"), F.col("roadveil key").alias("key")).agg(F.count("*").alias("times")), "ids")
     grouped = staged(spark, ids.join(shingles.components(spark, docs), ids["key"] == F.col("node"), "left").select("doc_id", "key", "times", F.coalesce("root", "key").alias("root")), "grouped")
