@@ -38,3 +38,42 @@ def test_keep_one_of_long_texts_matches_brute_force(spark):
                 root = [low if r == high else r for r in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(spark, docs).collect()) == sorted(set(root))
+
+
+def test_places_never_rule_out_similar_sets(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(400):
+        pool = rng.permutation(60)
+        a, b = set(pool[: rng.integers(1, 50)].tolist()), set(pool[rng.integers(0, 6) : rng.integers(7, 56)].tolist())
+        x, y = sorted(a), sorted(b)
+        if a & b:
+            low = min(a & b)
+            rows.append((len(x), x.index(low), len(y), y.index(low), 5 * len(a & b) >= 4 * len(a | b)))
+    assert any(r[4] for r in rows)
+    df = spark.createDataFrame(rows, "n long, at long, m long, by long, similar boolean")
+    assert df.filter("similar").filter(~shingles.may_share(*(df[c] for c in ("n", "at", "m", "by")))).count() == 0
+    assert df.filter(shingles.may_share(*(df[c] for c in ("n", "at", "m", "by")))).count() < len(rows)
+
+
+def test_components_under_a_hot_passage_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(1 << 30)}"
+    passage, other = [word() for _ in range(90)], [word() for _ in range(60)]
+    texts = []
+    for k in range(240):
+        own = [word() for _ in range(int(rng.integers(2, 60)))]
+        cut = passage[: int(rng.integers(60, 91))]
+        texts += [" ".join(cut + own)] if k % 3 else [" ".join(cut + own), " ".join(cut + own + [word()] * (k % 5)), " ".join(other + cut[:40] + own[:4])]
+    texts += [" ".join(changed(rng, passage, 0.004)) for _ in range(40)]
+    held = {shingles.text_key(t.encode()): set(shingles.shingle_set(t.encode()).tolist()) for t in texts}
+    names = [int(np.array(k, np.uint64).view(np.int64)) for k in held]
+    root = dict(zip(names, names, strict=True))
+    for i, (a, x) in enumerate(zip(names, held.values(), strict=True)):
+        for b, y in list(zip(names, held.values(), strict=True))[:i]:
+            if 5 * len(x & y) >= 4 * len(x | y) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.node: r.root for r in shingles.components(spark, docs).collect()}
+    assert {k: got.get(k, k) for k in names} == root
