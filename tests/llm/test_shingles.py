@@ -77,3 +77,14 @@ def test_components_under_a_hot_passage_match_brute_force(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     got = {r.node: r.root for r in shingles.components(spark, docs).collect()}
     assert {k: got.get(k, k) for k in names} == root
+
+
+def test_tallies_add_up_over_tasks_and_never_fall_short(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{rng.integers(40)}" for _ in range(30)) for _ in range(60)] + [None, "", "a b"]
+    held = np.concatenate([shingles.shingle_set((t or "").encode()) for t in {t or "" for t in texts}])
+    got = shingles.tallies(spark, spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    cells, times = np.unique(held & (shingles.CELLS - 1), return_counts=True)
+    assert (got[cells] >= times).all() and got.sum() >= len(held) and (got > 0).sum() == len(cells)
+    level = shingles.ranks(got)
+    assert (level[got <= 1] == 0).all() and (level[got > 1] >= 1).all()
