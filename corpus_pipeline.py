@@ -40,13 +40,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays.
+    """One document of each group of near-duplicates stays: of those that SimHash fingerprints link at three bits or fewer, by operator 1's trees.
 
-    The one with the smallest id, and of rows equal in id and text one. Null and empty texts are alike: one of them stays. Texts of under five
-    words are compared as one shingle, very long ones whole. Rows without an id stay. Further columns go along; an empty table stays empty.
+    The one with the smallest id, and of rows equal in id and text one. Texts without a word, null and empty ones too, are alike: one of them stays.
+    Texts of under three words are one shingle, very long ones are read whole. Rows without an id stay. Further columns go along; an empty table
+    stays empty.
     """
     small_batches(spark)
-    return simhash.keep_one(spark, docs)
+    return simhash.keep_first(spark, docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,6 +208,13 @@ def near_pairs(spark: SparkSession, prints: DataFrame, shard_rows: int = SHARD,
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def grouped_prints(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """``prints(doc_id, fp)`` -> ``(fp, lowest, root)``: each different fingerprint, the smallest id that has it, and the smallest fingerprint that links reach."""
+    nodes = staged(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "nodes")
+    roots = connected_components(spark, near_pairs(spark, nodes))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
+
+
 def cluster(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, fp, component_id)``, one row a document.
 
@@ -218,9 +225,7 @@ def cluster(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Further columns are ignored; an empty table gives no rows.
     """
     prints = staged(spark, docs.select(docs["doc_id"].cast("long").alias("doc_id"), fingerprints(docs["text"].cast("string")).alias("fp")), "prints")
-    nodes = staged(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "nodes")
-    roots = connected_components(spark, near_pairs(spark, nodes))
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
+    grouped = grouped_prints(spark, prints)
     named = grouped.groupBy("root").agg(F.min("lowest").alias("component_id"))
     members = staged(spark, grouped.select("fp", "root").join(named, "root").select("fp", "component_id"), "members")
     return prints.join(members, "fp", "left").select("doc_id", "fp", "component_id")
@@ -238,6 +243,23 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     named = docs.withColumn("roadveil key", shingles.keys(docs["text"].cast("string")))
     ids = staged(spark, named.filter(docs["doc_id"].isNotNull()).groupBy(docs["doc_id"].cast("long").alias("doc_id"), F.col("roadveil key").alias("key")).agg(F.count("*").alias("times")), "ids")
     grouped = staged(spark, ids.join(shingles.components(spark, docs), ids["key"] == F.col("node"), "left").select("doc_id", "key", "times", F.coalesce("root", "key").alias("root")), "grouped")
+    return firsts(spark, named, grouped)
+
+
+def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """One document of each component of fingerprints at ``RADIUS`` or fewer bits (see ``cluster``), all columns unchanged: the smallest id, with
+    its text. Texts without words (null and empty ones too) have one fingerprint, so one row of them stays. Very long texts are
+    read whole. Of rows equal in id and text one stays; rows without an id link others and stay. An empty table stays empty."""
+    text = docs["text"].cast("string")
+    named = docs.withColumn("roadveil key", F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    prints = staged(spark, named.select(docs["doc_id"].cast("long").alias("doc_id"), F.col("roadveil key").alias("key"), fingerprints(text).alias("fp")), "prints")
+    members = staged(spark, grouped_prints(spark, prints).select("fp", "root"), "members")
+    ids = prints.filter("doc_id IS NOT NULL").groupBy("doc_id", "key", "fp").agg(F.count("*").alias("times"))
+    return firsts(spark, named, staged(spark, ids.join(members, "fp").select("doc_id", "key", "times", "root"), "grouped"))
+
+
+def firsts(spark: SparkSession, named: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of ``named``, documents with a ``roadveil key`` of their text, those that ``grouped(doc_id, key, times, root)`` has first in each group."""
     kept = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("one")).select("one.*")
     # few rows go, so the list of those is what meets the texts; of rows equal in id and text all go and one comes back
     gone = staged(spark, grouped.join(kept.withColumn("stays", F.lit(True)), ["doc_id", "key"], "left").filter("stays IS NULL OR times > 1").select(F.col("doc_id").alias("gone id"), F.col("key").alias("gone key"), F.coalesce("stays", F.lit(False)).alias("again")), "gone")
