@@ -80,7 +80,14 @@ def free_words(text: str, base):
             yield m
 
 
-FOUND = "doc_id long, key string, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, words array<string>"
+FOUND = "doc_id long, key string, n_email long, n_ip long, n_card long, n_phone long, base string, text string, entities array<string>, words array<string>"
+#: what every text with a base span has; some without one have it, too
+TRACE = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){12}|\+[0-9][ ().0-9-]+[0-9]"
+
+
+def may_hold(text: Column) -> Column:
+    """False only for texts without a base span."""
+    return F.coalesce(text.rlike(TRACE), F.lit(False))
 
 
 def text_key(text: Column) -> Column:
@@ -89,7 +96,7 @@ def text_key(text: Column) -> Column:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """Patterns over whole texts; where they find something, the entities and all other words of the text."""
+    """Patterns over whole texts; where they find something, the text, its entities and all its other words."""
 
     def run(batches):
         names = [c.split()[0] for c in FOUND.split(", ")]
@@ -100,51 +107,57 @@ def detect(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 entities = sorted({entity(k, text[s:e]) for k, s, e in spans})
                 words = sorted({m[0].lower() for m in free_words(text, spans)}) if spans else []
-                rows.append(([sum(s[0] == k for s in spans) for k in KINDS], said(spans), entities, words))
+                rows.append(([sum(s[0] == k for s in spans) for k in KINDS], said(spans), text if spans else None, entities, words))
             counts = [pa.array([r[0][i] for r in rows], pa.int64()) for i in range(len(KINDS))]
-            lists = [pa.array([r[i] for r in rows], pa.list_(pa.string())) for i in (2, 3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *counts, pa.array([r[1] for r in rows], pa.string()), *lists], names=names)
+            texts = [pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]
+            lists = [pa.array([r[i] for r in rows], pa.list_(pa.string())) for i in (3, 4)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *counts, *texts, *lists], names=names)
+        release()
 
     text = docs["text"].cast("string")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text")).mapInArrow(run, FOUND)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key(text).alias("key"), F.when(may_hold(text), text).alias("text")).mapInArrow(run, FOUND)
 
 
-def pairs_of(texts: DataFrame) -> DataFrame:
-    """``(key, n, entity, term)``: every entity of a text with every word outside of its spans."""
-    return texts.select("key", "n", "words", F.explode("entities").alias("entity")).select("key", "n", "entity", F.explode("words").alias("term"))
+def each_text(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """``(row, key, n, text, entities, words)``: each different text with an entity, numbered, ``n`` times in the table."""
+    first = [F.first(c).alias(c) for c in ("text", "entities", "words")]
+    held = found.filter(F.size("entities") > 0).groupBy("key").agg(F.count("*").alias("n"), *first)
+    return staged(spark, held.select(F.monotonically_increasing_id().alias("row"), "*"), "held")
 
 
 def revealing_terms(spark: SparkSession, docs: DataFrame, texts: DataFrame, alpha: float = 1.5) -> DataFrame:
-    """``(entity, term, grade)``: the terms that disclose an entity.
+    """``(row, terms)``: of each of ``texts`` (see ``each_text``) its own words that disclose one of its entities, behind their grades.
 
     Over all documents: information of an entity ``IC(c) = log2(N / n(c))``, and what a
     term in the same document tells of it, ``PMI(c, t) = log2(N n(c, t) / (n(c) n(t)))``. A term
     is removed if PMI >= IC / alpha, generalised if PMI >= IC / (2 alpha) and over one bit. Counts
     are of whole documents, plain: an entity mentioned once is disclosed by all rare words beside it.
-    ``texts(key, n, entities, words)`` has each different text once, ``n`` times in the table.
+
+    Entities that are in one text alone have that text's number of copies as n(c) and as n(c, t) of each of its words, so together they
+    ask once a word. Only entities of several texts are paired with words and counted.
     """
     total = docs.count()
-    joint = staged(spark, pairs_of(texts).groupBy("entity", "term").agg(F.sum("n").alias("both")), "joint")
-    per_entity = texts.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_c"))
+    named = texts.select("row", "n", F.explode("entities").alias("entity"))
+    known = staged(spark, named.join(named.groupBy("entity").agg(F.sum("n").alias("n_c"), F.count("*").alias("texts")), "entity"), "entities")
+    alone = texts.join(known.filter("texts = 1").select("row").distinct(), "row")
+    pairs = known.filter("texts > 1").select("row", "entity", "n_c").join(texts.select("row", "n", "words"), "row").select("row", "entity", "n_c", "n", F.explode("words").alias("term"))
+    joint = staged(spark, pairs.groupBy("entity", "term").agg(F.first("n_c").alias("n_c"), F.sum("n").alias("both")), "joint")
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = alone.select("row", none("string").alias("entity"), F.explode("words").alias("term"), F.col("n").alias("n_c"), F.col("n").alias("both"))
+    asked = asked.unionByName(joint.select(none("long").alias("row"), "entity", "term", "n_c", "both"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(docs["text"].cast("string")), r"[^\p{L}\p{N}]+"))).alias("term"))
     # counted before the join: a common word then costs it one row
-    per_term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(joint.select("term").distinct(), "term")
+    per_term = words.groupBy("term").agg(F.count("*").alias("n_t"))
     # a word that Spark splits in another way counts where it was seen
-    told = joint.join(per_entity, "entity").join(per_term, "term", "left").withColumn("n_t", F.greatest("both", "n_t"))
+    told = asked.join(per_term, "term", "left").withColumn("n_t", F.greatest("both", "n_t"))
     ic = F.log2(F.lit(float(max(1, total))) / F.col("n_c"))
     pmi = F.log2(F.lit(float(max(1, total))) * F.col("both") / (F.col("n_c") * F.col("n_t")))
     grade = F.when(pmi >= ic / alpha, "remove").when((pmi >= ic / (2 * alpha)) & (pmi >= 1), "generalise")
-    return told.select("entity", "term", grade.alias("grade")).filter(F.col("grade").isNotNull() & (pmi > 0))
-
-
-def terms_of_texts(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``(key, terms)``: for the hash of each text with an entity, its own words that reveal one."""
-    held = found.filter(F.size("entities") > 0).groupBy("key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("words").alias("words"))
-    texts = staged(spark, held, "held")
-    terms = staged(spark, revealing_terms(spark, docs, texts), "terms")
+    graded = staged(spark, told.select("row", "entity", "term", grade.alias("grade")).filter(F.col("grade").isNotNull() & (pmi > 0)), "terms")
     # met by entity and term, not by entity alone: a common entity has many texts and many terms
-    per_text = pairs_of(texts).join(terms, ["entity", "term"]).groupBy("key").agg(F.array_sort(F.collect_set(F.concat_ws(":", "grade", "term"))).alias("terms"))
-    return staged(spark, per_text, "texts")
+    shared = pairs.select("row", "entity", "term").join(graded.filter("entity IS NOT NULL").select("entity", "term", "grade"), ["entity", "term"])
+    each = graded.filter("row IS NOT NULL").select("row", "grade", "term").unionByName(shared.select("row", "grade", "term"))
+    return each.groupBy("row").agg(F.array_sort(F.collect_set(F.concat_ws(":", "grade", "term"))).alias("terms"))
 
 
 def term_spans(text: str, terms, base) -> list[tuple[str, int, int]]:
@@ -176,9 +189,8 @@ def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(docs["doc_id"], docs["text"])
     found = staged(spark, detect(docs), "found")
-    terms = terms_of_texts(spark, docs, found)
-    keyed = docs.select(text_key(docs["text"].cast("string")).alias("key"), docs["text"].cast("string").alias("text"))
-    more = staged(spark, keyed.join(terms, "key").select("key", spans_of_terms("text", "terms").alias("more")).groupBy("key").agg(F.min("more").alias("more")), "spans")
+    texts = each_text(spark, found)
+    more = texts.select("row", "key", "text").join(revealing_terms(spark, docs, texts), "row").select("key", spans_of_terms("text", "terms").alias("more"))
     sha = F.sha2(F.col("base").cast("binary"), 256)
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("more") != "", F.col("more")))
     return found.join(more, "key", "left").select("doc_id", *[f"n_{k}" for k in KINDS], sha.alias("base_sha256"), spans.alias("spans"))
@@ -210,11 +222,14 @@ def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The same rows and columns, personal data and revealing terms out of ``text``;
     ``n_chars``, where there is one, follows. Null texts stay null, empty ones empty; repeated rows and null ids stay as they are; texts
     are taken whole; an empty table stays empty."""
-    plain = docs.select(docs["doc_id"], docs["text"])
-    found = staged(spark, detect(plain), "found")
-    terms = terms_of_texts(spark, plain, found).withColumnsRenamed({"key": "roadveil key", "terms": "roadveil terms"})
-    joined = docs.join(terms, text_key(docs["text"].cast("string")) == terms["roadveil key"], "left")
-    joined = joined.withColumn("text", sanitise_texts(docs["text"].cast("string"), F.col("roadveil terms")))
+    plain, text = docs.select(docs["doc_id"], docs["text"]), docs["text"].cast("string")
+    texts = each_text(spark, staged(spark, detect(plain.filter(may_hold(plain["text"].cast("string")))), "found"))
+    terms = texts.select("row", "key").join(revealing_terms(spark, plain, texts), "row").select(F.col("key").alias("roadveil key"), F.col("terms").alias("roadveil terms"))
+    # only texts that may hold something move
+    joined = docs.filter(may_hold(text)).join(terms, text_key(text) == F.col("roadveil key"), "left")
+    joined = joined.withColumn("text", sanitise_texts(text, F.col("roadveil terms")))
+    rest = docs.filter(~may_hold(text)).withColumn("text", text)
+    joined = rest.unionByName(joined.select(*[F.col(f"`{c}`") for c in docs.columns]))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
