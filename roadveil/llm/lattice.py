@@ -48,13 +48,6 @@ def shortest() -> np.ndarray:
 TABLES = {1: (2, 8), 2: (4, 24), 3: (8, 48)}
 #: side of a lattice cell for vectors of 64 components; projected lengths shrink with the root of the number of components
 SCALE = 0.2
-#: about so many rows share a cell's name by chance, and more rows than ``CROWD`` call for another block
-CHANCE, CROWD = 1 / 170, 200_000
-
-
-def blocks_for(rows: int) -> int:
-    """Blocks in a cell's name, so that vectors that have nothing to do with each other rarely share it at any number of rows."""
-    return min(max(TABLES), 1 + max(0, math.ceil(math.log(max(1, rows) / CROWD) / -math.log(CHANCE))))
 
 
 @lru_cache(maxsize=64)
@@ -251,13 +244,14 @@ def linked(placed: DataFrame, threshold: float, blocks: int, probes: int, scale:
     return dealt.mapInArrow(verify, "a string, b string, links long")
 
 
-def near_duplicates(spark: SparkSession, rows: DataFrame, threshold: float = 0.95, blocks: int | None = None, scale: float = SCALE) -> DataFrame:
+def near_duplicates(spark: SparkSession, rows: DataFrame, threshold: float = 0.95, blocks: int = 1, scale: float = SCALE) -> DataFrame:
     """``rows(vec_id, embedding)`` -> ``(vec_id, n_links, component_id, kept)``, one row each.
 
     Equal vectors are one node; different ones are compared where one's home cell or a
     neighbouring cell holds the other, in several random projections decoded to E8, and a
-    link needs cosine ``threshold`` in double precision. The cells' size follows the number of components, and the number of E8
-    ``blocks`` in a cell's name that of the rows, with more tables and cells asked the more blocks there are (``TABLES``). Pairs at the
+    link needs cosine ``threshold`` in double precision. The cells' size follows the number of components. Whether two vectors meet depends on
+    the two alone, whatever else is in the table. More E8 ``blocks`` in a cell's name, with more tables and cells asked
+    (``TABLES``), let fewer unlike vectors meet and move more copies; they are the caller's choice. Pairs at the
     threshold may be missed, a few in a hundred; nothing below the threshold is linked.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing
     (n_links 0, their own component). Vectors of different lengths never link. Repeated rows
@@ -271,7 +265,6 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, threshold: float = 0.9
     shifted = F.coalesce((F.col("lowest").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), F.lit("9" * 20))
     nodes = whole.filter(F.col("hash").isNotNull()).groupBy("hash", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("lowest"))
     nodes = staged(spark, nodes.select("hash", "v", "n", F.concat(F.lpad(shifted, 20, "0"), "hash").alias("node")), "nodes")
-    blocks = blocks or blocks_for(nodes.count())
     tables, probes = TABLES[blocks]
     found = staged(spark, linked(place(nodes, blocks, tables, probes, scale), threshold, blocks, probes, scale), "found")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
