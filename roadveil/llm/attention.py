@@ -73,6 +73,7 @@ class Attention:
             rng = np.random.default_rng(seed)
             params = np.concatenate([(np.zeros(s) if n in ("out", "near") else rng.normal(0, s[0] ** -0.5 if n in ("query", "key", "value", "mix") else 0.3, s)).ravel() for n, s in SHAPES.items()])
         self.params = params.astype(np.float32)
+        self.moments = np.zeros_like(self.params), np.zeros_like(self.params), 0
         at = 0
         for name, shape in SHAPES.items():
             size = int(np.prod(shape))
@@ -165,17 +166,20 @@ class Attention:
         out -= out.max(2, keepdims=True)
         np.exp(out, out=out)
         out /= out.sum(2, keepdims=True)
-        rows, cols = np.indices(targets.shape)
+        rows, cols = np.arange(len(targets))[:, None], np.arange(STRIDE)
         n = max(1, int(there.sum()))
         loss = -float(np.log(np.maximum(out[rows, cols, targets], 1e-30))[there].sum()) / n
         out[rows, cols, targets] -= 1
         out *= (there / np.float32(n))[:, :, None]
         flat = lambda x: x.reshape(-1, x.shape[-1])
-        before = seen[:, CONTEXT:]
+        # sums by class are products with which token is of which class
+        of = np.zeros((*seen.shape, CLASSES + 2), np.float32)
+        of[rows, np.arange(SPAN), seen] = 1
+        before = of[:, CONTEXT:]
         g["out"][:] = flat(hidden).T @ flat(out)
         back = (out @ self.out.T) * (hidden > 0)
         g["mix"][:] = flat(heads).T @ flat(back)
-        np.add.at(g["skip"], before, back)
+        g["skip"][:] = flat(before).T @ flat(back)
         d_heads = (back @ self.mix.T).reshape(len(seen), STRIDE, HEADS, VALUE).transpose(0, 2, 1, 3)
         d_v = weights.transpose(0, 1, 3, 2) @ d_heads
         d_w = d_heads @ v.transpose(0, 1, 3, 2)
@@ -184,20 +188,20 @@ class Attention:
         for h in range(HEADS):
             g["near"][h] = np.bincount(self.distance.ravel(), weights=(total[h] * self.causal).ravel(), minlength=SPAN)
         scale = np.float32(WIDE**0.5)
-        for name, looked, part, d in (("query", before, (d_s @ k) / scale, WIDE), ("key", seen, d_s.transpose(0, 1, 3, 2) @ q, WIDE), ("value", seen, d_v, VALUE)):
-            d_table = np.zeros((CLASSES + 2, HEADS * d), np.float32)
-            np.add.at(d_table, looked, part.transpose(0, 2, 1, 3).reshape(*looked.shape, HEADS * d))
+        for name, looked, part, d in (("query", before, (d_s @ k) / scale, WIDE), ("key", of, d_s.transpose(0, 1, 3, 2) @ q, WIDE), ("value", of, d_v, VALUE)):
+            d_table = flat(looked).T @ part.transpose(0, 2, 1, 3).reshape(-1, HEADS * d)
             g[name][:] = self.embed.T @ d_table
             g["embed"] += d_table @ getattr(self, name).T
         return grads, loss
 
-    def train(self, classes: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, rate: float = 0.01, epochs: int = 1, seed: int = 3) -> Attention:
-        """Adam over the windows of some pieces of texts, in an order that the seed gives; a piece's first token is seen, not learnt."""
+    def train(self, classes: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, fresh: np.ndarray, rate: float = 0.01, epochs: int = 1, seed: int = 3) -> Attention:
+        """Adam over the windows of some pieces of texts, in an order that the seed gives, its moments as earlier pieces left them. Every token is
+        learnt, but of pieces that are not ``fresh``, the later ones of a text, the first is seen alone: the piece before ends with it."""
         inputs, last, targets, begin, place = windows(classes, symbols, lengths)
-        targets[place[(np.cumsum(lengths) - lengths)[lengths > 0]]] = -1
+        targets[place[(np.cumsum(lengths) - lengths)[(lengths > 0) & ~fresh]]] = -1
         begin = begin[:, None]
         rng = np.random.default_rng(seed)
-        m, s, step = np.zeros_like(self.params), np.zeros_like(self.params), 0
+        m, s, step = self.moments
         for _ in range(epochs):
             order = rng.permutation(len(begin))
             for at in range(0, len(order), BATCH):
@@ -207,4 +211,5 @@ class Attention:
                 m += 0.1 * (grad - m)
                 s += 0.01 * (grad * grad - s)
                 self.params -= np.float32(rate) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
+        self.moments = m, s, step
         return self

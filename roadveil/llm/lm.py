@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,10 +23,10 @@ from roadveil.llm.recent import release, slices
 END = ""
 #: words at most that go to every task; all rarer ones are joined
 FREQUENT = 100_000
-#: of all runs of ``RUN`` ids of the training texts one in so many is trained on
-SHARE, RUN = 64, 96
-#: passes of training, each with its learning rate; between two the tasks' parameters are averaged
-RATES = (0.01, 0.005)
+#: ids of texts that are trained on at once, and of a piece of a long text
+TAUGHT, PIECE = 1 << 19, 1 << 16
+#: rounds of training, each with its learning rate; a training text is in one of them, and between two the tasks' parameters are averaged
+RATES = (0.01, 0.01, 0.005, 0.002)
 #: whole units of a parameter, so that averages do not depend on an order
 UNIT = 1 << 24
 #: what a class's ids share by the corpus, weighed against what follows the class before, in tokens
@@ -37,8 +36,8 @@ BEGIN = 65535
 RUN_BYTES = 2 << 20
 #: bytes of words, or pairs of ids, that a task holds before it tells their counts
 HELD = 8 << 20
-#: a text with its ids and its runs to train on; or a word, or a pair of ids (65536 * before + id), and how often it came
-READ = "row long, doc_id long, text string, ids binary, runs array<binary>, word string, pair long, n long"
+#: a text with its ids; or a word, or a pair of ids (65536 * before + id), and how often it came
+READ = "row long, doc_id long, text string, ids binary, word string, pair long, n long"
 SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,n:long>>"
 
 
@@ -92,7 +91,7 @@ class Counts:
         self.tables, self.size = [], 0
 
 
-READ_KINDS = {"row": pa.int64(), "doc_id": pa.int64(), "text": pa.string(), "ids": pa.binary(), "runs": pa.list_(pa.binary()), "word": pa.string(), "pair": pa.int64(), "n": pa.int64()}
+READ_KINDS = {"row": pa.int64(), "doc_id": pa.int64(), "text": pa.string(), "ids": pa.binary(), "word": pa.string(), "pair": pa.int64(), "n": pa.int64()}
 
 
 def row(size: int, /, **columns) -> pa.RecordBatch:
@@ -114,11 +113,10 @@ def read(path: str):
                 yield from words.add(counted.field(0), counted.field(1))
             if count:
                 yield from words.add(pa.array([END]), pa.array([count], pa.int64()))
-            ids, runs, found, size = [], [], [], 0
+            ids, found, size = [], [], 0
             for each, taught in zip(encode(texts), learn.to_pylist(), strict=True):
                 each = each.astype("<u2")
                 ids.append(each.tobytes())
-                runs.append([c for at in range(0, len(each), RUN) if zlib.crc32(c := ids[-1][2 * max(0, at - 1) : 2 * (at + RUN)]) % SHARE == 0] if taught else [])
                 if taught:
                     found.append(np.concatenate([[BEGIN], each[:-1]]).astype(np.int64) * 65536 + each)
                     size += len(each)
@@ -128,7 +126,7 @@ def read(path: str):
                     found, size = [], 0
             for at in range(0, b.num_rows, 1000):
                 part = slice(at, at + 1000)
-                yield row(len(ids[part]), row=pa.array(number + np.arange(len(ids[part]))), doc_id=b.column(0)[part], text=texts[part], ids=pa.array(ids[part], pa.binary()), runs=pa.array(runs[part], pa.list_(pa.binary())))
+                yield row(len(ids[part]), row=pa.array(number + np.arange(len(ids[part]))), doc_id=b.column(0)[part], text=texts[part], ids=pa.array(ids[part], pa.binary()))
                 number += len(ids[part])
         yield from words.tell()
         yield from pairs.tell()
@@ -208,24 +206,25 @@ class Vocabulary:
 
 
 def trained(read: DataFrame, known: Vocabulary) -> np.ndarray:
-    """Parameters after as many passes as ``RATES`` has. In each, every task goes on from the same parameters over the runs that it
-    reads; their average, weighed by runs, begins the next."""
+    """Parameters after all training texts, dealt by their numbers to as many rounds as ``RATES`` has. In each, every task goes on from the
+    same parameters over the texts that it reads; their average, weighed by ids, begins the next."""
     params = Attention(known.direct).params
+    texts = read.filter(F.col("row").isNotNull() & ~held_out(F.col("doc_id")))
 
     def learn(rate: float, start: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, count = Attention(known.direct, start), 0
-            for runs in gathered(batches):
-                ids = np.frombuffer(b"".join(runs), "<u2")
-                model.train(known.classes[ids], known.symbols[ids], np.array([len(r) // 2 for r in runs]), rate)
-                count += len(runs)
+            for held, fresh in gathered(batches):
+                ids = np.concatenate(held)
+                model.train(known.classes[ids], known.symbols[ids], np.array([len(x) for x in held]), np.array(fresh), rate)
+                count += len(ids)
             if count:
                 yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([np.rint(model.params.astype(np.float64) * UNIT).astype(np.int64) * count], pa.list_(pa.int64()))], names=["n", "p"])
 
         return run
 
-    for rate in RATES:
-        told = read.filter("row IS NOT NULL AND size(runs) > 0").select("runs").mapInArrow(learn(rate, params), "n long, p array<long>")
+    for turn, rate in enumerate(RATES):
+        told = texts.filter(F.col("row") % len(RATES) == turn).select("ids").mapInArrow(learn(rate, params), "n long, p array<long>")
         sums = told.select("n", F.posexplode("p").alias("at", "p")).groupBy("at").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).toArrow()
         if sums.num_rows:
             at, p, n = (sums.column(i).to_numpy() for i in range(3))
@@ -234,15 +233,21 @@ def trained(read: DataFrame, known: Vocabulary) -> np.ndarray:
     return params
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterator[list[bytes]]:
-    held: list[bytes] = []
+def gathered(batches: Iterator[pa.RecordBatch], most: int = TAUGHT, piece: int = PIECE) -> Iterator[tuple[list[np.ndarray], list[bool]]]:
+    """All ids of the texts, about ``most`` at a time, and which pieces begin a text. Longer texts come in pieces that begin with the last id of the piece before."""
+    held, fresh, size = [], [], 0
     for b in batches:
-        held += b.column(0).flatten().to_pylist()
-        while len(held) >= most:
-            yield held[:most]
-            held = held[most:]
+        for x in b.column(0):
+            ids = np.frombuffer(x.as_buffer(), "<u2")
+            for at in range(0, len(ids), piece):
+                held.append(ids[max(0, at - 1) : at + piece])
+                fresh.append(at == 0)
+                size += len(held[-1])
+                if size >= most:
+                    yield held, fresh
+                    held, fresh, size = [], [], 0
     if held:
-        yield held
+        yield held, fresh
 
 
 def scorer(known: Vocabulary, params: np.ndarray, frequent: dict[str, int], total: int, distinct: int, end: int):
@@ -316,8 +321,8 @@ def common_words(words: DataFrame, most: int) -> dict[str, int]:
 def score(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``.
 
-    One pass reads the texts and tells their ids, the counts of words and of pairs of ids of all training texts, and the runs of ids to
-    train on, a share of them that grows with the corpus. The model gives the class of the next id, the corpus's counts the id in
+    One pass reads the texts and tells their ids and the counts of words and of pairs of ids of all training texts. The model is trained on
+    all ids of all training texts, once each. It gives the class of the next id, the corpus's counts the id in
     its class behind the class before; together a probability over all ids and the end of a text. Windows overlap, each id is
     scored in one. Words' counts: at most ``frequent`` words go to the tasks, the others are joined, text by text, so no vocabulary is ever whole
     in one place.
