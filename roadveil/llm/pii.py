@@ -223,7 +223,8 @@ def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ``n_chars``, where there is one, follows. Null texts stay null, empty ones empty; repeated rows and null ids stay as they are; texts
     are taken whole; an empty table stays empty."""
     plain, text = docs.select(docs["doc_id"], docs["text"]), docs["text"].cast("string")
-    texts = each_text(spark, staged(spark, detect(plain.filter(may_hold(plain["text"].cast("string")))), "found"))
+    # what is found is read once here, so it goes to its texts without a table between
+    texts = each_text(spark, detect(plain.filter(may_hold(plain["text"].cast("string")))))
     terms = texts.select("row", "key").join(revealing_terms(spark, plain, texts), "row").select(F.col("key").alias("roadveil key"), F.col("terms").alias("roadveil terms"))
     # only texts that may hold something move
     joined = docs.filter(may_hold(text)).join(terms, text_key(text) == F.col("roadveil key"), "left")

@@ -61,3 +61,12 @@ def test_terms_meet_brute_force_and_once_mentioned_entities_share_their_rows(spa
     assert 0 < tables["joint"] < 3 * asked and tables["terms"] < 4 * asked
     clean = {str(r["doc_id"]): r["text"] for r in pii.sanitise(spark, docs).collect()}
     assert len(clean) == len(rows) and clean["3"] == rows[3][1] and "rare151" not in clean["151"] and not pii.base_spans(clean["160"]) and clean["172"] is None
+
+
+def test_sanitise_writes_no_table_that_is_read_once(spark, monkeypatch):
+    tags, real = [], pii.staged
+    monkeypatch.setattr(pii, "staged", lambda spark, df, tag: tags.append(tag) or real(spark, df, tag))
+    docs = spark.createDataFrame([(1, "mail a.b@c.de to zyx"), (2, "mail a.b@c.de to zyx"), (3, "plain words")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(spark, docs).collect()}
+    assert "found" not in tags and "held" in tags
+    assert "[EMAIL]" in got[1] and "@" not in got[1] and got[2] == got[1] and got[3] == "plain words"
