@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +34,8 @@ PRIOR = 10.0
 BEGIN = 65535
 #: bytes of texts that are cut into words at once
 RUN_BYTES = 2 << 20
+#: bytes of texts' ids that are scored at once
+SCORED_BYTES = 1 << 18
 #: bytes of words, or pairs of ids, that a task holds before it tells their counts
 HELD = 8 << 20
 #: a text with its ids; or a word, or a pair of ids (65536 * before + id), and how often it came
@@ -209,27 +211,34 @@ def trained(read: DataFrame, known: Vocabulary) -> np.ndarray:
     """Parameters after all training texts, dealt by their numbers to as many rounds as ``RATES`` has. In each, every task goes on from the
     same parameters over the texts that it reads; their average, weighed by ids, begins the next."""
     params = Attention(known.direct).params
+    # no more than training looks up, one copy a worker for all rounds
+    shared = read.sparkSession.sparkContext.broadcast((known.classes, known.symbols, known.direct))
     texts = read.filter(F.col("row").isNotNull() & ~held_out(F.col("doc_id")))
 
     def learn(rate: float, start: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, count = Attention(known.direct, start), 0
+            encoder.cache_clear()  # of an earlier pass; no ids are made here
+            classes, symbols, direct = shared.value
+            model, count = Attention(direct, start), 0
             for held, fresh in gathered(batches):
                 ids = np.concatenate(held)
-                model.train(known.classes[ids], known.symbols[ids], np.array([len(x) for x in held]), np.array(fresh), rate)
+                model.train(classes[ids], symbols[ids], np.array([len(x) for x in held]), np.array(fresh), rate)
                 count += len(ids)
             if count:
                 yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([np.rint(model.params.astype(np.float64) * UNIT).astype(np.int64) * count], pa.list_(pa.int64()))], names=["n", "p"])
+            release()
 
         return run
 
     for turn, rate in enumerate(RATES):
         told = texts.filter(F.col("row") % len(RATES) == turn).select("ids").mapInArrow(learn(rate, params), "n long, p array<long>")
-        sums = told.select("n", F.posexplode("p").alias("at", "p")).groupBy("at").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).toArrow()
+        with batches_of(read.sparkSession, 1000):
+            sums = told.select("n", F.posexplode("p").alias("at", "p")).groupBy("at").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).toArrow()
         if sums.num_rows:
             at, p, n = (sums.column(i).to_numpy() for i in range(3))
             params = np.empty(SIZE, np.float32)
             params[at] = p / n / UNIT
+    shared.unpersist()
     return params
 
 
@@ -250,12 +259,14 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = TAUGHT, piece: int =
         yield held, fresh
 
 
-def scorer(known: Vocabulary, params: np.ndarray, frequent: dict[str, int], total: int, distinct: int, end: int):
-    """Partition worker: ``row, doc_id, text, ids`` -> ``SCORED``; rare words are told by text, as their counts are not here."""
+def scorer(shared: Broadcast, total: int, distinct: int, end: int):
+    """Partition worker: ``row, doc_id, text, ids`` -> ``SCORED``; rare words are told by text, as their counts are not here.
+    ``shared`` is a vocabulary, the model's parameters and the frequent words' counts, one copy a worker for all its tasks."""
     least = math.log10(total + distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # of an earlier pass; no ids are made here
+        encoder.cache_clear()
+        known, params, frequent = shared.value
         model = Attention(known.direct, params)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -292,7 +303,7 @@ def scorer(known: Vocabulary, params: np.ndarray, frequent: dict[str, int], tota
     return run
 
 
-def runs_of(ids: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def runs_of(ids: pa.Array, most: int = SCORED_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Texts' ids, about ``most`` bytes at a time: the first text's number, and theirs."""
     held, first, size = [], 0, 0
     for i, x in enumerate(ids.to_pylist()):
@@ -342,8 +353,10 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = Non
     total, distinct, end = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("n"))), F.lit(0))).first()
     common = common_words(words.filter(F.col("word") != END), frequent)
     texts = told.filter("row IS NOT NULL").select("row", "doc_id", "text", "ids")
+    shared = spark.sparkContext.broadcast((known, params, common))
     with batches_of(spark, 500):
-        found = staged(spark, texts.mapInArrow(scorer(known, params, common, total, distinct, end), SCORED), "lm-scored")
+        found = staged(spark, texts.mapInArrow(scorer(shared, total, distinct, end), SCORED), "lm-scored")
+    shared.unpersist()
     odd = found.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     counted = odd.join(words.withColumnRenamed("n", "c"), "word", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + 1) - math.log10(total + distinct + 1)
