@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 
 #: classes of ids: the most frequent have one each, the rest share the last by bands of frequency
@@ -14,8 +16,8 @@ SYMBOLS = KNOWN + CLASSES + 2
 #: a window scores the last ``STRIDE`` tokens and sees ``CONTEXT`` more before them
 CONTEXT, STRIDE = 8, 24
 SPAN = CONTEXT + STRIDE
-#: windows at once
-BATCH = 64
+#: windows at once, and tokens whose outputs a core's cache holds
+BATCH, ROWS = 64, 256
 HEADS, WIDE, VALUE, HIDDEN = 1, 8, 16, 24
 #: numbers of the model that are trained, by name and shape
 SHAPES = {
@@ -28,7 +30,8 @@ SHAPES = {
     "skip": (CLASSES + 2, HIDDEN),
     "out": (HIDDEN, CLASSES),
 }
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+ENDS = np.cumsum([0, *(np.prod(s) for s in SHAPES.values())]).tolist()
+SIZE, PLACES = ENDS[-1], dict(zip(SHAPES, pairwise(ENDS), strict=True))
 LOW = np.float32(-1e4)
 
 
@@ -62,6 +65,26 @@ def windows(classes: np.ndarray, symbols: np.ndarray, lengths: np.ndarray) -> tu
     return inputs, before, targets, begin, place
 
 
+def views(of: np.ndarray, size: int) -> np.ndarray:
+    """Every window of so many that follow each other, without a copy."""
+    return np.lib.stride_tricks.sliding_window_view(of, size)
+
+
+def parted(params: np.ndarray) -> dict[str, np.ndarray]:
+    """The numbers of the model by name, without a copy."""
+    return {name: params[begin:end].reshape(SHAPES[name]) for name, (begin, end) in PLACES.items()}
+
+
+def by_class(classes: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+    """Sums of the parts' rows, side by side, of each class."""
+    classes = classes.astype(np.uint8)
+    rows = np.concatenate(parts, 1).take(classes.argsort(kind="stable"), 0)
+    count = np.bincount(classes, minlength=CLASSES + 2)
+    out, there = np.zeros((CLASSES + 2, rows.shape[1]), np.float32), np.flatnonzero(count)
+    out[there] = np.add.reduceat(rows, (np.cumsum(count) - count)[there], 0)
+    return out
+
+
 class Attention:
     """One layer: every token looks back over its window, by what the tokens are and how far off they lie;
     what it brings and the token before give a hidden layer, whose output is added to ``direct``, the
@@ -69,16 +92,17 @@ class Attention:
 
     def __init__(self, direct: np.ndarray, params: np.ndarray | None = None, seed: int = 7):
         self.direct = direct.astype(np.float32)
+        self.odds = np.exp(self.direct)
+        self.looked = [np.ones((HEADS, CLASSES + 2, n + 1), np.float32) for n in (WIDE, WIDE, VALUE)]
+        self.room = np.empty((2, ROWS, CLASSES), np.float32)
+        self.line, self.one = np.arange(ROWS), np.ones(CLASSES, np.float32)
         if params is None:
             rng = np.random.default_rng(seed)
             params = np.concatenate([(np.zeros(s) if n in ("out", "near") else rng.normal(0, s[0] ** -0.5 if n in ("query", "key", "value", "mix") else 0.3, s)).ravel() for n, s in SHAPES.items()])
         self.params = params.astype(np.float32)
         self.moments = np.zeros_like(self.params), np.zeros_like(self.params), 0
-        at = 0
-        for name, shape in SHAPES.items():
-            size = int(np.prod(shape))
-            setattr(self, name, self.params[at : at + size].reshape(shape))
-            at += size
+        for name, part in parted(self.params).items():
+            setattr(self, name, part)
         distance = np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)  # of a scored token's input and those it sees
         self.distance = np.maximum(distance, 0)
         self.causal = distance >= 0
@@ -88,110 +112,106 @@ class Attention:
         table = lambda m, d: (self.embed @ m).reshape(CLASSES + 2, HEADS, d)
         self.q, self.k, self.v = table(self.query, WIDE) / np.float32(WIDE**0.5), table(self.key, WIDE), table(self.value, VALUE)
 
-    def log_probs(self, classes: np.ndarray, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Natural log-probability of every token's class, each scored in one window, many windows at once.
-
-        As ``gradient`` has it, with what can be looked up made before: the masked bias as a factor, paddings as a component of the
-        keys, the weights' sum as a component of the values, the corpus's odds as factors.
-        """
+    def ready(self) -> None:
+        """What can be looked up made before: the masked bias as a factor, paddings as a component of the keys, the weights' sum as a
+        component of the values."""
         self.tables()
-        one = np.ones((CLASSES + 2, HEADS, 1), np.float32)
         # no score exceeds the bound, so that exponentials need no running maximum
         bound = np.abs(self.q).sum(2).max() * np.abs(self.k).max()
-        away = np.where(np.arange(CLASSES + 2) == PAD, LOW, np.float32(min(0.0, 40 - bound)))[:, None, None] * one
-        q, k, v = (np.ascontiguousarray(np.concatenate(x, 2).transpose(1, 0, 2)) for x in ((self.q, one), (self.k, away), (self.v, one)))
-        factor = np.where(self.causal, np.exp(self.near - self.near.max(1, keepdims=True))[:, self.distance], np.float32(0))
-        odds = np.exp(self.direct)
-        # a bound of the hidden layer keeps the outputs' exponentials finite
-        most = np.float32(80 / max(1e-6, float(np.abs(self.out).sum(0).max())))
+        for looked, own in zip(self.looked, (self.q, self.k, self.v), strict=True):
+            looked[:, :, :-1] = own.transpose(1, 0, 2)
+        self.looked[1][:, :, -1] = min(0.0, 40 - bound)
+        self.looked[1][:, PAD, -1] = LOW
+        self.factor = np.exp(self.near - self.near.max(1, keepdims=True))[:, self.distance] * self.causal
+
+    def attend(self, seen: np.ndarray, before: np.ndarray):
+        """Of some windows: by head queries, keys, values, weights and their sums; what the heads bring; the hidden layer."""
+        heads, parts = np.empty((len(before), HEADS * VALUE), np.float32), []
+        for h in range(HEADS):
+            q, k, v = (x[h] for x in self.looked)
+            q, k, v = q.take(before, 0).reshape(len(seen), STRIDE, -1), k.take(seen, 0), v.take(seen, 0)
+            w = q @ k.transpose(0, 2, 1)
+            np.exp(w, out=w)
+            w *= self.factor[h]
+            got = (w @ v).reshape(len(before), VALUE + 1)
+            np.divide(got[:, :VALUE], got[:, VALUE:], out=heads[:, h * VALUE : (h + 1) * VALUE])
+            parts.append((q, k, v, w, got[:, VALUE:]))
+        hidden = heads @ self.mix
+        hidden += self.skip.take(before, 0)
+        return parts, heads, np.maximum(hidden, 0, out=hidden)
+
+    def shares(self, hidden: np.ndarray, symbols: np.ndarray, targets: np.ndarray):
+        """Of ``ROWS`` tokens at most: the classes' probabilities before they are divided by their sum, that sum, and the targets' log-probabilities."""
+        out, odd = self.room[0, : len(hidden)], self.room[1, : len(hidden)]
+        self.odds.take(symbols, 0, out=odd, mode="clip")
+        for most in (False, True):  # a running maximum only where exponentials need it
+            np.matmul(hidden, self.out, out=out)
+            if most:
+                out -= out.max(1, keepdims=True)
+            own = out[self.line[: len(hidden)], targets] + self.direct[symbols, targets]
+            with np.errstate(over="ignore", invalid="ignore"):
+                np.exp(out, out=out)
+                out *= odd
+                total = out @ self.one
+            if 1e-30 < total.min() and total.max() < 1e30:
+                break
+        return out, total, own - np.log(total)
+
+    def log_probs(self, classes: np.ndarray, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Natural log-probability of every token's class, each scored in one window, many windows at once."""
+        self.ready()
         inputs, last, targets, begin, place = windows(classes, symbols, lengths)
         found = np.zeros(len(inputs))
-        spread, ahead, count = np.arange(SPAN), np.arange(CONTEXT, SPAN), BATCH * STRIDE
-        room = [np.empty((count, CLASSES), np.float32) for _ in range(2)]
-        weights, heads, line = np.empty((BATCH, STRIDE, SPAN), np.float32), np.empty((count, HEADS * VALUE), np.float32), np.arange(count)
+        shown, ahead = views(inputs, SPAN), np.arange(CONTEXT, SPAN)
         for at in range(0, len(begin), BATCH):
-            b = begin[at : at + BATCH, None]
-            n, seen, scored = len(b) * STRIDE, inputs[b + spread], (b + ahead).ravel()
-            before, symbol, w, out, odd = seen[:, CONTEXT:].ravel(), last[scored], weights[: len(b)], room[0][:n], room[1][:n]
-            for h in range(HEADS):
-                np.matmul(q[h].take(before, 0).reshape(len(b), STRIDE, -1), k[h].take(seen, 0).transpose(0, 2, 1), out=w)
-                np.exp(w, out=w)
-                w *= factor[h]
-                got = (w @ v[h].take(seen, 0)).reshape(n, VALUE + 1)
-                np.divide(got[:, :VALUE], got[:, VALUE:], out=heads[:n, h * VALUE : (h + 1) * VALUE])
-            hidden = heads[:n] @ self.mix
-            hidden += self.skip.take(before, 0)
-            np.clip(hidden, 0, most, out=hidden)
-            np.matmul(hidden, self.out, out=out)
-            target = targets[scored]
-            own = out[line[:n], target] + self.direct[symbol, target]
-            np.exp(out, out=out)
-            odds.take(symbol, 0, out=odd, mode="clip")
-            found[scored] = own - np.log(np.einsum("ij,ij->i", out, odd))
+            b = begin[at : at + BATCH]
+            seen, scored = shown[b], (b[:, None] + ahead).ravel()
+            hidden = self.attend(seen, seen[:, CONTEXT:].ravel())[2]
+            for row in range(0, len(scored), ROWS):
+                each = scored[row : row + ROWS]
+                found[each] = self.shares(hidden[row : row + ROWS], last[each], np.maximum(targets[each], 0))[2]
         return found[place]
 
-    def attend(self, seen: np.ndarray):
-        bias = np.where(self.causal, self.near[:, self.distance], LOW)
-        q, k, v = (x[i].transpose(0, 2, 1, 3) for x, i in ((self.q, seen[:, CONTEXT:]), (self.k, seen), (self.v, seen)))
-        scores = q @ k.transpose(0, 1, 3, 2)
-        scores += bias
-        scores += np.where(seen == PAD, LOW, np.float32(0))[:, None, None]
-        scores -= scores.max(3, keepdims=True)
-        np.exp(scores, out=scores)
-        scores /= scores.sum(3, keepdims=True)
-        heads = (scores @ v).transpose(0, 2, 1, 3).reshape(len(seen), STRIDE, HEADS * VALUE)
-        return q, k, v, scores, heads
-
-    def logits(self, seen: np.ndarray, symbols: np.ndarray, heads: np.ndarray):
-        before = seen[:, CONTEXT:]
-        hidden = heads @ self.mix
-        hidden += self.skip[before]
-        np.maximum(hidden, 0, out=hidden)
-        out = hidden @ self.out
-        out += self.direct[symbols]
-        return hidden, out
-
     def gradient(self, seen: np.ndarray, symbols: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, float]:
         """Of the mean negative log-probability of the targets (below 0: none), by all parameters; and that mean."""
-        self.tables()
-        there, targets = targets >= 0, np.maximum(targets, 0)
+        self.ready()
+        before, symbols, there, targets = seen[:, CONTEXT:].ravel(), symbols.ravel(), targets.ravel() >= 0, np.maximum(targets.ravel(), 0)
         grads = np.zeros_like(self.params)
-        g, at = {}, 0
-        for name, shape in SHAPES.items():
-            size = int(np.prod(shape))
-            g[name] = grads[at : at + size].reshape(shape)
-            at += size
-        q, k, v, weights, heads = self.attend(seen)
-        hidden, out = self.logits(seen, symbols, heads)
-        out -= out.max(2, keepdims=True)
-        np.exp(out, out=out)
-        out /= out.sum(2, keepdims=True)
-        rows, cols = np.arange(len(targets))[:, None], np.arange(STRIDE)
-        n = max(1, int(there.sum()))
-        loss = -float(np.log(np.maximum(out[rows, cols, targets], 1e-30))[there].sum()) / n
-        out[rows, cols, targets] -= 1
-        out *= (there / np.float32(n))[:, :, None]
-        flat = lambda x: x.reshape(-1, x.shape[-1])
-        # sums by class are products with which token is of which class
-        of = np.zeros((*seen.shape, CLASSES + 2), np.float32)
-        of[rows, np.arange(SPAN), seen] = 1
-        before = of[:, CONTEXT:]
-        g["out"][:] = flat(hidden).T @ flat(out)
-        back = (out @ self.out.T) * (hidden > 0)
-        g["mix"][:] = flat(heads).T @ flat(back)
-        g["skip"][:] = flat(before).T @ flat(back)
-        d_heads = (back @ self.mix.T).reshape(len(seen), STRIDE, HEADS, VALUE).transpose(0, 2, 1, 3)
-        d_v = weights.transpose(0, 1, 3, 2) @ d_heads
-        d_w = d_heads @ v.transpose(0, 1, 3, 2)
-        d_s = weights * (d_w - (d_w * weights).sum(3, keepdims=True))
-        total = d_s.sum(0)
-        for h in range(HEADS):
-            g["near"][h] = np.bincount(self.distance.ravel(), weights=(total[h] * self.causal).ravel(), minlength=SPAN)
-        scale = np.float32(WIDE**0.5)
-        for name, looked, part, d in (("query", before, (d_s @ k) / scale, WIDE), ("key", of, d_s.transpose(0, 1, 3, 2) @ q, WIDE), ("value", of, d_v, VALUE)):
-            d_table = flat(looked).T @ part.transpose(0, 2, 1, 3).reshape(-1, HEADS * d)
-            g[name][:] = self.embed.T @ d_table
-            g["embed"] += d_table @ getattr(self, name).T
+        g = parted(grads)
+        parts, heads, hidden = self.attend(seen, before)
+        n, loss, back = max(1, int(there.sum())), 0.0, np.empty_like(hidden)
+        for at in range(0, len(before), ROWS):
+            row = slice(at, at + ROWS)
+            out, total, own = self.shares(hidden[row], symbols[row], targets[row])
+            loss -= float(own[there[row]].sum()) / n
+            # what the differences to the targets bring is scaled, not they themselves
+            out[self.line[: len(out)], targets[row]] -= total
+            scale = (there[row] / (n * total))[:, None].astype(np.float32)
+            g["out"] += (hidden[row] * scale).T @ out
+            np.matmul(out, self.out.T, out=back[row])
+            back[row] *= scale
+        back *= hidden > 0
+        np.matmul(heads.T, back, out=g["mix"])
+        d_heads = back @ self.mix.T
+        asked, shown = [back], []
+        for h, (q, k, v, w, whole) in enumerate(parts):
+            own = slice(h * VALUE, (h + 1) * VALUE)
+            d = np.empty((len(before), VALUE + 1), np.float32)
+            np.divide(d_heads[:, own], whole, out=d[:, :VALUE])
+            np.negative(np.einsum("ij,ij->i", d[:, :VALUE], heads[:, own]), out=d[:, VALUE])
+            d = d.reshape(len(seen), STRIDE, VALUE + 1)
+            d_s = d @ v.transpose(0, 2, 1)
+            d_s *= w
+            g["near"][h] = np.bincount(self.distance.ravel(), weights=(d_s.sum(0) * self.causal).ravel(), minlength=SPAN)
+            asked.append((d_s @ k).reshape(-1, WIDE + 1)[:, :WIDE])
+            shown += [(d_s.transpose(0, 2, 1) @ q).reshape(-1, WIDE + 1)[:, :WIDE], (w.transpose(0, 2, 1) @ d).reshape(-1, VALUE + 1)[:, :VALUE]]
+        asked, shown = by_class(before, asked), by_class(seen.ravel(), shown)
+        g["skip"][:] = asked[:, :HIDDEN]
+        both = shown.reshape(-1, HEADS, WIDE + VALUE)
+        for name, d in (("query", asked[:, HIDDEN:] / np.float32(WIDE**0.5)), ("key", both[:, :, :WIDE]), ("value", both[:, :, WIDE:])):
+            d = d.reshape(CLASSES + 2, -1)
+            np.matmul(self.embed.T, d, out=g[name])
+            g["embed"] += d @ getattr(self, name).T
         return grads, loss
 
     def train(self, classes: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, fresh: np.ndarray, rate: float = 0.01, epochs: int = 1, seed: int = 3) -> Attention:
@@ -199,14 +219,14 @@ class Attention:
         learnt, but of pieces that are not ``fresh``, the later ones of a text, the first is seen alone: the piece before ends with it."""
         inputs, last, targets, begin, place = windows(classes, symbols, lengths)
         targets[place[(np.cumsum(lengths) - lengths)[(lengths > 0) & ~fresh]]] = -1
-        begin = begin[:, None]
+        shown, last, targets = views(inputs, SPAN), views(last, STRIDE), views(targets, STRIDE)
         rng = np.random.default_rng(seed)
         m, s, step = self.moments
         for _ in range(epochs):
             order = rng.permutation(len(begin))
             for at in range(0, len(order), BATCH):
                 b = begin[order[at : at + BATCH]]
-                grad, _ = self.gradient(inputs[b + np.arange(SPAN)], *(x[b + np.arange(CONTEXT, SPAN)] for x in (last, targets)))
+                grad, _ = self.gradient(shown[b], last[b + CONTEXT], targets[b + CONTEXT])
                 step += 1
                 m += 0.1 * (grad - m)
                 s += 0.01 * (grad * grad - s)

@@ -261,12 +261,12 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = TAUGHT, piece: int =
 
 def scorer(shared: Broadcast, total: int, distinct: int, end: int):
     """Partition worker: ``row, doc_id, text, ids`` -> ``SCORED``; rare words are told by text, as their counts are not here.
-    ``shared`` is a vocabulary, the model's parameters and the frequent words' counts, one copy a worker for all its tasks."""
+    ``shared`` is a vocabulary, the model's parameters, the frequent words and their counts (behind them 0, of any other), one copy a worker for all its tasks."""
     least = math.log10(total + distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder.cache_clear()
-        known, params, frequent = shared.value
+        known, params, frequent, often = shared.value
         model = Attention(known.direct, params)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -275,7 +275,7 @@ def scorer(shared: Broadcast, total: int, distinct: int, end: int):
                 for texts, groups in slices(b.column(2), RUN_BYTES):
                     words, sizes = split_words(texts)
                     coded = words.dictionary_encode()
-                    counts = np.array([frequent.get(w, 0) for w in coded.dictionary.to_pylist()], np.int64)
+                    counts = often[pc.index_in(coded.dictionary, value_set=frequent).fill_null(len(frequent)).to_numpy(zero_copy_only=False)]
                     place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                     ends = np.cumsum(np.add.reduceat(sizes, np.cumsum(groups) - groups))
                     begins = np.concatenate([[0], ends[:-1]])
@@ -348,12 +348,12 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = Non
     with batches_of(spark, 1000):
         told = staged(spark, known_rows.mapInArrow(read(path), READ), "lm-read")
     words = staged(spark, told.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    known = Vocabulary(told.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")), size)
+    known = Vocabulary(staged(spark, told.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")), "lm-pairs"), size)
     params = trained(told, known)
     total, distinct, end = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("n"))), F.lit(0))).first()
     common = common_words(words.filter(F.col("word") != END), frequent)
     texts = told.filter("row IS NOT NULL").select("row", "doc_id", "text", "ids")
-    shared = spark.sparkContext.broadcast((known, params, common))
+    shared = spark.sparkContext.broadcast((known, params, pa.array(list(common), pa.string()), np.array([*common.values(), 0], np.int64)))
     with batches_of(spark, 500):
         found = staged(spark, texts.mapInArrow(scorer(shared, total, distinct, end), SCORED), "lm-scored")
     shared.unpersist()
