@@ -106,6 +106,7 @@ class Attention:
         distance = np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)  # of a scored token's input and those it sees
         self.distance = np.maximum(distance, 0)
         self.causal = distance >= 0
+        self.apart = (distance.ravel()[:, None] == np.arange(SPAN)).astype(np.float32)
 
     def tables(self) -> None:
         """Queries, keys and values of every class, so that a token's are looked up."""
@@ -140,23 +141,24 @@ class Attention:
         hidden += self.skip.take(before, 0)
         return parts, heads, np.maximum(hidden, 0, out=hidden)
 
-    def shares(self, hidden: np.ndarray, symbols: np.ndarray, targets: np.ndarray):
-        """Of ``ROWS`` tokens at most: the classes' probabilities before they are divided by their sum, that sum, and the targets' log-probabilities."""
+    def shares(self, hidden: np.ndarray, symbols: np.ndarray, targets: np.ndarray | None):
+        """Of ``ROWS`` tokens at most: the classes' probabilities before they are divided by their sum, that sum, and the targets' log-probabilities
+        if there are targets."""
         out, odd = self.room[0, : len(hidden)], self.room[1, : len(hidden)]
         self.odds.take(symbols, 0, out=odd, mode="clip")
         for most in (False, True):  # a running maximum only where exponentials need it
             np.matmul(hidden, self.out, out=out)
             if most:
                 out -= out.max(1, keepdims=True)
-            own = out[self.line[: len(hidden)], targets] + self.direct[symbols, targets]
-            with np.errstate(over="ignore", invalid="ignore"):
-                np.exp(out, out=out)
-                out *= odd
-                total = out @ self.one
+            own = None if targets is None else out[self.line[: len(hidden)], targets] + self.direct[symbols, targets]
+            np.exp(out, out=out)
+            out *= odd
+            total = out @ self.one
             if 1e-30 < total.min() and total.max() < 1e30:
                 break
-        return out, total, own - np.log(total)
+        return out, total, None if own is None else own - np.log(total)
 
+    @np.errstate(over="ignore", invalid="ignore")
     def log_probs(self, classes: np.ndarray, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log-probability of every token's class, each scored in one window, many windows at once."""
         self.ready()
@@ -172,25 +174,28 @@ class Attention:
                 found[each] = self.shares(hidden[row : row + ROWS], last[each], np.maximum(targets[each], 0))[2]
         return found[place]
 
-    def gradient(self, seen: np.ndarray, symbols: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, float]:
-        """Of the mean negative log-probability of the targets (below 0: none), by all parameters; and that mean."""
+    @np.errstate(over="ignore", invalid="ignore")
+    def gradient(self, seen: np.ndarray, symbols: np.ndarray, targets: np.ndarray, told: bool = True) -> tuple[np.ndarray, float]:
+        """Of the mean negative log-probability of the targets (below 0: none), by all parameters; and that mean, if it is to be ``told``."""
         self.ready()
         before, symbols, there, targets = seen[:, CONTEXT:].ravel(), symbols.ravel(), targets.ravel() >= 0, np.maximum(targets.ravel(), 0)
         grads = np.zeros_like(self.params)
         g = parted(grads)
         parts, heads, hidden = self.attend(seen, before)
         n, loss, back = max(1, int(there.sum())), 0.0, np.empty_like(hidden)
+        part, share, scale = there.astype(np.float32) / np.float32(n), np.empty_like(hidden), np.empty((len(hidden), 1), np.float32)
         for at in range(0, len(before), ROWS):
             row = slice(at, at + ROWS)
-            out, total, own = self.shares(hidden[row], symbols[row], targets[row])
-            loss -= float(own[there[row]].sum()) / n
+            out, total, own = self.shares(hidden[row], symbols[row], targets[row] if told else None)
+            loss -= float(own[there[row]].sum()) / n if told else 0.0
             # what the differences to the targets bring is scaled, not they themselves
-            out[self.line[: len(out)], targets[row]] -= total
-            scale = (there[row] / (n * total))[:, None].astype(np.float32)
-            g["out"] += (hidden[row] * scale).T @ out
+            out.ravel()[self.line[: len(out)] * CLASSES + targets[row]] -= total
+            np.divide(part[row], total, out=scale[row, 0])
+            np.multiply(hidden[row], scale[row], out=share[row])
+            g["out"] += share[row].T @ out
             np.matmul(out, self.out.T, out=back[row])
-            back[row] *= scale
-        back *= hidden > 0
+        # also 0 where the hidden layer is
+        back *= (hidden > 0) * scale
         np.matmul(heads.T, back, out=g["mix"])
         d_heads = back @ self.mix.T
         asked, shown = [back], []
@@ -202,7 +207,7 @@ class Attention:
             d = d.reshape(len(seen), STRIDE, VALUE + 1)
             d_s = d @ v.transpose(0, 2, 1)
             d_s *= w
-            g["near"][h] = np.bincount(self.distance.ravel(), weights=(d_s.sum(0) * self.causal).ravel(), minlength=SPAN)
+            g["near"][h] = d_s.sum(0).ravel() @ self.apart
             asked.append((d_s @ k).reshape(-1, WIDE + 1)[:, :WIDE])
             shown += [(d_s.transpose(0, 2, 1) @ q).reshape(-1, WIDE + 1)[:, :WIDE], (w.transpose(0, 2, 1) @ d).reshape(-1, VALUE + 1)[:, :VALUE]]
         asked, shown = by_class(before, asked), by_class(seen.ravel(), shown)
@@ -226,7 +231,7 @@ class Attention:
             order = rng.permutation(len(begin))
             for at in range(0, len(order), BATCH):
                 b = begin[order[at : at + BATCH]]
-                grad, _ = self.gradient(shown[b], last[b + CONTEXT], targets[b + CONTEXT])
+                grad, _ = self.gradient(shown[b], last[b + CONTEXT], targets[b + CONTEXT], told=False)
                 step += 1
                 m += 0.1 * (grad - m)
                 s += 0.01 * (grad * grad - s)
