@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadveil.operators import routes
+from roadveil.operators import overlay
 from roadveil.operators.staging import shared_folder
 
 CASES = "req_id long, source long, target long, alpha long"
@@ -50,9 +50,9 @@ def report(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("n_cases"), F.count("cost_cm").alias("n_reached"), F.count_if(~F.col("same")).alias("n_failed"))
 
 
-def checked(spark: SparkSession, nodes: DataFrame, arcs: DataFrame, alphas: DataFrame, size: float = routes.TILE, count: int = 25) -> DataFrame:
-    """The sample's cases through a file of lines, searched towards targets and by sweeps, the second's answers through a file too."""
+def checked(spark: SparkSession, nodes: DataFrame, arcs: DataFrame, alphas: DataFrame, size: float = overlay.TILE, count: int = 25) -> DataFrame:
+    """The sample's cases through a file of lines, searched by heaps and by sweeps, the second's answers through a file too."""
     cases = through_lines(spark, sampled(nodes, alphas, count), CASES, "cases")
-    one = routes.Search(spark, cases, arcs, nodes, size).costs()
-    other = through_lines(spark, routes.Search(spark, cases, arcs, nodes, 2 * size, kind=routes.Sweeps).costs(), RESULTS, "answers")
+    one = overlay.Overlay(spark, cases, arcs, nodes, size).costs()
+    other = through_lines(spark, overlay.Overlay(spark, cases, arcs, nodes, 2 * size, kind=overlay.Sweeps).costs(), RESULTS, "answers")
     return compared(cases, one, other)
